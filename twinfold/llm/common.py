@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; texts may be long, so fewer than Spark's own 10,000.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 #: ASCII white space: the separators of words.
 WHITE = b" \t\n\x0b\x0c\r"

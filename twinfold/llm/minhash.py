@@ -5,7 +5,7 @@ keeps its smallest hash in compressed form, as the number of leading zeros and t
 Bands of four registers, of the sketch folded to 128 buckets, make candidates: at a similarity of
 0.8 a pair misses all 32 bands with probability 5e-8. Candidates must reach an estimated Jaccard
 similarity, corrected for chance collisions of compressed registers, five standard errors below the
-threshold; sets too small for the estimate pass anyway. What is left is verified on the full sets.
+threshold, where the error is that of the registers the pair fills. What is left is verified on the full sets.
 
 Groups grow without all their pairs: equal sets are one node from the start; each band's members are first tried
 against the member that shares most bands with others, and only members of one band that are still
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +31,6 @@ _EMPTY = 0xFFFF
 _BANDS = BUCKETS // 2 // BAND
 #: Members of a block; two blocks meet in a task.
 _BLOCK = 512
-#: Below this many shingles the estimate is too coarse to rule a pair out.
-_SMALL = 400
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -79,17 +76,16 @@ def band_keys(regs: np.ndarray) -> list[tuple[int, int]]:
     return [(k, signed(xxhash.xxh3_64_intdigest(bands[k].tobytes(), k))) for k in range(_BANDS) if (bands[k] != _EMPTY).any()]
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from registers (..., BUCKETS), less the matches expected by chance."""
-    both = (a != _EMPTY) & (b != _EMPTY)
-    either = np.maximum(1, ((a != _EMPTY) | (b != _EMPTY)).sum(axis=-1))
+def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity estimated from registers (..., BUCKETS), less the matches expected by chance, allows the threshold."""
+    filled_a, filled_b = a != _EMPTY, b != _EMPTY
+    either = np.maximum(1, (filled_a | filled_b).sum(axis=-1))
     ratio = np.minimum(n, m) / np.maximum(1, np.maximum(n, m))
-    chance = 0.1699 * 2.0 ** (int(BUCKETS).bit_length() - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return (((a == b) & both).sum(axis=-1) - chance).clip(0) / either
-
-
-def least_estimate(threshold: float) -> float:
-    return threshold - 5 * (threshold * (1 - threshold) / (0.75 * BUCKETS)) ** 0.5
+    chance = 0.1699 * 2.0 ** (BUCKETS.bit_length() - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+    found = (((a == b) & filled_a).sum(axis=-1) - chance).clip(0) / either
+    union = np.maximum(either, (n + m) / (1 + threshold))  # at the threshold; each filled register draws another of its members
+    error = np.sqrt(threshold * (1 - threshold) / either * np.maximum(1 - either / union, 0.02))
+    return (found >= threshold - 5 * error - 0.5 / either) & (ratio >= threshold)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -107,7 +103,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     own = row_keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", scratch, nulls_last=True)
     kind = dict(own.dtypes)["id"]
-    least = least_estimate(percent / 100)
 
     def sketch(key, doc, text: bytes):
         s = shingles(text, width)
@@ -126,14 +121,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     leads = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("key", (-F.col("m.col2")).alias("lead"))
     stars = buckets.join(leads, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = _linked(_likely(stars, nodes, least), own, scratch, width, percent)
+    links = _linked(_likely(stars, nodes, percent / 100), own, scratch, width, percent)
     parts = scratch.save(connected_components(links, scratch), "parts")
 
     # members of one band in different components, block by block
     placed = buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q")
     left = scratch.save(placed.join(mixed, "key").select("key", "band", "node", "part", "members"), "mixed")
-    across = _across(left, nodes, least)
+    across = _across(left, nodes, percent / 100)
     more = _linked(scratch.save(across, "across"), own, scratch, width, percent)
     found = scratch.save(connected_components(links.unionByName(more), scratch), "components")
 
@@ -147,8 +142,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), "row_key", F.col("n").alias("n_shingles"), "component_id", (F.col("component_key") == F.col("row_key")).alias("kept"), "class_key")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate reaches the least one."""
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose estimate allows the threshold."""
     ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab"]
     wide = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
 
@@ -158,40 +153,59 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 continue
             n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
-            good = (estimate(a, b, n, m) >= least) | (np.minimum(n, m) < _SMALL)
+            good = likely(a, b, n, m, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return wide.mapInArrow(keep, "a bigint, b bigint")
 
 
-def _across(left: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs of one band and of different parts; a band's members are dealt in blocks, and each pair is taken in the first band that it shares."""
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / _BLOCK)).cast("int")
     rows = left.withColumn("blocks", F.ceil(F.col("members") / _BLOCK).cast("int")).withColumn("own", block)
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", "band", "node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(nodes, "node")
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        regs = np.frombuffer(b"".join(frame["regs"]), np.uint16).reshape(-1, BUCKETS)
-        node, part, n, band = frame["node"].to_numpy(), frame["part"].to_numpy(), frame["n"].to_numpy(), int(frame["band"].iloc[0])
-        xs = np.flatnonzero(frame["own"].to_numpy() == i)
-        ys = np.flatnonzero(frame["own"].to_numpy() == j)
-        folded = _folded(regs).reshape(-1, _BANDS, BAND)
-        full = (folded != _EMPTY).any(axis=2)
-        out = []
-        for x in xs:
-            others = ys[(part[ys] != part[x]) & ((i != j) | (node[ys] > node[x]))]
-            if not len(others):
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(nodes, "node")
+    rows = rows.select("key", "i", "j", "band", "node", "part", "own", "n", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups lie one after another; the last one of a batch waits for the next batch."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            earlier = ((folded[others, :band] == folded[x, :band]).all(axis=2) & full[x, :band]).any(axis=1) if band else np.zeros(len(others), bool)
-            others = others[~earlier]
-            good = (estimate(regs[x], regs[others], n[x], n[others]) >= least) | (np.minimum(n[x], n[others]) < _SMALL)
-            for y in node[others[good]].tolist():
-                out.append((min(y, int(node[x])), max(y, int(node[x]))))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("key", "i", "j").applyInPandas(meet, "a bigint, b bigint").distinct()
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)] + [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, BUCKETS)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            if len(ends):
+                yield from _pairs([x[: ends[-1]] for x in held], ends, threshold)
+                held = [x[ends[-1] :] for x in held]
+        if held is not None:
+            yield from _pairs(held, np.array([len(held[0])]), threshold)
+
+    return rows.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    _, i, j, band, node, part, own, n, regs = rows
+    folded = _folded(regs).reshape(-1, _BANDS, BAND)
+    full = (folded != _EMPTY).any(axis=2)
+    out: list[tuple[int, int]] = []
+    start = 0
+    for end in ends.tolist():
+        k, b = int(band[start]), slice(start, end)
+        xs = start + np.flatnonzero(own[b] == i[start])
+        ys = start + np.flatnonzero(own[b] == j[start])
+        for x in xs.tolist():
+            others = ys[(part[ys] != part[x]) & ((i[start] != j[start]) | (node[ys] > node[x]))]
+            if k and len(others):
+                others = others[~((folded[others, :k] == folded[x, :k]).all(axis=2) & full[x, :k]).any(axis=1)]
+            if len(others):
+                others = others[likely(regs[x], regs[others], n[x], n[others], threshold)]
+                out += [(min(y, int(node[x])), max(y, int(node[x]))) for y in node[others].tolist()]
+        start = end
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _linked(pairs: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:

@@ -48,16 +48,14 @@ def _settled(units: DataFrame, scratch: Scratch, last: bool) -> tuple[DataFrame,
 def repeated_windows(texts: DataFrame, seeds: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """Rows (row_key, spans array of (lo, hi)): intervals of starts of windows that occur more than once.
 
-    texts: (row_key, text binary); seeds: (row_key, s), the anchors that may stand for such windows. A text's seeds are
-    gathered with it, never those of several texts.
+    texts: (row_key, text binary); seeds: (row_key, i), the numbers of the anchors that may stand for such windows.
+    A text's seeds are gathered with it, never those of several texts.
     """
 
     def first(key: int, text: bytes, wanted: list[int]):
         seq = Sequence(text, plan)
-        want = set(wanted)
-        for s, a, b in zip(*(x.tolist() for x in seq.windows()), strict=True):
-            if s in want:
-                yield from _cut(seq, key, s, a, b, plan.span)
+        for s, a, b in zip(*(x[wanted].tolist() for x in seq.windows()), strict=True):
+            yield from _cut(seq, key, s, a, b, plan.span)
 
     def later(size: int) -> Callable:
         def work(key: int, text: bytes, at: list[int], lo: list[int], hi: list[int]):
@@ -67,7 +65,7 @@ def repeated_windows(texts: DataFrame, seeds: DataFrame, plan: Plan, scratch: Sc
 
         return work
 
-    wanted = seeds.groupBy("row_key").agg(F.collect_list("s").alias("wanted"))
+    wanted = seeds.groupBy("row_key").agg(F.collect_list("i").alias("wanted"))
     units = scratch.save(map_rows(texts.join(wanted, "row_key").select("row_key", "text", "wanted"), first, _UNITS), "units")
     done = []
     for k, size in enumerate(plan.sizes):

@@ -30,16 +30,16 @@ def plan_for(min_words: int) -> Plan:
 
 
 def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, s): anchors whose gram occurs at another anchor too."""
+    """Rows (row_key, i): by number, the anchors whose gram occurs at another anchor too."""
 
     def work(key: int, text: bytes):
         seq = Sequence(text, plan)
         s = seq.windows()[0]
-        return (np.full(len(s), key), s.astype(np.int32), grams(seq.symbols, plan.gram)[s].view(np.int64)) if len(s) else None
+        return (np.full(len(s), key), np.arange(len(s), dtype=np.int32), grams(seq.symbols, plan.gram)[s].view(np.int64)) if len(s) else None
 
-    rows = scratch.save(map_columns(texts, work, "row_key bigint, s int, h bigint"), "anchors")
+    rows = scratch.save(map_columns(texts, work, "row_key bigint, i int, h bigint"), "anchors")
     again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    out = scratch.save(rows.join(again, "h").select("row_key", "s"), "seeds")
+    out = scratch.save(rows.join(again.hint("shuffle_hash"), "h").select("row_key", "i"), "seeds")
     scratch.drop(rows)
     return out
 

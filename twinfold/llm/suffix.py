@@ -2,7 +2,7 @@
 
 The full suffix array of a corpus has an entry per byte. Here it is sampled: only anchors (see
 anchors.py) are positions, about one in `span` / 2 bytes, and the string from one anchor to the next
-is the unit of length. A position's first rank is that of one such string; each round sorts the pairs
+is the unit of length. A position's first rank is that of two such strings; each round sorts the pairs
 (rank here, rank 2^j strings on) and the place of a pair in that order is the rank for twice the
 length. A position whose pair occurs once is dropped; one whose next doubling would reach beyond what
 every window with this anchor must contain is past the threshold and is a seed. Since every window
@@ -24,17 +24,18 @@ from twinfold.llm.common import map_columns, map_rows
 from twinfold.llm.repeats import merged, repeated_windows
 from twinfold.plans.storage import Scratch, row_keyed
 
-_LEVELS = 3
+#: Strings that the first ranks cover, and doublings after them at most.
+_BASE, _LEVELS = 2, 3
 
 
 def plan_for(min_bytes: int) -> Plan:
-    """Anchors so dense that every window holds four strings after its anchor."""
-    span = 1 << max(3, ((min_bytes - 16) // 6).bit_length() - 1)
+    """Anchors so dense that every window holds at least two strings after its anchor, four as a rule."""
+    span = max(8, min_bytes // 5 // 8 * 8)
     return Plan("bytes", min_bytes, 16, span, (span, 8, 1) if span > 8 else (span, 1))
 
 
 def first_ranks(key: int, text: bytes, plan: Plan):
-    """Columns (row_key, i, s, h, top, whole): the anchors' strings, and for anchors of whole windows how often their length may double; 0 for others, which only serve as second halves."""
+    """Columns (row_key, i, h, top, whole): the anchors' strings, how often their length may double, and whether a whole window has this anchor; others only serve as second halves."""
     if len(text) < plan.window:
         return None
     seq = Sequence(text, plan)
@@ -43,13 +44,13 @@ def first_ranks(key: int, text: bytes, plan: Plan):
     reach = plan.window - 2 * plan.span - plan.gram + 2
     top = np.zeros(len(s), np.int8)
     for level in range(1, _LEVELS + 1):
-        step = 1 << level
+        step = _BASE << level
         if len(s) > step:
             top[:-step] += ((s[step:] - s[:-step] <= reach) & (top[:-step] == level - 1)).astype(np.int8)
-    ends = (s[1:] + plan.gram).tolist()
+    ends = (s[_BASE:] + plan.gram).tolist()
     h = np.fromiter((xxhash.xxh3_64_intdigest(seq.view[a:b]) for a, b in zip(s.tolist(), ends, strict=False)), np.uint64, len(ends)).view(np.int64)
     i = np.arange(len(ends), dtype=np.int32)
-    return np.full(len(ends), key), i, s[:-1].astype(np.int32), h, top[:-1], i < whole
+    return np.full(len(ends), key), i, h, top[: len(ends)], i < whole
 
 
 def _reranked(pairs: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
@@ -59,23 +60,26 @@ def _reranked(pairs: DataFrame, names: list[str], scratch: Scratch) -> DataFrame
 
 
 def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, s): anchors of windows that may occur more than once."""
-    rows = map_columns(texts, lambda k, t: first_ranks(k, t, plan), "row_key bigint, i int, s int, h bigint, top tinyint, whole boolean")
+    """Rows (row_key, i): by number, the anchors of windows that may occur more than once."""
+    rows = map_columns(texts, lambda k, t: first_ranks(k, t, plan), "row_key bigint, i int, h bigint, top tinyint, whole boolean")
     rows = scratch.save(rows, "strings")
     ranks = _reranked(rows, ["h"], scratch)
-    at = scratch.save(rows.join(ranks, "h").select("row_key", "i", "s", F.col("new").alias("rank"), "top", "whole"), "ranked")
+    at = scratch.save(rows.join(ranks.hint("shuffle_hash"), "h").select("row_key", "i", F.col("new").alias("rank"), "top", "whole"), "ranked")
     scratch.drop(rows, ranks)
     out = []
     for level in range(_LEVELS):
-        out.append(at.where((F.col("top") == level) & F.col("whole")).select("row_key", "s"))
-        step = 1 << level
+        out.append(at.where((F.col("top") == level) & F.col("whole")).select("row_key", "i"))
+        if at.where(F.col("top") > level).isEmpty():
+            break
+        step = _BASE << level
         ahead = Window.partitionBy("row_key").orderBy("i").rangeBetween(step, step)
         pairs = at.withColumn("next", F.max("rank").over(ahead)).where((F.col("top") > level) & F.col("next").isNotNull())
         pairs = scratch.save(pairs, "pairs")
         ranks = _reranked(pairs, ["rank", "next"], scratch)
-        at = scratch.save(pairs.join(ranks, ["rank", "next"]).select("row_key", "i", "s", F.col("new").alias("rank"), "top", "whole"), "ranked")
+        at = scratch.save(pairs.join(ranks, ["rank", "next"]).select("row_key", "i", F.col("new").alias("rank"), "top", "whole"), "ranked")
         scratch.drop(pairs, ranks)
-    out.append(at.where("whole").select("row_key", "s"))
+    else:
+        out.append(at.where("whole").select("row_key", "i"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
