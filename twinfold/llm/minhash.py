@@ -4,11 +4,11 @@ A document is the set of its word shingles. Each shingle hash falls into one of
 keeps its smallest hash in compressed form, as the number of leading zeros and ten mantissa bits.
 Bands of four registers, of the sketch folded to 128 buckets, make candidates: at a similarity of
 0.8 a pair misses all 32 bands with probability 5e-8. Candidates must reach an estimated Jaccard
-similarity, corrected for chance collisions of compressed registers, five standard errors below the
+similarity, corrected for chance collisions of compressed registers, 4.5 standard errors below the
 threshold, where the error is that of the registers the pair fills. What is left is verified on the full sets.
 
 Groups grow without all their pairs: equal sets are one node from the start; each band's members are first tried
-against the member that shares most bands with others, and only members of one band that are still
+against one other, among those that lead a band the one sharing most bands; only members of one band that are still
 in different components are then compared, by registers, in blocks.
 """
 
@@ -85,7 +85,7 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold
     found = (((a == b) & filled_a).sum(axis=-1) - chance).clip(0) / either
     union = np.maximum(either, (n + m) / (1 + threshold))  # at the threshold; each filled register draws another of its members
     error = np.sqrt(threshold * (1 - threshold) / either * np.maximum(1 - either / union, 0.02))
-    return (found >= threshold - 5 * error - 0.5 / either) & (ratio >= threshold)
+    return (found >= threshold - 4.5 * error - 0.5 / either) & (ratio >= threshold)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -120,7 +120,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     # the member with most company leads its band
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     leads = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("key", (-F.col("m.col2")).alias("lead"))
-    stars = buckets.join(leads, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    led = buckets.join(leads, "key").where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    nearest = led.groupBy("node").agg(F.max(F.struct("shared", -F.col("lead"))).alias("m")).select("node", (-F.col("m.col2")).alias("lead"))
+    stars = nearest.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = _linked(_likely(stars, nodes, percent / 100), own, scratch, width, percent)
     parts = scratch.save(connected_components(links, scratch), "parts")
 
@@ -212,7 +214,7 @@ def _linked(pairs: DataFrame, own: DataFrame, scratch: Scratch, width: int, perc
     """Pairs whose full sets are similar enough. Only texts that a pair names are moved, once."""
     pairs = scratch.save(pairs, "candidates")
     named = pairs.select(F.col("a").alias("row_key")).unionByName(pairs.select(F.col("b").alias("row_key"))).distinct()
-    texts = scratch.save(own.select("row_key", "text").join(named, "row_key", "left_semi"), "texts")
+    texts = scratch.save(own.select("row_key", "text").join(named.hint("merge"), "row_key", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b")), "b")
     last: list = [None, None]
 
