@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     names = [x.split()[0] for x in result.split(", ")]
     lines = looked.where("keys is not null").select("row_key", F.explode("keys").alias("key"))
     holder = F.max if keep == "largest" else F.min
-    common = lines.groupBy("key").agg(F.count("*").alias("n"), holder("row_key").alias("keeper")).where(F.col("n") >= min_docs)
+    common = scratch.save(lines.groupBy("key").agg(F.count("*").alias("n"), holder("row_key").alias("keeper")).where(F.col("n") >= min_docs), "common")
     drops = lines.join(common, "key").where("row_key <> keeper").groupBy("row_key").agg(F.collect_list("key").alias("drop"))
 
     def apply(doc, text: bytes, drop):

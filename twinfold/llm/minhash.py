@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         yield (key, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, registers(s).tobytes() if len(s) else None)
 
     sketches = scratch.save(map_rows(own.select("row_key", "id", "text"), sketch, f"row_key bigint, id {kind}, n bigint, same binary, regs binary", flush=4000), "sketches")
-    same = sketches.where("n > 0").groupBy("same").agg(F.min("row_key").alias("class_key"))
+    same = scratch.save(sketches.where("n > 0").groupBy("same").agg(F.min("row_key").alias("class_key")), "same")
     classes = scratch.save(sketches.where("n > 0").select("row_key", "same").join(same, "same").select("row_key", "class_key"), "classes")
     nodes = scratch.save(sketches.join(classes.where("row_key = class_key").select("row_key"), "row_key", "left_semi").select(F.col("row_key").alias("node"), "n", "regs"), "nodes")
 
