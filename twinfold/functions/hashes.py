@@ -101,25 +101,25 @@ def dct_hashes(grids: np.ndarray) -> np.ndarray:
 
 def haar(grid: np.ndarray) -> np.ndarray:
     """Orthonormal Haar transform of (..., n, n) values; the detail is right minus left."""
-    out, root = np.array(grid, np.float64), math.sqrt(2)
+    out, scale = np.array(grid, np.float64), math.sqrt(0.5)
     size = out.shape[-1]
     while size > 1:
         for axis in (-1, -2):
             part = np.moveaxis(out[..., :size, :size], axis, -1)
             left, right = part[..., 0::2].copy(), part[..., 1::2].copy()
-            part[..., : size // 2], part[..., size // 2 :] = (left + right) / root, (right - left) / root
+            part[..., : size // 2], part[..., size // 2 :] = (left + right) * scale, (right - left) * scale
         size //= 2
     return out
 
 
 def inverse_haar(grid: np.ndarray) -> np.ndarray:
-    out, root = np.array(grid, np.float64), math.sqrt(2)
+    out, scale = np.array(grid, np.float64), math.sqrt(0.5)
     size = 2
     while size <= out.shape[-1]:
         for axis in (-2, -1):
             part = np.moveaxis(out[..., :size, :size], axis, -1)
             low, detail = part[..., : size // 2].copy(), part[..., size // 2 :].copy()
-            part[..., 0::2], part[..., 1::2] = (low - detail) / root, (low + detail) / root
+            part[..., 0::2], part[..., 1::2] = (low - detail) * scale, (low + detail) * scale
         size *= 2
     return out
 
