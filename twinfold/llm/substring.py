@@ -38,7 +38,7 @@ def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
         return (np.full(len(s), key), np.arange(len(s), dtype=np.int32), grams(seq.symbols, plan.gram)[s].view(np.int64)) if len(s) else None
 
     rows = scratch.save(map_columns(texts, work, "row_key bigint, i int, h bigint"), "anchors")
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     out = scratch.save(rows.join(again.hint("shuffle_hash"), "h").select("row_key", "i"), "seeds")
     scratch.drop(rows)
     return out
