@@ -1,6 +1,8 @@
 import duckdb
+import numpy as np
 import pytest
 
+from twinfold.functions import hashes
 from twinfold.plans.oracle import ORACLE
 from twinfold.plans.queries import QUERIES
 
@@ -22,3 +24,11 @@ def test_query(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(frame.columns)
     assert sorted(map(repr, (tuple(r[n] for n in names) for r in rows))) == sorted(map(repr, found.fetchall()))
+
+
+def test_cosine_hash_query_again_in_one_session(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    grids = np.stack([np.array([ord(t[(2 * k + 1) * len(t) // 2048]) % 256 if t else 0 for k in range(1024)], float).reshape(32, 32) for t in docs.values()])
+    want = {i: f"{int(h) & (2**64 - 1):016x}" for i, h in zip(docs, hashes.dct_hashes(grids), strict=True)}
+    for _ in range(3):
+        assert {r.doc_id: r.hash_hex for r in QUERIES["dct_hash_hex"](spark, "/root/testdata/sf0.001").collect()} == want

@@ -47,14 +47,11 @@ def moore_curve(order: int) -> list[tuple[int, int]]:
 CURVE = [x + 8 * y for x, y in moore_curve(3)]
 
 
-def text_grid(text: Column, size: int = 32) -> Column:
-    """Code points of a text at size * size nearest places, 0 to 255; null or empty gives zeros."""
-    n = F.char_length(F.coalesce(text, F.lit("")))
-    at = lambda i: F.floor((i * 2 + 1) * n / (2 * size * size)).cast("int")
-    value = lambda chars, i: F.when(n > 0, F.pmod(F.ascii(F.get(chars, at(i))), F.lit(256))).otherwise(F.lit(0)).cast("double")
-    places = F.sequence(F.lit(0), F.lit(size * size - 1))
-    # the text is split once: the array of its characters is bound to a variable
-    return F.get(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "")), lambda chars: F.transform(places, lambda i: value(chars, i))), F.lit(0))
+def text_grid(text: str | None, size: int = 32) -> np.ndarray:
+    """(size, size) code points of a text at nearest places, modulo 256; null or empty gives zeros."""
+    if not text:
+        return np.zeros((size, size))
+    return np.array([ord(text[k]) % 256 for k in nearest(len(text), size * size)], np.float64).reshape(size, size)
 
 
 def block_means(grid: Column, size: int = 32, blocks: int = 8) -> Column:

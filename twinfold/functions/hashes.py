@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.bits import pack_bits
-from twinfold.functions.grids import CURVE, block_means
+from twinfold.functions.grids import CURVE, block_means, text_grid
 
 HASH_FUNCTIONS = ("dctHash", "diffHash", "waveletHash")
 
@@ -142,13 +142,19 @@ def dct_hash(grid: pd.Series) -> pd.Series:
     return _batched(grid, dct_hashes)
 
 
+@F.pandas_udf(T.LongType())
+def text_dct_hash(text: pd.Series) -> pd.Series:
+    """Of texts sampled as pictures. The sampling is here and not in nested lambdas: over those, Spark does not always extract a Python UDF."""
+    return pd.Series(dct_hashes(np.stack([text_grid(t) for t in text])) if len(text) else [], dtype="int64")
+
+
 @F.pandas_udf(T.LongType())
 def wavelet_hash32(grid: pd.Series) -> pd.Series:
     return _batched(grid, wavelet_hashes)
 
 
 def image_hash(grid: Column, function: str) -> Column:
-    """The named fingerprint of a 32 x 32 grid; null stays null."""
+    """The named fingerprint of a 32 x 32 grid; null stays null. A grid made by nested lambdas must be written out first (see text_dct_hash)."""
     if function == "dctHash":
         return dct_hash(grid)
     if function == "waveletHash":

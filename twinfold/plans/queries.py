@@ -116,7 +116,7 @@ def wavelet_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dct_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text, sampled at 32 x 32 places, as a picture."""
-    return _table(spark, sf_dir, "documents").select("doc_id", bits.hash_hex(hashes.dct_hash(grids.text_grid(F.col("text")))).alias("hash_hex"))
+    return _table(spark, sf_dir, "documents").select("doc_id", bits.hash_hex(hashes.text_dct_hash(F.col("text"))).alias("hash_hex"))
 
 
 def hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
