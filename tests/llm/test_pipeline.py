@@ -1,14 +1,86 @@
+import collections
+import zlib
+
 import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 
+SF = "/root/testdata/sf0.001"
+
+
+def base_rules_keep(text):
+    words = text.encode().split()
+    seen = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    cover = {j for k in range(len(words) - 2) if seen[tuple(words[k : k + 3])] > 1 for j in range(k, k + 3)}
+    return len(words) >= 50 and 100 * len(cover) <= 50 * len(words)
+
+
+def near_representatives(docs):
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    label = {i: i for i in docs}
+    for a in docs:
+        for b in docs:
+            if b < a and sets[a] and sets[b] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return {i: docs[i] for i in docs if label[i] == i}
+
+
+def without_repeats(docs, size=400):
+    data = {i: t.encode() for i, t in docs.items()}
+    many = collections.Counter(t[p : p + size] for t in data.values() for p in range(len(t) - size + 1))
+    out, n_cut = {}, 0
+    for i, t in data.items():
+        gone = bytearray(len(t))
+        for p in range(len(t) - size + 1):
+            if many[t[p : p + size]] > 1:
+                gone[p : p + size] = b"\1" * size
+        edges = [0, *(k for k in range(1, len(t)) if gone[k] != gone[k - 1]), len(t)]
+        left = "".join(t[a:b].decode("utf-8", "ignore") for a, b in zip(edges, edges[1:], strict=False) if a < b and not gone[a])
+        n_cut += any(gone)
+        if left.strip(" ") or not any(gone):
+            out[i] = left
+    return out, n_cut
+
 
-def test_pipeline(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert got and {"doc_id", "sequence_id", "offset"} <= set(got[0].asDict())
-    ends = {}
+def test_every_stage_against_brute_force(spark):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    docs = {r["doc_id"]: r["text"] or "" for r in rows}
+    assert len(docs) == len(rows)
+    good = collections.Counter(r["lang"] for r in rows for x in pq.read_table(f"{SF}/labels.parquet").to_pylist() if x["doc_id"] == r["doc_id"] and x["quality"] == 1)
+    assert max(good.values()) < 500  # too few for any cutoff: 0.99 ** n exceeds 0.05 / 4 / strata, so the base rules decide
+    kept = {i: t for i, t in docs.items() if base_rules_keep(t)}
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(kept[i], i)
+    unique = {i: t for t, i in first.items()}
+    near = near_representatives(unique)
+    left, n_cut = without_repeats(near)
+    assert len(docs) > len(kept) > len(unique) > len(near) >= len(left) and n_cut
+    encode, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for i, t in left.items():
+        ids = np.array(encode.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        at, end, piece = 0, len(ids) % 1024 or min(1024, len(ids)), 0
+        while at < len(ids):
+            want.add((i, piece, at, end - at, zlib.crc32(ids[at:end].tobytes())))
+            at, end, piece = end, end + 1024, piece + 1
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    spans = collections.defaultdict(list)
     for r in got:
-        ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
-    assert max(ends.values()) <= 1024 and len(ends) <= 1.05 * np.ceil(sum(r.length for r in got) / 1024) + 1
+        spans[r.sequence_id].append((r.offset, r.length))
+    for found in spans.values():
+        end = 0
+        for offset, length in sorted(found):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(spans) <= 1.05 * np.ceil(sum(r.length for r in got) / 1024) + 1
     assert "pipeline" in __spark_entry__.queries()
