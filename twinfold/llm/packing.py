@@ -6,8 +6,9 @@ scores best, by weighted dot product of demand and residual or by the residual's
 Lengths are far fewer than items: for each length the open sequences are scored at once, then a heap
 serves that length's items one by one, which gives the same choices as scoring anew for every item.
 
-Items are dealt by a hash of their id into groups of bounded size, so no key, source or long document
-makes a hot task; a group packs alone and leaves at most a few sequences partly filled.
+Items are dealt by a hash of their id and place into groups, so no key, source or long document makes a hot
+task; a group packs alone and leaves at most a few sequences partly filled. A piece as long as a sequence
+gets its own at once and is never held, so a group holds a document's one shorter piece and no more.
 """
 
 from __future__ import annotations
@@ -110,12 +111,21 @@ def pack(pieces: DataFrame, n_docs: int, cap: Capacities | None = None, id_col:
     schema = pieces.limit(0).select("*", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame(columns=pieces_columns)])
+        first, alone, short = TaskContext.get().partitionId() << 40, 1 << 39, []
+        for frame in frames:
+            full = frame["length"] == cap.tokens
+            short.append(frame[~full])
+            if full.any():
+                if cap.tokens**2 > cap.attention or cap.documents < 1:
+                    raise ValueError("an item exceeds a sequence's capacities")
+                yield frame[full].assign(sequence_id=np.arange(full.sum(), dtype=np.int64) + (first + alone), offset=0)
+                alone += int(full.sum())
+        rows = pd.concat(short or [pd.DataFrame(columns=pieces_columns)])
         if not len(rows):
             return
         rows = rows.sort_values(["length", id_col, "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         seq, offset = best_fit(rows["length"].to_numpy(np.int64), cap)
-        yield rows.assign(sequence_id=seq + (TaskContext.get().partitionId() << 40), offset=offset)
+        yield rows.assign(sequence_id=seq + first, offset=offset)
 
     pieces_columns = list(pieces.columns)
     groups = max(1, math.ceil(n_docs / group_docs))

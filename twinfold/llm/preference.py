@@ -2,7 +2,8 @@
 
 The longest common turn prefix of the two is rendered once as the prompt; what follows it in each is a
 completion, in which only the assistant's turns carry loss: masks are lists of character spans.
-Turns are matched by an equi-join on (pair, turn), so no conversation is compared but with its partner.
+Each conversation's turns are gathered once, in order; a pair's two lists are compared place by place, so no
+conversation is compared but with its partner.
 """
 
 from __future__ import annotations

@@ -120,14 +120,14 @@ def cutoffs(found: DataFrame, labels: DataFrame, scratch: Scratch, alpha: float
     return per.mapInPandas(choose, schema)
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.04, delta: float = 0.05, key_col: str | None = None) -> DataFrame:
     """One row per input row: row_key, the id, stratum, the counts, base_failed and kept.
 
     A null text has no words and fails the base rules; null strata are one stratum; a null id has no label.
-    An empty table of labels leaves the base rules alone.
+    An empty table of labels leaves the base rules alone. key_col: a bigint column without nulls or repeats that is to be row_key.
     """
-    key = "quality_key"
-    keyed = row_keyed(docs, id_col, scratch, key)
+    key = key_col or "quality_key"
+    keyed = docs if key_col else row_keyed(docs, id_col, scratch, key)
     found = scratch.save(features(keyed, key, id_col, text_col, stratum_col), "features")
     cuts = scratch.save(cutoffs(found, labels, scratch, alpha, delta), "cutoffs")
     small = cuts.count() <= 10_000
