@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, exact dedup, near-dedup, repeated strings, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the
-last return the columns of documents.
+last return the columns of documents, whatever others come in. Rows with null or repeated ids are documents
+of their own in every stage; a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -14,32 +15,44 @@ from pyspark.sql import functions as F
 from twinfold.llm import exact, minhash, packing, quality, suffix
 from twinfold.llm.common import table
 from twinfold.llm.queries import TOKENIZER
-from twinfold.plans.storage import Scratch
+from twinfold.plans.storage import Scratch, row_keyed
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_KEY = "stage_key"
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The columns of documents and a key that no two rows share, in the order of the ids, null ones last."""
+    return row_keyed(docs.select(*_COLUMNS), "doc_id", scratch, _KEY, nulls_last=True)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go."""
-    kept = quality.verdicts(docs, table(spark, sf_dir, "labels"), Scratch(spark)).where("kept").select("id")
-    return docs.join(kept, docs["doc_id"] == kept["id"], "left_semi").select(*_COLUMNS)
+    scratch = Scratch(spark)
+    keyed = _keyed(docs, scratch)
+    kept = quality.verdicts(keyed, table(spark, sf_dir, "labels"), scratch, key_col=_KEY).where("kept").select(F.col("row_key").alias(_KEY))
+    return keyed.join(kept, _KEY, "left_semi").select(*_COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest id stays."""
-    return exact.exact_dedup(docs, Scratch(spark)).select(*_COLUMNS)
+    """Of equal texts, the smallest id stays; a null one only if there is no other."""
+    return exact.exact_dedup(docs.select(*_COLUMNS), Scratch(spark)).select(*_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the smallest id stays: five-word shingles, similarity 0.8."""
-    kept = minhash.near_duplicates(docs, Scratch(spark), width=5, percent=80).where("kept").select(F.col("doc_id").alias("id"))
-    return docs.join(kept, docs["doc_id"] == kept["id"], "left_semi").select(*_COLUMNS)
+    scratch = Scratch(spark)
+    keyed = _keyed(docs, scratch)
+    kept = minhash.near_duplicates(keyed, scratch, id_col=_KEY, width=5, percent=80).where("kept").select(_KEY)
+    return keyed.join(kept, _KEY, "left_semi").select(*_COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each byte covered by a 400-byte string that also starts elsewhere goes; a text of which nothing is left goes with it."""
-    left = suffix.remove_repeats(docs, Scratch(spark), min_bytes=400, with_text=True).select(F.col("doc_id").alias("id"), "kept_text", "n_removed")
-    joined = docs.drop("text", "n_chars").join(left, docs["doc_id"] == left["id"])
+    scratch = Scratch(spark)
+    keyed = _keyed(docs, scratch)
+    left = suffix.remove_repeats(keyed, scratch, id_col=_KEY, min_bytes=400, with_text=True).select(_KEY, "kept_text", "n_removed")
+    joined = keyed.drop("text", "n_chars").join(left, _KEY)
     gone = (F.col("n_removed") > 0) & (F.trim(F.col("kept_text")) == "")
     return joined.where(~gone).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
