@@ -114,6 +114,17 @@ def test_best_fit_capacities(score):
         packing.best_fit(np.array([2000]), cap)
 
 
+def test_full_pieces_have_a_sequence_each(spark):
+    lengths = [1024] * 50 + [1000, 24, 600, 424]
+    pieces = spark.createDataFrame([(k, 0, 0, n) for k, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint")
+    per = collections.defaultdict(list)
+    for r in packing.pack(pieces, len(lengths)).collect():
+        per[r.sequence_id].append((r.length, r.offset))
+    assert len(per) == 52 and sum(x == [(1024, 0)] for x in per.values()) == 50
+    with pytest.raises(Exception, match="exceeds a sequence's capacities"):
+        packing.pack(pieces, len(lengths), packing.Capacities(attention=1024)).collect()
+
+
 def test_warc(spark, scratch):
     rnd = random.Random(2)
     pages = [(k, f"http://h/{k}" if k % 5 else None, rnd.choice([None, "", "é" * 50, "\x1f<p>", "x" * 70000, f"own {k} " * rnd.randint(1, 4000)])) for k in range(200)]

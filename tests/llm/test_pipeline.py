@@ -84,3 +84,36 @@ def test_every_stage_against_brute_force(spark):
         assert end <= 1024
     assert len(spans) <= 1.05 * np.ceil(sum(r.length for r in got) / 1024) + 1
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = lambda mark, n=120: " ".join(f"{mark}{k}é" for k in range(n))
+    good, near = text("a"), text("a", 118) + " p q"
+    rows = [(5, good), (5, "too short"), (5, text("b")), (None, text("c")), (None, text("c")), (None, near), (None, None), (8, ""), (9, text("b")), (11, text("d") + " " + text("e", 200)), (12, text("e", 200) + " " + text("f"))]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, kept_text string, n_removed int, row_key string, kept boolean, stage_key int"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y", 1, "z", False, 7) for i, t in rows], names).repartition(3)
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs.write.parquet(f"{tmp_path}/in{k}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/in{k}"), str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        sizes.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+    clean = [r for r in rows if r[1] and len(r[1]) > 20]
+    assert sizes[0] == sorted(clean, key=str)
+    once = [(5, good), (5, text("b")), (None, text("c")), (None, near), *rows[-2:]]
+    assert sizes[1] == sorted(once, key=str)
+    once.remove((None, near))
+    assert sizes[2] == sorted(once, key=str)
+    repeat = text("e", 200)
+    assert [i for i, _ in sizes[3]] == [i for i, _ in sizes[2]] and dict(sizes[3])[5] in (good, text("b"))
+    assert all(repeat not in t for _, t in sizes[3]) and dict(sizes[3])[11].startswith(text("d")) and dict(sizes[3])[12].endswith(text("f"))
+    packed = corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == 5
+
+
+def test_stages_on_a_table_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []
