@@ -32,3 +32,14 @@ def test_cosine_hash_query_again_in_one_session(spark):
     want = {i: f"{int(h) & (2**64 - 1):016x}" for i, h in zip(docs, hashes.dct_hashes(grids), strict=True)}
     for _ in range(3):
         assert {r.doc_id: r.hash_hex for r in QUERIES["dct_hash_hex"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_group_members_has_whole_groups(spark, tmp_path):
+    n = 2500
+    texts = {i: "hot" if i % 2 else "twice" if i in (10, 4000) else f"own {i}" for i in range(2 * n)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["group_members"](spark, str(tmp_path)).collect():
+        got.setdefault(r.primary_idx, []).append([int(x) for x in r.members.split(",")])
+    assert [len(part) for part in sorted(got[1])] == [1000, 1000, 500]
+    assert {k: sum(sorted(v), []) for k, v in got.items()} == {1: list(range(1, 2 * n, 2)), 10: [10, 4000]}

@@ -14,6 +14,9 @@ from twinfold.sources import items as sources
 #: Radius of the near-duplicate queries: the test vectors have no pairs within the default of 8.
 RADIUS = 16
 
+#: Members of a group in one row of group_members.
+MEMBERS = 1000
+
 RULES = [(0, "com", True), (1, "example.com", False), (2, "example.net", True), (3, "org", None), (4, "example.net", False), (5, "www.example.com", True)]
 
 
@@ -47,9 +50,9 @@ def dup_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group's first 1000 members by position, as text: a top-k report."""
-    rows = _text_groups(spark, sf_dir).where("dup_count > 0 and pos < 1000")
-    return rows.groupBy("primary_idx").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("idx")), lambda x: x.cast("string"))).alias("members"))
+    """All members of each group by position, as text: a row for each MEMBERS of them, so that no list grows with its group. A group's rows follow by their first member."""
+    rows = _text_groups(spark, sf_dir).where("dup_count > 0").withColumn("part", F.floor(F.col("pos") / MEMBERS))
+    return rows.groupBy("primary_idx", "part").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("idx")), lambda x: x.cast("string"))).alias("members")).drop("part")
 
 
 def null_key_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
