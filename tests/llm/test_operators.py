@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from twinfold.llm import bloom, bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
 from twinfold.llm.common import byte_tokenizer
+from twinfold.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Nulls, empty and white-space texts, ties, repeated rows, and columns whose names the operators use themselves.
@@ -152,6 +153,25 @@ def test_warc(spark, scratch):
     assert len(list(warc.records_in(open(broken, "rb"), len(data), 0, len(data)))) == whole
 
 
+def test_warc_gives_back_null_and_repeated_ids(spark, scratch, tmp_path):
+    pages = [(50, "same"), (7, "a"), (7, "same"), (None, "same"), (9, None), (None, "own"), (None, "own"), (-3, ""), (100, "b"), (7, "a")]
+    spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in pages], "page_id bigint, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = collections.Counter()
+    first = {}
+    for k, h in sorted(pages, key=lambda x: (x[0] is None, x[0] or 0)):
+        text = h or ""
+        want[k, len(text), base64.b32encode(hashlib.sha1(text.encode()).digest()).decode(), "revisit" if text in first else "response", first.get(text)] += 1
+        first.setdefault(text, k)
+    got = QUERIES["op2_warc_round_trip"](spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert collections.Counter(map(tuple, got)) == want
+    records = warc.with_revisits(spark.read.parquet(f"{tmp_path}/pages.parquet"), scratch).collect()
+    ids = {r.record_id for r in records}
+    assert len(ids) == len(pages) and {r.refers_to_id for r in records if r.refers_to_id} <= {r.record_id for r in records if r.record_type == "response"}
+    named = spark.createDataFrame([("a:row b", "", "x"), ("é", "", "x"), ("", "", "y"), (None, "", "y")], "page_id string, url string, html string")
+    found = {r.record_id.split(":row:")[0] for r in warc.read_archives(warc.write_archives(warc.with_revisits(named, scratch), scratch.folder("s"), scratch)).collect()}
+    assert {"urn:x-page:a%3Arow+b", "urn:x-page:%C3%A9", "urn:x-page:"} < found and len(found) == 4
+
+
 def brute_counts(text):
     w = text.encode().split()
     seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -22,7 +22,7 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     records = warc.with_revisits(table(spark, sf_dir, "pages"), scratch)
     files = warc.write_archives(records, scratch.folder("archives"), scratch)
-    number = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("bigint")
+    number = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)(:row:\d+)?$", 1).try_cast("bigint")
     back = warc.read_archives(files)
     return back.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to_id")).alias("refers_to"))
 

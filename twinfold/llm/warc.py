@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.common import BATCH_ROWS
@@ -186,16 +186,23 @@ def with_revisits(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", u
     """Records to write for pages: of equal payloads of at least min_bytes, the smallest id's is the response and the others revisit it.
 
     A null payload counts as empty, a null uri too. Null ids rank last; rows with repeated ids are records of their own.
+    A record's id is urn:x-page:<id>, URL-encoded if it is no integer, with :row:<number> after it if row numbers stand in for the table's ids; a null id's is urn:x-row:<number>.
     """
     own = row_keyed(pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("target_uri"), F.coalesce(F.col(text_col), F.lit("")).alias("html")), "id", scratch, nulls_last=True)
     own = own.withColumns({"sha1": F.unhex(F.sha1(F.col("html").cast("binary"))), "n": F.octet_length("html")})
-    first = own.groupBy("sha1", "n").agg(F.min("row_key").alias("first"))
+    first = own.groupBy("sha1", "n").agg(F.min("row_key").alias("first"), F.min_by("id", "row_key").alias("first_id"))
     linked = own.join(first, ["sha1", "n"])
     revisit = (F.col("first") != F.col("row_key")) & (F.col("n") >= min_bytes)
-    urn = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
+    whole = dict(own.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
+
+    def urn(page: Column, row: Column) -> Column:
+        shown = page.cast("string") if whole else F.url_encode(page.cast("string"))
+        same = page == row if whole else F.lit(False)
+        return F.when(page.isNull(), F.concat(F.lit("urn:x-row:"), row)).when(same, F.concat(F.lit("urn:x-page:"), shown)).otherwise(F.concat(F.lit("urn:x-page:"), shown, F.lit(":row:"), row))
+
     return linked.select(
-        urn(F.col("row_key")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
-        F.col("html").cast("binary").alias("payload"), _base32(F.col("sha1")).alias("payload_digest"), F.when(revisit, urn(F.col("first"))).alias("refers_to_id"),
+        urn(F.col("id"), F.col("row_key")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
+        F.col("html").cast("binary").alias("payload"), _base32(F.col("sha1")).alias("payload_digest"), F.when(revisit, urn(F.col("first_id"), F.col("first"))).alias("refers_to_id"),
     )
 
 
