@@ -304,3 +304,15 @@ def test_preference(spark):
     assert r.chosen_text[a:b] == "good\n<|end|>\n" and len(r.rejected_mask) == 1
     pairs, both = preference.stale_replies(table)
     assert {(x.chosen, x.rejected_text) for x in preference.preference_rows(pairs, both).collect()} == {(1, "<|assistant|>\n\n<|end|>\n"), (2, "<|assistant|>\n\n<|end|>\n")}
+
+
+def test_preference_keeps_turns_of_one_number(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "two"), (1, 1, "assistant", "one"), (1, 1, "assistant", "two"), (2, 0, "user", "q"), (2, 1, "assistant", "8 of 8 .")]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    shown = lambda *said: "".join(f"<|assistant|>\n{x}\n<|end|>\n" for x in said)
+    r, = preference.preference_rows(preference.star_pairs(table), table).collect()
+    assert (r.chosen, r.rejected, r.n_prompt_turns) == (2, 1, 1)
+    assert r.chosen_text == shown("8 of 8 .") and r.rejected_text == shown("one", "two") and len(r.rejected_mask) == 2
+    stale = {x.chosen: x for x in preference.preference_rows(*preference.stale_replies(table)).collect()}
+    assert stale[1].prompt == "<|user|>\nq\n<|end|>\n" + shown("one") and (stale[1].chosen_text, stale[1].rejected_text) == (shown("two"), shown("one"))
+    assert (stale[2].chosen_text, stale[2].rejected_text) == (shown("8 of 8 ."), shown(""))

@@ -17,11 +17,12 @@ BEFORE, BETWEEN, AFTER = "<|", "|>\n", "\n<|end|>\n"
 
 def star_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> DataFrame:
     """Rows (pair_id, chosen, rejected): among conversations with the same first turn, the one with most characters by
-    the learner (of equals the smallest id) is chosen against each other one. A group of n gives n - 1 pairs."""
+    the learner (of equals the smallest id) is chosen against each other one. A group of n gives n - 1 pairs. Identical rows count once."""
     rows = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
-    facts = rows.groupBy(F.col(conv).alias("c")).agg(F.min(turn).alias("first"), F.sum(F.when(F.col(role) == learner, F.length(text)).otherwise(0)).cast("bigint").alias("score"))
-    heads = rows.select(F.col(conv).alias("c"), F.col(turn).alias("first"), F.sha2(F.concat_ws("\x00", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256).alias("head"))
-    heads = heads.groupBy("c", "first").agg(F.min("head").alias("head"))
+    chars = F.when(F.col(role) == learner, F.length(F.coalesce(text, F.lit("")))).otherwise(0)
+    said = rows.select(F.col(conv).alias("c"), F.col(turn).alias("first"), chars.alias("chars"), F.sha2(F.concat_ws("\x00", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256).alias("head")).distinct()
+    facts = said.groupBy("c").agg(F.min("first").alias("first"), F.sum("chars").cast("bigint").alias("score"))
+    heads = said.groupBy("c", "first").agg(F.min("head").alias("head"))
     known = facts.join(heads, ["c", "first"]).select("c", "score", "head")
     best = known.groupBy("head").agg(F.max(F.struct("score", (-F.col("c")).alias("low"))).alias("m")).select("head", (-F.col("m.low")).alias("chosen"))
     return known.join(best, "head").where("c <> chosen").select(F.col("c").alias("pair_id"), "chosen", F.col("c").alias("rejected"))
@@ -29,13 +30,15 @@ def star_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
 def stale_replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(pairs, turns) for conversations without a partner: each, up to the learner's last turn, is chosen against itself with
-    that turn's text replaced by that of the learner's turn before (empty if there is none). The rejected one's id is -1 - id."""
-    rows = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    that turn's text replaced by that of the learner's turn before (empty if there is none). The rejected one's id is -1 - id.
+    Turns are numbered anew in the order of (turn, role, text), identical rows once, so those of one number stay apart."""
+    rows = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).distinct()
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint"))
     said = rows.where(F.col("role") == learner)
-    before = said.withColumn("stale", F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
-    last = before.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("stale", F.lit("")).alias("stale"))).alias("m")).select("conv_id", F.col("m.turn").alias("end"), "m.stale")
+    before = said.withColumn("stale", F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn")))
+    last = before.groupBy("conv_id").agg(F.max(F.struct("turn", "stale")).alias("m")).select("conv_id", F.col("m.turn").alias("end"), "m.stale")
     up_to = rows.join(last, "conv_id").where(F.col("turn") <= F.col("end"))
-    swapped = F.when((F.col("turn") == F.col("end")) & (F.col("role") == learner), F.col("stale")).otherwise(F.col("text"))
+    swapped = F.when(F.col("turn") == F.col("end"), F.col("stale")).otherwise(F.col("text"))
     other = (-1 - F.col("conv_id")).alias("conv_id")
     both = up_to.select("conv_id", "turn", "role", "text").unionByName(up_to.select(other, "turn", "role", swapped.alias("text")))
     return last.select((-1 - F.col("conv_id")).alias("pair_id"), F.col("conv_id").alias("chosen"), (-1 - F.col("conv_id")).alias("rejected")), both
@@ -48,14 +51,13 @@ def _rendered(role: Column, text: Column) -> Column:
 def preference_rows(pairs: DataFrame, turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> DataFrame:
     """Rows (pair_id, chosen, rejected, n_prompt_turns, prompt, chosen_text, rejected_text, chosen_mask, rejected_mask).
 
-    turns of a conversation are ordered by their number; a null role or text counts as empty; of rows with the same number the
-    smallest (role, text) is taken; rows without a conversation or number are left out, pairs with an unknown conversation too.
+    turns of a conversation are ordered by their number; a null role or text counts as empty; rows with the same number are
+    turns one after another by (role, text), identical ones once; rows without a conversation or number are left out, pairs with an unknown conversation too.
     A mask lists [start, end) in characters of the completion, one span for each of the learner's turns, from its text to its end mark.
     Equal conversations give two empty completions. Other columns are ignored.
     """
     said = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("no"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    said = said.groupBy("conv", "no").agg(F.min(F.struct("role", "text")).alias("said"))
-    whole = said.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("no", "said"))).alias("s"))
+    whole = said.distinct().groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("no", F.struct("role", "text").alias("said")))).alias("s"))
     whole = whole.select("conv", F.transform("s", lambda x: x["said"]).alias("turns"))
     wide = pairs.join(whole.select(F.col("conv").alias("chosen"), F.col("turns").alias("a")), "chosen").join(whole.select(F.col("conv").alias("rejected"), F.col("turns").alias("b")), "rejected")
     least = F.least(F.size("a"), F.size("b"))
