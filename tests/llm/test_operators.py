@@ -243,6 +243,14 @@ def test_near(docs, rows, scratch):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_near_refuses_what_its_bands_would_lose(docs, scratch):
+    miss = lambda percent: (1 - (percent / 100) ** minhash.BAND) ** (minhash.BUCKETS // 2 // minhash.BAND)
+    assert miss(minhash.LEAST_PERCENT) <= 5e-8 < miss(minhash.LEAST_PERCENT - 1)
+    for percent in (79, 50):
+        with pytest.raises(ValueError, match="percent"):
+            minhash.near_duplicates(docs, scratch, percent=percent)
+
+
 def test_suffix(docs, rows, scratch):
     size = 200
     texts = [(t or "").encode() for _, t in rows]

@@ -27,6 +27,8 @@ from twinfold.operators.components import connected_components
 from twinfold.plans.storage import Scratch, row_keyed
 
 BUCKETS, MANTISSA, BAND = 256, 10, 4
+#: The smallest percent at which a pair misses all bands with probability 5e-8; at 70 it would be 1.5e-4, at 50 13 %.
+LEAST_PERCENT = 80
 _EMPTY = 0xFFFF
 _BANDS = BUCKETS // 2 // BAND
 #: Members of a block; two blocks meet in a task.
@@ -100,7 +102,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the
     smallest id reachable, and that document is kept. Texts without words (null, empty, white space) are linked with nothing.
     Rows with null or repeated ids are documents of their own. Other columns are ignored. class_key: the first row with the same set.
+    The bands are made for similarities from LEAST_PERCENT; a lower percent would lose pairs unseen and raises ValueError.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}; the bands find pairs from {LEAST_PERCENT} percent only")
     own = row_keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", scratch, nulls_last=True)
     kind = dict(own.dtypes)["id"]
 
