@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from twinfold.functions import hashes
+from twinfold.functions import grids, hashes
 from twinfold.plans.oracle import ORACLE
 from twinfold.plans.queries import QUERIES
 
@@ -43,3 +43,12 @@ def test_group_members_has_whole_groups(spark, tmp_path):
         got.setdefault(r.primary_idx, []).append([int(x) for x in r.members.split(",")])
     assert [len(part) for part in sorted(got[1])] == [1000, 1000, 500]
     assert {k: sum(sorted(v), []) for k, v in got.items()} == {1: list(range(1, 2 * n, 2)), 10: [10, 4000]}
+
+
+def test_text_block_means_of_all_documents(spark, tmp_path):
+    odd = [(1, None), (2, ""), (3, "é"), (4, "😀漢a" * 700), (5, "x\n" * 512), (6, " y" * 9000 + "z")]
+    spark.createDataFrame(odd, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), SF):
+        docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        want = {i: ",".join(str(int(np.floor(v * 1000 + 0.5))) for v in grids.text_grid(t).reshape(8, 4, 8, 4).mean(axis=(1, 3)).ravel()) for i, t in docs.items()}
+        assert {r.doc_id: r.means for r in QUERIES["text_block_mean"](spark, folder).collect()} == want

@@ -190,6 +190,15 @@ def grid_block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("idx", F.array_join(F.transform(means, lambda v: F.floor(v * 1000 + 0.5).cast("bigint").cast("string")), ",").alias("means"))
 
 
+def text_block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text, sampled at 32 x 32 places, by 8 x 8 blocks of 4 x 4."""
+    chars = _table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "").alias("chars"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    place = lambda k: F.floor((2 * k + 1) * F.col("n") / 2048).cast("int")
+    rows = chars.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: (F.ascii(F.get("chars", place(k))) % 256).cast("double")).alias("grid"))
+    means = grids.block_means(F.col("grid"), 32, 8)
+    return rows.select("doc_id", F.array_join(F.transform(means, lambda v: F.floor(v * 1000 + 0.5).cast("bigint").cast("string")), ",").alias("means"))
+
+
 def gray_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("idx", F.array_join(grids.gray_levels(F.transform("grid", lambda v: F.floor(v * 1000).cast("double"))), ",").alias("levels"))
 
@@ -212,6 +221,6 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     exact_key_star_edges, exact_key_groups, exact_key_stats, dup_labels, group_members, null_key_semantics, host_extract, domain_normalize, domain_sort_key, suffix_rule_lookup,
     allowlist_https, page_routing, item_ordinals, diff_hash_hex, wavelet_hash_hex, dct_hash_hex, hash_bits, hash_codec, hash_bitmap, blank_filter, hamming_pairs, hamming_pairs_partitioned,
-    near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, hash_hex_diff, grid_block_mean, gray_normalize, hash_visuals, batch_stats,
+    near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, hash_hex_diff, grid_block_mean, text_block_mean, gray_normalize, hash_visuals, batch_stats,
 )
 QUERIES = {f.__name__: f for f in _ALL}
