@@ -1,13 +1,18 @@
+import base64
+
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from twinfold.functions import domains
 from twinfold.operators import collapse, edges, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
-from twinfold.plans.config import DedupConfig, load_settings, save_settings
-from twinfold.sources.items import page_route, with_ordinals
+from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
+from twinfold.sources.items import background_replies, page_route, project, with_ordinals
+from twinfold.streaming import incremental
 from twinfold.streaming.incremental import IncrementalFinder
 
 ITEM = "idx bigint, url string, domain string, hash bigint, visible boolean"
@@ -60,21 +65,39 @@ def test_rules(spark):
     want = {"x.independent.co.uk": False, "y.co.uk": True, "z.org": True, "a.com.": False, "A.com": True, "skip.org": True, "dependent.co.uk": True, None: True}
     items = spark.createDataFrame([(d,) for d in want], "domain string")
     assert {r.domain: r.process for r in rules.lookup(items, table, True).collect()} == want
-    assert [r.domain for r in rules.ordered_rules(table).collect()] == ["a.com", "skip.org", "co.uk", "independent.co.uk"]
+    assert [(r.domain, r.value) for r in rules.ordered_rules(table).collect()] == [("a.com", False), ("skip.org", None), ("co.uk", True), ("independent.co.uk", False)]
+    later = rules.with_rules(table, spark.createDataFrame([(0, "co.uk.", False), (1, "b.com", True)], "pos int, domain string, value boolean"))
+    assert [(r.domain, r.value) for r in rules.ordered_rules(later).collect()] == [("a.com", False), ("b.com", True), ("skip.org", None), ("co.uk.", False), ("independent.co.uk", False)]
+    assert rules.rule_count(later).first().n_rules == 5
 
 
-def test_radius_join_is_exact(spark):
+@pytest.mark.parametrize("radius", [1, 4, 8, 16])
+def test_radius_join_is_exact(spark, radius):
     import random
 
-    rnd = random.Random(1)
+    rnd = random.Random(radius)
     seeds = [rnd.getrandbits(64) for _ in range(12)]
-    values = [s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 12))) for s in seeds for _ in range(8)]
+    values = sorted({s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, radius + 4))) for s in seeds for _ in range(8)})
     signed = [v - 2**64 if v >> 63 else v for v in values]
-    frame = spark.createDataFrame(list(enumerate(signed)), "idx bigint, hash bigint").withColumn("part", F.lit(""))
-    want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= 8}
-    for how in ("bands", "plain"):
-        got = [(r.a, r.b) for r in edges.hamming_pairs(frame, 8, how).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    frame = spark.createDataFrame(list(enumerate(signed)), "idx bigint, hash bigint").withColumn("part", F.when(F.col("idx") % 2 == 0, "x").otherwise("y"))
+    for parts, rows in ((1, frame.withColumn("part", F.lit(""))), (2, frame)):
+        want = {(a, b, d) for a in range(len(values)) for b in range(a + 1, len(values)) if (d := (values[a] ^ values[b]).bit_count()) <= radius and (b - a) % parts == 0}
+        for blocks in {0, 3 if radius <= 8 else 5, radius + 1, edges.choose_blocks(radius, 10**6)}:
+            got = [(r.a, r.b, r.distance) for r in edges.hamming_pairs(rows, radius, blocks).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_few_candidates_meet(spark):
+    import random
+
+    rnd = random.Random(7)
+    n = 3000
+    frame = spark.createDataFrame([(k, rnd.getrandbits(64) - 2**63) for k in range(n)], "idx bigint, hash bigint").withColumn("part", F.lit(""))
+    blocks = edges.choose_blocks(8, 10**6)
+    found = edges.hamming_pairs(frame, 8, blocks)
+    assert found.count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and edges.candidate_share(edges.probe_cuts(8, blocks)) < 0.01
 
 
 @settings(max_examples=6, deadline=None)
@@ -105,17 +128,80 @@ def test_position_over_slices(spark, monkeypatch):
     assert [r.idx for r in with_ordinals(frame.where("g = 2"), "i", 5, 3).orderBy("i").collect()] == list(range(5, 24))
 
 
+BATCHES = (
+    [(0, "u1", "d", None, True), (1, "u2", "d", H, True), (2, "u1", "d", None, True)],
+    [(3, "u3", "d", None, True), (4, "u2", "d", None, True)],
+    [(5, "u1", "d", H, True), (6, "u9", "d", None, True)],
+)
+WANT = [(3, 1, 1, 1, 1), (2, 0, 1, 2, 2), (2, 0, 1, 1, 4)]
+
+
+def fed(finder, spark, k, rows):
+    finder.on_batch(spark.createDataFrame(rows, ITEM), k)
+    s = finder.stats[k]
+    return tuple(s[x] for x in ("num_links", "batch_num_with_dups", "batch_total_dups", "num_with_dups", "total_dups"))
+
+
 def test_batches(spark):
-    one = [(0, "u1", "d", None, True), (1, "u2", "d", H, True), (2, "u1", "d", None, True)]
-    two = [(3, "u3", "d", None, True), (4, "u2", "d", None, True)]
-    three = [(5, "u1", "d", H, True), (6, "u9", "d", None, True)]
     finder = IncrementalFinder(spark, DedupConfig())
-    want = [(1, 1, 1, 1), (0, 1, 2, 2), (0, 1, 1, 4)]
-    for k, rows in enumerate((one, two, three)):
-        finder.on_batch(spark.createDataFrame(rows, ITEM), k)
-        s = finder.stats[k]
-        assert (s["batch_num_with_dups"], s["batch_total_dups"], s["num_with_dups"], s["total_dups"]) == want[k], finder.errors
+    assert [fed(finder, spark, k, rows) for k, rows in enumerate(BATCHES)] == WANT and not finder.errors
     assert told(finder.items) == [[0, 1, 2, 4, 5], [3], [6]]
+    assert fed(finder, spark, 9, []) == (0, 0, 0, 1, 4) and told(finder.items) == [[0, 1, 2, 4, 5], [3], [6]]
+
+
+def test_batches_after_a_restart_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT_EVERY", 2)
+    got = []
+    for k, rows in enumerate(BATCHES):
+        finder = IncrementalFinder(spark, DedupConfig(), f"file://{tmp_path}/state")
+        assert sorted(finder.stats) == list(range(k))
+        for done in range(k):
+            finder.on_batch(spark.createDataFrame(BATCHES[done], ITEM), done)  # done before: nothing happens
+        got.append(fed(finder, spark, k, rows))
+    assert got == WANT
+    again = IncrementalFinder(spark, DedupConfig(), f"file://{tmp_path}/state")
+    assert told(again.items) == [[0, 1, 2, 4, 5], [3], [6]]
+    assert again.status() == {"page_type": "listing page", "ignored": False, "initialized": True, "pending": 0, "num_links": 7, "num_with_dups": 1, "total_dups": 4, "last_batch_error": None}
+
+
+@pytest.mark.parametrize("order", [(2, 1, 0), (1, 2, 0), (2, 0, 1)])
+def test_batches_in_any_order(spark, order):
+    finder = IncrementalFinder(spark, DedupConfig())
+    for k in order:
+        fed(finder, spark, k, BATCHES[k])
+    assert told(finder.items) == [[0, 1, 2, 4, 5], [3], [6]] and finder.status()["total_dups"] == 4 and finder.status()["num_with_dups"] == 1
+
+
+def test_radius_and_groups_over_batches(spark, scratch):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(k, rnd.choice([None, "", f"u{rnd.randint(0, 15)}"]), rnd.choice(["d", "e", None]), rnd.choice([None, -1, rnd.choice([0xFF, 0xFFFF0000, 0x123456789]) ^ sum(1 << rnd.randint(0, 62) for _ in range(rnd.randint(0, 6)))]), rnd.random() < 0.9) for k in range(60)]
+    for config in (DedupConfig(), DedupConfig(partitionByDomain=False, maxHammingDistance=3), DedupConfig(maxHammingDistance=0)):
+        whole = DuplicateFinder(config, scratch).grouped(spark.createDataFrame(rows, ITEM))
+        finder = IncrementalFinder(spark, config)
+        for k, part in enumerate((rows[40:], rows[:10], rows[10:40])):
+            finder.on_batch(spark.createDataFrame(part, ITEM), k)
+        assert not finder.errors and told(finder.items) == told(whole)
+        stats = collapse.stats(whole).first().asDict()
+        assert {k: finder.status()[k] for k in stats} == stats
+
+
+def test_a_failed_batch(spark):
+    bad = spark.createDataFrame([(7, "u1")], "idx bigint, url string")
+    finder = IncrementalFinder(spark, DedupConfig())
+    finder.on_batch(bad, 5)
+    assert 5 in finder.errors and finder.status()["last_batch_error"] == finder.errors[5] and not finder.stats
+    assert fed(finder, spark, 0, BATCHES[0]) == WANT[0]
+    finder.on_batch(spark.createDataFrame([(7, "u1", "d", None, True)], ITEM), 5)
+    assert not finder.errors and told(finder.items) == [[0, 2, 7], [1]]
+    with pytest.raises(Exception, match="visible"):
+        IncrementalFinder(spark, DedupConfig(), on_error="raise").on_batch(bad, 0)
+    with pytest.raises(ValueError):
+        IncrementalFinder(spark, DedupConfig(), on_error="ignore")
+    idle = IncrementalFinder(spark, DedupConfig(), page_type=None)
+    idle.on_batch(bad, 0)
+    assert idle.status()["ignored"] and not idle.errors
 
 
 def test_stream(spark, tmp_path):
@@ -126,15 +212,81 @@ def test_stream(spark, tmp_path):
     assert not finder.errors and told(finder.items) == [[1, 3]]
 
 
+MESSAGES = {
+    (0, 0, 0): "No duplicates found", (3, 9, 0): "No duplicates found", (1, 1, 1): "Found 1 item with 1 duplicate", (2, 3, 3): "Found 2 items with 3 duplicates",
+    (2, 5, 1): "Found 1 duplicate, total 2 items with 5 duplicates", (1, 5, 2): "Found 2 duplicates, total 1 item with 5 duplicates",
+}
+
+
+def test_messages(spark):
+    rows = spark.createDataFrame(list(MESSAGES), "num_with_dups int, total_dups int, batch_total_dups int")
+    assert [r.m for r in rows.select(collapse.stats_message().alias("m")).collect()] == list(MESSAGES.values())
+
+
+def test_clashing_columns_and_toggles(spark, scratch):
+    names = f"{ITEM}, component bigint, process string, label string, pos string, _id int"
+    items = spark.createDataFrame([(k, f"u{k % 2}", "d", None, True, 5, "mine", "x", "y", 3) for k in range(6)], names)
+    finder = DuplicateFinder(DedupConfig(), scratch)
+    rows = {r.idx: r for r in finder.grouped(items).collect()}
+    assert rows[0].label == "(2 duplicates — show)" and rows[0].process == "mine" and rows[2].component == 5 and rows[2].pos == 1 and rows[2].hidden
+    toggled = spark.createDataFrame([(1,), (1,), (None,), (4,)], "primary_idx bigint")
+    rows = {r.idx: r for r in finder.grouped(items, toggled=toggled).collect()}
+    assert [rows[k].hidden for k in range(6)] == [False, False, True, False, True, False]
+    assert rows[0].label == "(2 duplicates — show)" and rows[1].label == "(2 duplicates — hide)"
+    rows = {r.idx: r for r in finder.grouped(items, show=True, toggled=toggled).collect()}
+    assert [rows[k].hidden for k in range(6)] == [False, False, False, True, False, True]
+
+
+def test_display(spark, scratch, tmp_path):
+    items = spark.createDataFrame([(k, f"u{k % 3}", "d", None, True) for k in range(9)], ITEM)
+    grouped = DuplicateFinder(DedupConfig(), scratch).grouped(items)
+    want = [0, 3, 6, 1, 4, 7, 2, 5, 8]
+    assert [r.idx for r in collapse.display_order(grouped).collect()] == want
+    collapse.write_display(grouped, str(tmp_path / "shown"))
+    parts = sorted((tmp_path / "shown").glob("part-*"))
+    assert [r for p in parts for r in pq.read_table(p).column("idx").to_pylist()] == want
+
+
+def test_projection(spark):
+    names = "page_type string, data_url string, data_domain string, search_link string, search_title string, page_url string"
+    rows = [("listing page", "raw", "Raw.D", "x", "y", None), ("search page", "raw", "d", "/a?b", "z", "https://H.i/s"), ("search page", "r", "d", None, "https://T.u/v", "https://h.i/"), ("search page", "r", "d", None, None, "https://h.i/")]
+    got = [(r.url, r.domain) for r in project(spark.createDataFrame(rows, names)).collect()]
+    assert got == [("raw", "Raw.D"), ("https://H.i/a?b", "h.i"), ("https://T.u/v", "t.u"), (None, None)]
+    with pytest.raises(Exception, match="unknown page type: other"):
+        project(spark.createDataFrame([("other", *rows[0][1:])], names)).collect()
+
+
+def test_replies(spark):
+    suffix = domains.IMAGE_HOST_SUFFIX
+    asked = spark.createDataFrame([(0, f"http://a{suffix}/x", "https://p/q"), (1, f"//a{suffix}/bad", "https://p/q"), (2, "http://evil/x", "https://p/q"), (3, f"/x#{suffix}", f"http://a{suffix}/"), (4, None, None)], "k int, url string, page_url string")
+    grid = [float(k % 32) * 8 for k in range(1024)]
+    images = spark.createDataFrame([(f"https://a{suffix}/x", grid), (f"https://a{suffix}/bad", None), (f"https://a{suffix}/x#{suffix}", grid), ("http://evil/x", grid)], "fetch_url string, grid array<double>")
+    got = {r.k: (r.reply, r.error) for r in background_replies(asked, images, "diffHash").collect()}
+    good, bad = (base64.b64encode(bytes.fromhex("011a011aac402c40")).decode(), None), (None, "Failed to get image hash")
+    assert got == {0: good, 1: bad, 2: bad, 3: good, 4: bad}
+
+
 def test_settings(spark, tmp_path):
     config = DedupConfig(domainSettings=(("a.com", False),), hashFunction="diffHash")
     save_settings(spark, str(tmp_path / "s"), config)
     assert load_settings(spark, str(tmp_path / "s")) == config
     assert load_settings(spark, str(tmp_path / "none")) == DedupConfig()
+    assert update_settings(spark, str(tmp_path / "s"), maxHammingDistance=3) == load_settings(spark, str(tmp_path / "s")) == DedupConfig(domainSettings=(("a.com", False),), hashFunction="diffHash", maxHammingDistance=3)
+    reset_settings(spark, str(tmp_path / "s"))
+    assert load_settings(spark, str(tmp_path / "s")) == DedupConfig()
     with pytest.raises(ValueError):
         DedupConfig(hashFunction="md5")
 
 
+ROUTES = [
+    ([], None, "no body class", None), (None, None, "no body class", None), (["single-page", "listing-page"], None, "single page", None), (["listing-page"], "listing page", None, "#siteTable"),
+    (["listing-page", "search-page", "combined-search-page"], "listing page", None, "#siteTable"), (["search-page", "combined-search-page"], "search page", None, ".search-result-group:last"), (["search-page"], "listing page", None, "#siteTable"), (["x"], None, "other", None),
+]
+
+
 def test_routing(spark):
-    rows = spark.createDataFrame([([],), (["single-page"],), (["listing-page"],), (["search-page", "combined-search-page"],), (["x"],)], "c array<string>").select(page_route(F.col("c")).alias("r")).collect()
-    assert [(r.r.page_type, r.r.reason) for r in rows] == [(None, "no body class"), (None, "single page"), ("listing page", None), ("search page", None), (None, "other")]
+    rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(ROUTES)], "k int, c array<string>")
+    got = [r.r for r in rows.select("k", page_route(F.col("c")).alias("r")).orderBy("k").collect()]
+    assert [(r.page_type, r.reason, r.container) for r in got] == [r[1:] for r in ROUTES]
+    got = [r.r for r in rows.select("k", page_route(F.col("c"), F.array(F.lit("#siteTable"))).alias("r")).orderBy("k").collect()]
+    assert [r.container for r in got] == [None if r[3] is None or r[1] == "search page" else r[3] for r in ROUTES] and got[5].reason == "no container"

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Hosts whose images may be fetched: a fixed value.
 IMAGE_HOST_SUFFIX = ".thumbs.redditmedia.com"
 
+#: White space and line ends that are trimmed: fixed values.
+_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
 _VALID = r"^[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63})*$"
 
 
@@ -22,7 +25,7 @@ def is_valid_domain(domain: Column) -> Column:
 
 def normalize_domain(text: Column) -> Column:
     """What a user typed as a domain: of a url the host; without a last dot and one leading www.; null if it's no domain."""
-    plain = F.trim(text)
+    plain = F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
     named = F.when(plain.rlike("[/:]"), host(plain)).otherwise(plain)
     named = F.regexp_replace(named, r"\.$", "")
     return F.when(is_valid_domain(named), F.regexp_replace(F.lower(named), r"^www\.", ""))
@@ -34,7 +37,8 @@ def label_key(domain: Column) -> Column:
 
 
 def sort_key(domain: Column) -> Column:
-    return F.array_join(F.reverse(F.split(domain, r"\.")), ".")
+    """Labels from the top down, so that subdomains stand together; one empty label at the end doesn't count; null for a null domain."""
+    return F.when(domain.isNotNull(), F.array_join(label_key(domain), "."))
 
 
 def suffixes(domain: Column) -> Column:
@@ -43,6 +47,23 @@ def suffixes(domain: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(key)), lambda n: F.array_join(F.slice(key, F.lit(1), n), "."))
 
 
+def resolved(link: Column, page: Column) -> Column:
+    """A link as an absolute url, from that of its page: absolute ones stay; //host, /path, ?query, #mark and relative paths are completed. Dots in paths are left as they are."""
+    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)", 1)
+    folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link == "", F.regexp_replace(page, "#.*$", ""))
+        .when(link.startswith("?"), F.concat(path, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
+        .otherwise(F.concat(folder, link))
+    )
+
+
 def fetchable(url: Column) -> Column:
     return F.coalesce(host(url).endswith(IMAGE_HOST_SUFFIX), F.lit(False))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest(n: int, size: int) -> np.ndarray:
@@ -22,36 +24,57 @@ def luminance(image: dict | None, size: int = 32) -> np.ndarray | None:
     return np.where(pixels[..., 3] == 0, 0.0, mean) if c == 4 else mean
 
 
-def moore_curve(order: int) -> list[tuple[int, int]]:
-    """Cells of the closed Moore curve in 2^order x 2^order, in the order of the walk.
+def hilbert_curve(order: int) -> np.ndarray:
+    """Cells of the Hilbert curve in 2^order x 2^order, from (0, 0) along the axis to (2^order - 1, 0)."""
+    path = np.zeros((1, 2), np.int64)
+    for k in range(order):
+        side = 1 << k
+        turned = path[:, ::-1]
+        path = np.concatenate([turned, path + (0, side), path + side, (2 * side - 1, side - 1) - turned])
+    return path
 
-    The rewriting rules of its L-system are L -> -RF+LFL+FR- and R -> +LF-RFR-FL+ from LFL+F+LFL.
-    """
-    rules = {"L": "-RF+LFL+FR-", "R": "+LF-RFR-FL+"}
-    word = "LFL+F+LFL"
-    for _ in range(order - 1):
-        word = "".join(rules.get(c, c) for c in word)
-    steps = ((1, 0), (0, 1), (-1, 0), (0, -1))
-    x, y, way = 2 ** (order - 1) - 1, 2**order - 1, 3
-    cells = [(x, y)]
-    for c in word:
-        if c == "F":
-            x, y = x + steps[way][0], y + steps[way][1]
-            cells.append((x, y))
-        elif c in "+-":
-            way = (way + (1 if c == "+" else 3)) % 4
-    return cells
+
+def moore_curve(order: int) -> np.ndarray:
+    """Cells (x, y), y downwards, of the closed curve of four Hilbert curves: up the left half in two of them, and down the right half, which is the left one turned by 180 degrees."""
+    side = 1 << order - 1
+    along, away = hilbert_curve(order - 1).T
+    quarter = np.stack([side - 1 - away, side - 1 - along], axis=1)
+    left = np.concatenate([quarter + (0, side), quarter])
+    return np.concatenate([left, 2 * side - 1 - left])
 
 
 #: The 64 cells of order 3 as x + 8 y.
-CURVE = [x + 8 * y for x, y in moore_curve(3)]
+CURVE = [x + 8 * y for x, y in moore_curve(3).tolist()]
 
 
 def text_grid(text: str | None, size: int = 32) -> np.ndarray:
-    """(size, size) code points of a text at nearest places, modulo 256; null or empty gives zeros."""
-    if not text:
+    """(size, size) whole means of a text's UTF-8 bytes: every byte is in one of size^2 equal stretches, or of a shorter text each byte in several; null or empty gives zeros."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    if not len(data):
         return np.zeros((size, size))
-    return np.array([ord(text[k]) % 256 for k in nearest(len(text), size * size)], np.float64).reshape(size, size)
+    ends = np.arange(size * size + 1) * len(data) // (size * size)
+    start, end = ends[:-1], np.maximum(ends[1:], ends[:-1] + 1)
+    sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    return ((sums[end] - sums[start]) // (end - start)).astype(np.float64).reshape(size, size)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def text_picture(text: pd.Series) -> pd.Series:
+    """Whole texts as 32 x 32 grids."""
+    return pd.Series([text_grid(t).ravel() for t in text], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def enlarged(grid8: pd.Series) -> pd.Series:
+    """8 x 8 values, in whole thousandths, as 32 x 32 grids of 4 x 4 equal cells."""
+    return pd.Series([None if g is None else np.kron(np.floor(np.asarray(g, np.float64) * 1000 + 0.5).reshape(8, 8), np.ones((4, 4))).ravel() for g in grid8], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def gray_image(image: pd.DataFrame) -> pd.Series:
+    """Images of Spark's image source as 32 x 32 gray levels, rounded half up; null for a broken one."""
+    grids = [luminance(row) for row in image.to_dict("records")]
+    return pd.Series([None if g is None else np.floor(g + 0.5).astype(np.int32).ravel() for g in grids], dtype=object)
 
 
 def block_means(grid: Column, size: int = 32, blocks: int = 8) -> Column:
@@ -73,6 +96,7 @@ def gray_levels(values: Column) -> Column:
 
 
 def shown_size(width: Column, height: Column, bound: int = 128) -> tuple[Column, Column]:
-    """Width and height, scaled down to the bound with the shape kept."""
-    scale = F.least(F.lit(1.0), F.lit(float(bound)) / F.greatest(width, height))
-    return F.floor(width * scale).cast("int"), F.floor(height * scale).cast("int")
+    """Width and height, scaled down to the bound with the shape kept; one that fits stays as it is."""
+    scale = F.try_divide(F.lit(float(bound)), F.greatest(width, height))
+    fits = F.greatest(width, height) <= bound
+    return tuple(F.when(fits, side).otherwise(F.floor(side * scale)).cast("int") for side in (width, height))

@@ -10,25 +10,24 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.bits import pack_bits
-from twinfold.functions.grids import CURVE, block_means, text_grid
+from twinfold.functions.grids import CURVE, block_means
 
 HASH_FUNCTIONS = ("dctHash", "diffHash", "waveletHash")
 
 
 def diff_hash(grid8: Column) -> Column:
     """Bit k: whether the value rises from the cell before to cell k, along the closed curve."""
-    before = [CURVE[-1], *CURVE[:-1]]
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(before, CURVE, strict=True)))
-    return pack_bits(F.transform(steps, lambda s: F.get(grid8, s["a"]) < F.get(grid8, s["b"])))
+    at = lambda k: F.get(grid8, F.lit(k))
+    return pack_bits(F.array(*(at(a) < at(b) for a, b in zip([CURVE[-1], *CURVE[:-1]], CURVE, strict=True))))
 
 
-def _haar_columns(values: list) -> list:
-    """Coefficients of the full transform of an 8 x 8 grid, in the order of operations of a level: all rows, then all columns."""
+def haar_parts(values: list) -> list:
+    """Coefficients, without their positive scales, of the full transform of an 8 x 8 grid of anything that adds: rows, then columns, of the corner left by the level before."""
     grid = [values[8 * y : 8 * y + 8] for y in range(8)]
     size = 8
     while size > 1:
@@ -45,16 +44,9 @@ def _haar_columns(values: list) -> list:
     return [v for row in grid for v in row]
 
 
-def haar_weights() -> list[list[int]]:
-    """For each of the 64 coefficients, the sign (or 0) with which each cell enters: the transform without its positive scale."""
-    unit = np.eye(64, dtype=int)
-    return [list(map(int, row)) for row in _haar_columns([unit[k] for k in range(64)])]
-
-
 def wavelet_hash(grid8: Column) -> Column:
     """Signs of the Haar coefficients of an 8 x 8 grid, row-major; zero counts as positive. Exact for grids of whole numbers."""
-    weights = F.array(*(F.array(*map(F.lit, row)) for row in haar_weights()))
-    return pack_bits(F.transform(weights, lambda row: F.aggregate(F.zip_with(row, grid8, lambda w, v: w * v), F.lit(0.0), lambda a, v: a + v) >= 0))
+    return pack_bits(F.array(*(c >= 0 for c in haar_parts([F.get(grid8, F.lit(k)) for k in range(64)]))))
 
 
 def fast_dct(x: np.ndarray) -> np.ndarray:
@@ -89,7 +81,7 @@ DCT_ORDER = [(i - j, j) for i in range(1, 11) for j in range(i + 1) if (i, j) !=
 
 
 def _signed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
 def dct_hashes(grids: np.ndarray) -> np.ndarray:
@@ -130,10 +122,11 @@ def wavelet_hashes(grids: np.ndarray) -> np.ndarray:
 
 
 def _batched(column: pd.Series, work) -> pd.Series:
-    good = column.notna()
+    """work() on the grids that are whole; null ones, and those with a value that is no number, have no fingerprint."""
+    good = np.array([g is not None and len(g) == 1024 and bool(np.isfinite(np.asarray(g, np.float64)).all()) for g in column], bool)
     out = pd.Series([None] * len(column), dtype="Int64")
     if good.any():
-        out[good.to_numpy()] = work(np.stack(column[good].to_numpy()).reshape(-1, 32, 32))
+        out[good] = work(np.stack(column[good].to_numpy()).astype(np.float64).reshape(-1, 32, 32))
     return out
 
 
@@ -142,23 +135,41 @@ def dct_hash(grid: pd.Series) -> pd.Series:
     return _batched(grid, dct_hashes)
 
 
-@F.pandas_udf(T.LongType())
-def text_dct_hash(text: pd.Series) -> pd.Series:
-    """Of texts sampled as pictures. The sampling is here and not in nested lambdas: over those, Spark does not always extract a Python UDF."""
-    return pd.Series(dct_hashes(np.stack([text_grid(t) for t in text])) if len(text) else [], dtype="int64")
-
-
 @F.pandas_udf(T.LongType())
 def wavelet_hash32(grid: pd.Series) -> pd.Series:
     return _batched(grid, wavelet_hashes)
 
 
 def image_hash(grid: Column, function: str) -> Column:
-    """The named fingerprint of a 32 x 32 grid; null stays null. A grid made by nested lambdas must be written out first (see text_dct_hash)."""
+    """The named fingerprint of a 32 x 32 grid; null for a null grid or one with a value that is no number.
+
+    A grid made by nested lambdas must be written out before the two Arrow fingerprints: over those, Spark does not always extract a Python UDF.
+    """
     if function == "dctHash":
         return dct_hash(grid)
     if function == "waveletHash":
         return wavelet_hash32(grid)
     if function == "diffHash":
-        return F.when(grid.isNotNull(), diff_hash(block_means(grid)))
+        odd = F.exists(grid, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        return F.when(grid.isNotNull() & (F.size(grid) == 1024) & ~odd, diff_hash(block_means(grid)))
     raise ValueError(f"unknown hash function: {function}")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the fingerprints SQL functions: hamming and hash_hex are plain SQL, which the optimizer sees through; phash_dct, phash_diff and phash_wavelet take 32 x 32 grids."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hamming(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count(a ^ b)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hash_hex(h BIGINT) RETURNS STRING RETURN lower(lpad(hex(h), 16, '0'))")
+    spark.udf.register("phash_dct", dct_hash)
+    spark.udf.register("phash_wavelet", wavelet_hash32)
+    spark.udf.register("phash_diff", _diff_hash32)
+
+
+def diff_hashes(grids: np.ndarray) -> np.ndarray:
+    """Difference fingerprints of (n, 32, 32) grids."""
+    cells = grids.reshape(-1, 8, 4, 8, 4).sum(axis=(2, 4)).reshape(-1, 64)[:, CURVE]
+    return _signed(np.roll(cells, 1, axis=1) < cells)
+
+
+@F.pandas_udf(T.LongType())
+def _diff_hash32(grid: pd.Series) -> pd.Series:
+    return _batched(grid, diff_hashes)

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE = 1 << 16
+from twinfold.plans.storage import join_facts
+
+_SLICE = 1 << 12
+
+#: Columns that groups() adds; columns of the items with these names make way for them.
+ADDED = ("primary_idx", "is_primary", "pos", "dup_count", "hidden", "label")
 
 
 def position(frame: DataFrame, group: str, order: str, out: str = "pos") -> DataFrame:
@@ -24,19 +29,38 @@ def label(n: Column, shown: bool = False) -> Column:
     return F.when(n > 0, F.concat(F.lit("("), n.cast("string"), F.lit(" duplicate"), plural, F.lit(" — hide)" if shown else " — show)")))
 
 
-def groups(items: DataFrame, components: DataFrame, show: bool = False) -> DataFrame:
-    """Add primary_idx, is_primary, pos, dup_count, hidden and label; items without a link are groups of one."""
-    placed = items.join(components.select(F.col("id").alias("idx"), "component"), "idx", "left").withColumn("primary_idx", F.coalesce("component", "idx")).drop("component")
+def groups(items: DataFrame, components: DataFrame, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:
+    """Add primary_idx, is_primary, pos, dup_count, hidden and label; items without a link are groups of one.
+
+    show: whether duplicates are shown at first. toggled: rows (primary_idx) of groups that the user has switched to the other state;
+    a row for a group that is none, or a null one, does nothing. Columns of items with the names of the results are replaced.
+    """
+    own = items.drop(*ADDED)
+    placed = own.join(components.select(F.col("id").alias("idx"), F.col("component").alias("primary_idx")), "idx", "left")
+    placed = placed.withColumn("primary_idx", F.coalesce("primary_idx", "idx"))
     sizes = placed.groupBy("primary_idx").agg((F.count("*") - 1).alias("dup_count"))
-    out = position(placed, "primary_idx", "idx").join(sizes, "primary_idx")
-    first = F.col("primary_idx") == F.col("idx")
-    return out.withColumns({"is_primary": first, "hidden": ~first & F.lit(not show), "label": F.when(first, label(F.col("dup_count"), show))})
+    if toggled is None:
+        sizes = sizes.withColumn("_shown", F.lit(show))
+    else:
+        switched = toggled.where("primary_idx is not null").select("primary_idx", F.lit(not show).alias("_shown")).distinct()
+        sizes = sizes.join(switched, "primary_idx", "left").withColumn("_shown", F.coalesce("_shown", F.lit(show)))
+    out = join_facts(position(placed, "primary_idx", "idx"), sizes, ["primary_idx"])
+    first, shown = F.col("primary_idx") == F.col("idx"), F.col("_shown")
+    named = F.when(shown, label(F.col("dup_count"), True)).otherwise(label(F.col("dup_count")))
+    out = out.withColumns({"is_primary": first, "hidden": ~first & ~shown, "label": F.when(first, named)})
+    return out.select(*own.columns, *ADDED)
 
 
 def display_order(grouped: DataFrame) -> DataFrame:
+    """Items as listed: each group's primary, its duplicates right behind it."""
     return grouped.orderBy("primary_idx", "idx")
 
 
+def write_display(grouped: DataFrame, path: str) -> None:
+    """The listing as Parquet: files in the order of the list, rows within them too."""
+    grouped.repartitionByRange("primary_idx", "idx").sortWithinPartitions("primary_idx", "idx").write.mode("overwrite").parquet(path)
+
+
 def stats(grouped: DataFrame) -> DataFrame:
     """One row: groups with duplicates, and all duplicates."""
     first = F.col("is_primary")
@@ -62,10 +86,16 @@ def batch_stats(before: DataFrame, after: DataFrame, start: int | None, length:
     )
 
 
-def stats_message(kind: str, first: bool) -> Column:
-    """The log line of a batch: none found, first batch, later batch."""
-    n, t, bn, bt = (F.col(c) for c in ("num_with_dups", "total_dups", "batch_num_with_dups", "batch_total_dups"))
-    none = F.lit(f"No duplicates found on {kind}")
-    if first:
-        return F.when(bt == 0, none).otherwise(F.format_string(f"Found %d items with duplicates on {kind}, %d duplicates in all", bn, bt))
-    return F.when(bt == 0, none).otherwise(F.format_string(f"Found %d items with duplicates on {kind}, %d duplicates; %d and %d so far", bn, bt, n, t))
+def _counted(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
+
+
+def stats_message() -> Column:
+    """The log line of a batch's statistics, in one of three shapes: no new duplicates; the first ones; more than before."""
+    items, dups, new = (F.col(c) for c in ("num_with_dups", "total_dups", "batch_total_dups"))
+    known = F.concat(_counted(items, "item"), F.lit(" with "), _counted(dups, "duplicate"))
+    return (
+        F.when(new == 0, F.lit("No duplicates found"))
+        .when(new == dups, F.concat(F.lit("Found "), known))
+        .otherwise(F.concat(F.lit("Found "), _counted(new, "duplicate"), F.lit(", total "), known))
+    )

@@ -2,32 +2,35 @@
 
 Each round is an aggregation with map-side combine and an equi-join, so a node with very many
 links is pre-aggregated and its join partition can be split. Every round is written out, which
-keeps the plan short.
+keeps the plan short; the same job counts what it writes, and rounds end when nothing changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from twinfold.plans.storage import Scratch
+from twinfold.plans.storage import Scratch, join_facts
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return join_facts(both, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = join_facts(down, low, ["a"]).where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The links as a table, and what tells two states apart."""
+    seen = Observation()
+    out = scratch.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("mark")), "links")
+    return out, (seen.get["n"], seen.get["mark"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b") -> DataFrame:
@@ -36,12 +39,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
     Loops and repeated links are harmless; links with a null end are ignored; no links give no rows.
     """
     now = edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b"))
-    now = scratch.save(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = _state(now)
+    now, state = _saved(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
     while state[0]:
-        new = scratch.save(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), "links")
+        new, after = _saved(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), scratch)
         scratch.drop(now)
-        now, before, state = new, state, _state(new)
+        now, before, state = new, state, after
         if state == before:
             break
     roots = now.select(F.col("b").alias("id")).distinct()

@@ -24,22 +24,23 @@ class DuplicateFinder:
         return self.scratch.spark.createDataFrame(rows, "pos int, domain string, value boolean")
 
     def prepared(self, items: DataFrame) -> DataFrame:
-        """Visible items with their fingerprint; it is null without a grid, or where a rule says so."""
-        seen = rules.lookup(items.where("visible"), self.rule_rows(), self.config.deduplicateThumbs)
+        """Visible items with their fingerprint; it is null without a whole grid, or where a rule says so. Other columns come along."""
+        seen = rules.lookup(items.where("visible"), self.rule_rows(), self.config.deduplicateThumbs, out="_process")
         if "hash" not in items.columns:
-            wanted = F.when(F.col("process"), F.col("grid"))
+            wanted = F.when(F.col("_process"), F.col("grid"))
             seen = seen.withColumn("hash", image_hash(wanted, self.config.hashFunction)).drop("grid")
         else:
-            seen = seen.withColumn("hash", F.when(F.col("process"), F.col("hash")))
-        return self.scratch.save(seen.drop("process"), "items")
+            seen = seen.withColumn("hash", F.when(F.col("_process"), F.col("hash")))
+        return self.scratch.save(seen.drop("_process"), "items")
 
     def links(self, items: DataFrame) -> DataFrame:
         by_hash = edges.hash_edges(items, self.config.maxHammingDistance, self.config.partitionByDomain)
         return edges.url_edges(items).unionByName(by_hash)
 
-    def grouped(self, items: DataFrame, show: bool = False) -> DataFrame:
+    def grouped(self, items: DataFrame, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:
+        """The groups of all visible items, as collapse.groups() tells them. Fingerprints are shown, with their place in the listing, if the settings say so."""
         seen = self.prepared(items)
-        out = collapse.groups(seen, connected_components(self.links(seen), self.scratch), show)
+        out = collapse.groups(seen, connected_components(self.links(seen), self.scratch), show, toggled)
         if self.config.showHashValues:
             out = out.withColumn("hash_hex", F.when(F.col("hash").isNotNull(), F.concat(F.lit(" ["), hash_hex(F.col("hash")), F.lit("]"))))
         return out

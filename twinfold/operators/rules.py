@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.domains import label_key, sort_key, suffixes
+from twinfold.plans.storage import join_facts
 
 #: Rules are typed in by hand; beyond this number they are not broadcast.
 _BROADCAST_RULES = 10_000
@@ -18,18 +19,31 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def ordered_rules(rules: DataFrame) -> DataFrame:
-    """Rules as listed to the user: one for each domain, the last, by labels from the top down."""
-    return rules.groupBy("domain").agg(F.max_by("value", "pos").alias("value")).orderBy(sort_key(F.col("domain")))
+    """Rules as listed to the user, rows (domain, value, sort_key): of those with one sort key the last, by labels from the top down."""
+    keyed = rules.withColumn("sort_key", sort_key(F.col("domain")))
+    return keyed.groupBy("sort_key").agg(F.max_by("domain", "pos").alias("domain"), F.max_by("value", "pos").alias("value")).select("domain", "value", "sort_key").orderBy("sort_key")
+
+
+def with_rules(rules: DataFrame, later: DataFrame) -> DataFrame:
+    """Rules with others (pos, domain, value) entered after them."""
+    last = rules.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_last"))
+    return rules.unionByName(later.join(F.broadcast(last)).select((F.col("pos") + F.col("_last") + 1).cast("int").alias("pos"), "domain", "value"))  # last is one row
+
+
+def rule_count(rules: DataFrame) -> DataFrame:
+    """One row: how many rules are listed."""
+    return rules.agg(F.count_distinct(sort_key(F.col("domain"))).alias("n_rules"))
 
 
 def lookup(items: DataFrame, rules: DataFrame, default: bool, domain: str = "domain", out: str = "process") -> DataFrame:
-    """Add the value of the longest matching suffix, or the default. Looked up once for each distinct domain; case counts."""
+    """Add the value of the longest matching suffix, or the default. Looked up once for each distinct domain; case counts. A column of the items named as `out` is replaced."""
     if default is None:
         raise ValueError("a default is needed")
     table = rule_table(rules)
-    known = items.select(F.coalesce(domain, F.lit("")).alias("rule_domain")).distinct()
-    parts = known.select("rule_domain", F.posexplode(suffixes(F.col("rule_domain"))).alias("depth", "suffix"))
+    items = items.drop(out)
+    known = items.select(F.coalesce(domain, F.lit("")).alias("_rule_domain")).distinct()
+    parts = known.select("_rule_domain", F.posexplode(suffixes(F.col("_rule_domain"))).alias("_depth", "suffix"))
     small = rules.limit(_BROADCAST_RULES + 1).count() <= _BROADCAST_RULES
-    found = parts.join(F.broadcast(table) if small else table, "suffix").groupBy("rule_domain").agg(F.max_by("value", "depth").alias("rule_value"))
-    wide = items.withColumn("rule_domain", F.coalesce(domain, F.lit("")))
-    return wide.join(found, "rule_domain", "left").withColumn(out, F.coalesce("rule_value", F.lit(default))).drop("rule_domain", "rule_value")
+    found = parts.join(F.broadcast(table) if small else table, "suffix").groupBy("_rule_domain").agg(F.max_by("value", "_depth").alias("_rule_value"))
+    wide = items.withColumn("_rule_domain", F.coalesce(domain, F.lit("")))
+    return join_facts(wide, found, ["_rule_domain"], "left").withColumn(out, F.coalesce("_rule_value", F.lit(default))).drop("_rule_domain", "_rule_value")

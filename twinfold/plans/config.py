@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +33,18 @@ def save_settings(spark: SparkSession, path: str, config: DedupConfig) -> None:
     spark.createDataFrame([(json.dumps(asdict(config)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def update_settings(spark: SparkSession, path: str, **changes) -> DedupConfig:
+    """Store some settings; the others stay."""
+    config = replace(load_settings(spark, path), **changes)
+    save_settings(spark, path, config)
+    return config
+
+
+def reset_settings(spark: SparkSession, path: str) -> None:
+    """Back to the defaults."""
+    save_settings(spark, path, DedupConfig())
+
+
 def load_settings(spark: SparkSession, path: str) -> DedupConfig:
     """What is stored over the defaults; the defaults where nothing can be read."""
     try:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions import bits, domains, grids, hashes, inverse
 from twinfold.operators import collapse, edges, rules
 from twinfold.operators.components import connected_components
+from twinfold.operators.dedup import DuplicateFinder
+from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
 from twinfold.plans.storage import Scratch
 from twinfold.sources import items as sources
+from twinfold.streaming.incremental import IncrementalFinder
 
 #: Radius of the near-duplicate queries: the test vectors have no pairs within the default of 8.
 RADIUS = 16
@@ -24,8 +34,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text_key(text: str) -> Column:
+    """A key of equal texts; an empty or missing text has none, as an empty url has none."""
+    return F.when(F.col(text) != "", F.md5(F.col(text)))
+
+
 def _text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.md5("text").alias("url"))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), _text_key("text").alias("url"))
 
 
 def _text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +133,17 @@ def wavelet_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dct_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text, sampled at 32 x 32 places, as a picture."""
-    return _table(spark, sf_dir, "documents").select("doc_id", bits.hash_hex(hashes.text_dct_hash(F.col("text"))).alias("hash_hex"))
+    """Of each whole text as a picture."""
+    return _text_hashes(spark, sf_dir, "dctHash")
+
+
+def text_diff_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_hashes(spark, sf_dir, "diffHash")
+
+
+def _text_hashes(spark: SparkSession, sf_dir: str, function: str) -> DataFrame:
+    pictures = _table(spark, sf_dir, "documents").select("doc_id", grids.text_picture("text").alias("grid"))
+    return pictures.select("doc_id", bits.hash_hex(hashes.image_hash(F.col("grid"), function)).alias("hash_hex"))
 
 
 def hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +175,7 @@ def hamming_pairs_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hashed(spark, sf_dir)
-    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False, "bands"), Scratch(spark)))
+    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False), Scratch(spark)))
 
 
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +189,7 @@ def near_dup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_edges_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by text and by a fingerprint from labels, in parts by language."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("idx"), F.md5("text").alias("url"), F.col("lang").alias("domain"), F.when(F.col("toxic") == 1, F.col("n_chars")).alias("hash"))
+    rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("idx"), _text_key("text").alias("url"), F.col("lang").alias("domain"), F.when(F.col("toxic") == 1, F.col("n_chars")).alias("hash"))
     links = edges.url_edges(rows).unionByName(edges.hash_edges(rows, 0, True))
     return collapse.groups(rows, connected_components(links, Scratch(spark))).select("idx", "primary_idx", "dup_count")
 
@@ -191,10 +215,8 @@ def grid_block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text, sampled at 32 x 32 places, by 8 x 8 blocks of 4 x 4."""
-    chars = _table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "").alias("chars"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    place = lambda k: F.floor((2 * k + 1) * F.col("n") / 2048).cast("int")
-    rows = chars.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: (F.ascii(F.get("chars", place(k))) % 256).cast("double")).alias("grid"))
+    """Each whole text as a picture of 32 x 32, by 8 x 8 blocks of 4 x 4."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", grids.text_picture("text").alias("grid"))
     means = grids.block_means(F.col("grid"), 32, 8)
     return rows.select("doc_id", F.array_join(F.transform(means, lambda v: F.floor(v * 1000 + 0.5).cast("bigint").cast("string")), ",").alias("means"))
 
@@ -218,9 +240,173 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.batch_stats(before, wide.select("idx", F.col("p1").alias("primary_idx")), int(cut), n - int(cut))
 
 
+#: The settings of the queries that run the whole grouping: rules by the end of the domain, which is the language.
+FINDER = DedupConfig(hashFunction="diffHash", domainSettings=(("de", False), ("src1.de", True), ("fr", None)))
+
+
+def _finder_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: some share a url, some are hidden, some have no picture."""
+    docs = _table(spark, sf_dir, "documents")
+    picture = F.when(F.col("doc_id") % 13 != 0, grids.text_picture("text"))
+    url = F.when(F.col("n_chars") % 4 == 0, F.concat(F.lit("https://h/"), F.col("n_chars").cast("string"))).otherwise("")
+    return docs.select(F.col("doc_id").alias("idx"), url.alias("url"), F.concat_ws(".", "source", "lang").alias("domain"), (F.col("doc_id") % 11 != 3).alias("visible"), picture.alias("grid"))
+
+
+def finder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grouping, from pictures and rules to groups; groups with an even primary are switched to shown."""
+    items = _finder_items(spark, sf_dir)
+    finder = DuplicateFinder(FINDER, Scratch(spark))
+    toggled = items.where("idx % 2 = 0").select(F.col("idx").alias("primary_idx"))
+    return finder.grouped(items, toggled=toggled).select("idx", "primary_idx", "is_primary", "pos", "dup_count", "hidden", "label", bits.hash_hex(F.col("hash")).alias("hash_hex"))
+
+
+def shown_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints as the listing shows them, without any link by radius."""
+    config = DedupConfig(hashFunction="diffHash", showHashValues=True, maxHammingDistance=0, partitionByDomain=False)
+    return DuplicateFinder(config, Scratch(spark)).grouped(_finder_items(spark, sf_dir)).select("idx", "primary_idx", "hash_hex")
+
+
+def incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items in three batches, of which the first one comes last."""
+    items = Scratch(spark).save(_finder_items(spark, sf_dir), "items")
+    finder = IncrementalFinder(spark, FINDER, on_error="raise")
+    for k in (2, 1, 0):
+        finder.on_batch(items.where((F.col("idx") % 7) % 3 == k), k)
+    return finder.items.select("idx", "primary_idx")
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> IncrementalFinder:
+    """Events in four batches by number, every tenth one hidden; a batch without the columns of items fails in between."""
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("bigint").alias("hash"), (F.col("event_id") % 10 != 0).alias("visible"))
+    n = rows.count()
+    finder = IncrementalFinder(spark, DedupConfig(maxHammingDistance=0))
+    finder.on_batch(rows.select("idx", "url"), 9)
+    for k in range(4):
+        finder.on_batch(rows.where((F.col("idx") >= k * n // 4) & (F.col("idx") < (k + 1) * n // 4)), k)
+    return finder
+
+
+def incremental_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch changes, and the line that is logged of it."""
+    rows = [tuple(s[k] for k in ("batch_id", "num_links", "batch_num_with_dups", "batch_total_dups", "num_with_dups", "total_dups")) for s in _fed(spark, sf_dir).stats.values()]
+    told = spark.createDataFrame(rows, "batch_id bigint, num_links bigint, batch_num_with_dups bigint, batch_total_dups bigint, num_with_dups bigint, total_dups bigint")
+    return told.withColumn("message", collapse.stats_message())
+
+
+def monitor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finder = _fed(spark, sf_dir)
+    told = finder.status() | {"failed_batches": len(finder.errors), "last_batch_error": finder.status()["last_batch_error"] is not None}
+    return spark.createDataFrame([tuple(told.values())], "page_type string, ignored boolean, initialized boolean, pending bigint, num_links bigint, num_with_dups bigint, total_dups bigint, last_batch_error boolean, failed_batches bigint")
+
+
+def item_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed things with their own url and domain, search results with those of their link, which may be relative or missing."""
+    k = F.col("page_id")
+    things = _table(spark, sf_dir, "pages").select(
+        "page_id", F.when(k % 2 == 0, sources.LISTING).otherwise(sources.SEARCH).alias("page_type"), F.col("url").alias("data_url"), F.concat(F.lit("Data"), k % 9).alias("data_domain"),
+        F.when(k % 3 != 0, F.concat(F.lit("/r/"), k)).alias("search_link"), F.when(k % 9 != 0, F.concat(F.lit("https://Other.example/"), k)).alias("search_title"), F.col("url").alias("page_url"),
+    )
+    return sources.project(things).select("page_id", "page_type", "url", "domain")
+
+
+def rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages as rules, in the order of the pages, entered after the fixed ones; as listed, and how many."""
+    hosts = _table(spark, sf_dir, "pages").select("page_id", domains.host(F.col("url")).alias("domain"))
+    later = hosts.groupBy("domain").agg(F.min("page_id").cast("int").alias("pos"), (F.count("*") % 2 == 0).alias("value")).select("pos", "domain", "value")
+    entered = rules.with_rules(spark.createDataFrame(RULES, "pos int, domain string, value boolean"), later)
+    return rules.ordered_rules(entered).join(F.broadcast(rules.rule_count(entered)))  # one row
+
+
+def settings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings stored, changed, read and reset."""
+    path = Scratch(spark).folder("settings")
+    rows = [("absent", str(load_settings(spark, path).maxHammingDistance))]
+    save_settings(spark, path, FINDER)
+    update_settings(spark, path, maxHammingDistance=5)
+    stored = load_settings(spark, path)
+    rows += [("hashFunction", stored.hashFunction), ("maxHammingDistance", str(stored.maxHammingDistance)), ("domainSettings", ",".join(f"{d}={v}" for d, v in stored.domainSettings)), ("partitionByDomain", str(stored.partitionByDomain))]
+    reset_settings(spark, path)
+    rows.append(("reset", load_settings(spark, path).hashFunction))
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for images, of allowed hosts and others, answered with a fingerprint; every fifth image can't be read."""
+    pages = _table(spark, sf_dir, "pages")
+    asked = pages.select("page_id", F.replace("url", F.lit(".example.com"), F.lit(domains.IMAGE_HOST_SUFFIX)).alias("url"), F.lit("https://asking/").alias("page_url"))
+    images = sources.background_requests(asked).join(pages.select("page_id", F.when(F.col("page_id") % 5 != 0, grids.text_picture("html")).alias("grid")), "page_id")
+    images = images.where("fetch_url is not null").groupBy("fetch_url").agg(F.min_by("grid", "page_id").alias("grid"))
+    return sources.background_replies(asked, images, "diffHash").select("page_id", "reply", "error")
+
+
+def _png(levels: np.ndarray) -> bytes:
+    """A 64 x 64 colour picture of 8 x 8 levels, of which the three colours are made."""
+    rgb = np.kron(np.stack([levels, levels * 3 % 256, 255 - levels], axis=2), np.ones((8, 8, 1), int)).astype(np.uint8)
+    raw = b"".join(b"\0" + row.tobytes() for row in rgb)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 64, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def image_files_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as image files, written and read back: fingerprint, and gray levels of the 64 cells. Every seventh file is cut off and can't be read."""
+    folder = Scratch(spark).folder("images")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for i, levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = _png(np.array(levels).reshape(8, 8))
+                with store.open_output_stream(f"{base}/{i}.png") as out:
+                    out.write(data[:20] if i % 7 == 0 else data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    levels = grids.gray_levels(F.transform("grid", lambda v: F.floor(v * 1000).cast("double")))
+    _vectors(spark, sf_dir).select("idx", levels.alias("levels")).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    number = F.regexp_extract("origin", r"(-?\d+)\.png$", 1).cast("bigint")
+    found = sources.image_hashes(spark, folder, "diffHash").select(number.alias("idx"), bits.hash_hex(F.col("hash")).alias("hash_hex"))
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("levels", F.floor(k / 8).cast("int") * 128 + F.pmod(k, F.lit(8)) * 4 + 33)), ",")
+    gray = sources.gray_images(spark, folder).select(number.alias("idx"), F.when(F.col("levels").isNotNull(), cells).alias("gray"))
+    return found.join(gray, "idx")
+
+
+def transforms_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids transformed and back, by Haar and by cosines: as they were."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), grids.enlarged("embedding").alias("grid"))
+    rows = rows.select("idx", inverse.haar_restored("grid").alias("haar"), inverse.dct_restored("grid").alias("cosine"))
+    cells = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get(c, F.floor(k / 8).cast("int") * 128 + F.pmod(k, F.lit(8)) * 4 + 33)), ",")
+    return rows.select("idx", cells("haar").alias("haar"), cells("cosine").alias("cosine"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions; grids with a value that is no number, and missing ones, have no fingerprint."""
+    hashes.register(spark)
+    odd = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda v: F.lit(float("nan")).cast("float"))).when(F.col("vec_id") % 5 != 1, F.col("embedding"))
+    rows = Scratch(spark).save(_table(spark, sf_dir, "embeddings").select("vec_id", grids.enlarged(odd).alias("grid")), "grids")
+    rows.createOrReplaceTempView("twinfold_grids")
+    return spark.sql("SELECT vec_id AS idx, hash_hex(d) AS diff_hex, hash_hex(c) AS dct_hex, hamming(c, d) AS apart FROM (SELECT vec_id, phash_diff(grid) AS d, phash_dct(grid) AS c FROM twinfold_grids)")
+
+
+def compare_all_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's three fingerprints against those of the first one; that one itself gets no comparison."""
+    whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000 + 0.5).cast("double"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", hashes.diff_hash(whole).alias("diff"), hashes.wavelet_hash(whole).alias("wavelet"))
+    rows = Scratch(spark).save(rows.select("idx", "diff", "wavelet", hashes.dct_hash(grids.enlarged("embedding")).alias("dct")), "hashes")
+    names = ("diff", "wavelet", "dct")
+    one = rows.orderBy("idx").limit(1).select(F.col("idx").alias("one"), *(F.col(n).alias(f"one_{n}") for n in names))
+    wide = rows.join(F.broadcast(one))  # a single row
+    return wide.select("idx", *(F.when(F.col("idx") != F.col("one"), bits.hamming(F.col(n), F.col(f"one_{n}"))).alias(f"{n}_distance") for n in names))
+
+
+def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, height = grids.shown_size(F.col("n_chars").cast("int"), (F.col("doc_id") % 300 + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", width.alias("width"), height.alias("height"))
+
+
 _ALL = (
     exact_key_star_edges, exact_key_groups, exact_key_stats, dup_labels, group_members, null_key_semantics, host_extract, domain_normalize, domain_sort_key, suffix_rule_lookup,
-    allowlist_https, page_routing, item_ordinals, diff_hash_hex, wavelet_hash_hex, dct_hash_hex, hash_bits, hash_codec, hash_bitmap, blank_filter, hamming_pairs, hamming_pairs_partitioned,
-    near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, hash_hex_diff, grid_block_mean, text_block_mean, gray_normalize, hash_visuals, batch_stats,
+    allowlist_https, page_routing, item_ordinals, diff_hash_hex, wavelet_hash_hex, dct_hash_hex, text_diff_hash_hex, hash_bits, hash_codec, hash_bitmap, blank_filter, hamming_pairs, hamming_pairs_partitioned,
+    near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, compare_all_to_one, hash_hex_diff, grid_block_mean, text_block_mean, gray_normalize, hash_visuals, batch_stats, finder_groups, shown_hashes,
+    incremental_groups, incremental_stats, monitor_status, item_projection, rule_list, settings_round_trip, image_replies, image_files_hashed, transforms_restored, sql_functions, shown_sizes,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -7,13 +7,17 @@ executor costs a task retry and never a recomputation of earlier rounds.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,55 +32,102 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run, below the shared folder."""
+    """Tables of one operator run, below the shared folder. As a context manager it deletes them at its end; else they last until the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/twinfold-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        _open.append(self)
         atexit.register(self.clear)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write a table, read it again, and let Spark delete the shuffle files that only its making needed."""
+        """Write a table and read it again. Shuffle files that only its making needed go with the end of the write."""
         path = self.folder(name)
-        frame.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            frame.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(frame.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
-        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of save() that nothing reads any more."""
         for frame in frames:
-            self._delete(frame._scratch_path)
+            self.delete(frame._scratch_path)
 
-    def _delete(self, path: str) -> None:
+    def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def clear(self) -> None:
-        """Delete all tables; runs when the driver's process ends."""
+        """Delete all tables."""
+        if self in _open:
+            _open.remove(self)
+        atexit.unregister(self.clear)
         try:
             if self.spark.sparkContext._jsc is not None:
-                self._delete(self.root)
+                self.delete(self.root)
         except Exception as failed:  # the session may be gone by then
             del failed
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Delete the tables of every Scratch made inside, at the end: what they were made for must be written by then."""
+    known = set(map(id, _open))
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _open if id(x) not in known]:
+            scratch.clear()
+
+
 def row_keyed(frame: DataFrame, id_col: str, scratch: Scratch, key: str = "row_key", nulls_last: bool = False) -> DataFrame:
     """Add a bigint key that no two rows share and whose order is that of the ids.
 
     Unique integer ids serve as they are. Null, repeated or other ids get numbers in a table written
-    once, so that every later read sees the same ones.
+    once, so that every later read sees the same ones. Rows of one id are ordered by a hash of the row and their
+    place in the input, so that however many have the same id (or none), they are dealt to many tasks.
     """
     if dict(frame.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         odd = frame.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
         if odd.isEmpty():
             return frame.withColumn(key, F.col(id_col).cast("bigint"))
     order = F.col(id_col).asc_nulls_last() if nulls_last else F.col(id_col).asc_nulls_first()
-    return scratch.save(frame.repartitionByRange(order).sortWithinPartitions(order).withColumn(key, F.monotonically_increasing_id()), "keyed")
+    ties = [F.col("_row_hash"), F.col("_row_place")]
+    told = frame.withColumns({"_row_hash": F.xxhash64(*(F.col(f"`{c}`") for c in frame.columns)), "_row_place": F.monotonically_increasing_id()})
+    return scratch.save(told.repartitionByRange(order, *ties).sortWithinPartitions(order, *ties).drop("_row_hash", "_row_place").withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the facts of their keys, where facts were aggregated by these keys; no key is null.
+
+    Joined plainly, the aggregate's own partitioning would serve the join too, and the rows of a hot key could not
+    be split. Here both sides are dealt by another form of the keys for this join alone, so adaptive execution can split a
+    hot key's rows.
+    """
+    kind = dict(rows.dtypes)[keys[0]]
+    if len(keys) == 1 and kind == "bigint":
+        key = F.bitwise_not(keys[0])
+    elif len(keys) == 1 and kind in ("string", "binary"):
+        key = F.concat(F.lit("=" if kind == "string" else b"="), F.col(keys[0]))
+    else:
+        key = F.struct(*keys)
+    wide = facts.select(key.alias("_facts_key"), *[c for c in facts.columns if c not in keys])
+    return rows.withColumn("_facts_key", key).join(wide, "_facts_key", how).drop("_facts_key")

@@ -1,94 +1,167 @@
 """Grouping over micro-batches.
 
-State is three tables, rewritten as a new version after each batch: items with their primary, the first
-item of each url, and that of each (part, fingerprint). A batch meets the state by equi-joins on its
-keys; components are then found among the batch's items and the primaries they touch, and only groups
-that were touched change. Primaries are smallest ids, so the order in which batches arrive doesn't matter.
+State lies in a folder: the items of each batch, written once with their primary of that time; and a table that
+leads each primary that has lost its place to the one that took it. A batch meets the state by equi-joins on its
+keys, and components are then found among heads only: the batch's items and the primaries they touch. So a batch
+writes its own items and the table of former primaries, never the items of other batches. Primaries are smallest ids, so
+the order in which batches arrive doesn't matter. A batch counts once its statistics are stored, which is the last
+thing it does; after a restart on the same folder, batches done are known, and half-done ones are done again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.operators import collapse, edges
+from twinfold.operators import edges
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
 from twinfold.plans.config import DedupConfig
-from twinfold.plans.storage import Scratch
+from twinfold.plans.storage import Scratch, join_facts, released
+
+#: After so many batches their items are written anew as one table, with their primaries of now.
+COMPACT_EVERY = 64
+
+_ITEM = "idx bigint, url string, domain string, hash bigint, first_primary bigint"
+_FORMER = "was bigint, now bigint"
 
 
 class IncrementalFinder:
-    """Feed process() with batches of items, or use it in foreachBatch. errors lists failed batches; stats has a row for each done batch."""
+    """Feed process() with batches of items, or use on_batch() in foreachBatch.
+
+    path: where the state lies; without one it is scratch and ends with the driver. page_type None: the page is not searched and batches are ignored.
+    errors lists failed batches; stats has a row for each done batch. on_error: "note" a failed batch and go on, or "raise", so that the stream tries it again.
+    """
 
-    def __init__(self, spark: SparkSession, config: DedupConfig):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: DedupConfig, path: str | None = None, page_type: str | None = "listing page", on_error: str = "note"):
+        if on_error not in ("note", "raise"):
+            raise ValueError(f"on_error: {on_error}")
+        self.spark, self.config, self.page_type, self.on_error = spark, config, page_type, on_error
         self.scratch = Scratch(spark)
+        self.root = path.rstrip("/") if path else self.scratch.folder("state")
         self.finder = DuplicateFinder(config, self.scratch)
-        self.items: DataFrame | None = None
-        self.stats: dict[int, dict] = {}
         self.errors: dict[int, str] = {}
+        self.pending, self.initialized = 0, False
+        self.stats: dict[int, dict] = {}
+        #: folders of items, the folder of former primaries, and a number for each version
+        self.parts, self.former_at, self.version, self._unused = [], None, 0, []
+        self._restore()
+        self.initialized = True
+
+    def _restore(self) -> None:
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/done")
+        if not fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+            return
+        rows = sorted((json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/done/*").collect()), key=lambda x: x["version"])
+        self.stats = {r["stats"]["batch_id"]: r["stats"] for r in rows}
+        self.parts, self.former_at, self.version = rows[-1]["parts"], rows[-1]["former"], rows[-1]["version"]
+
+    def status(self) -> dict:
+        """What a monitor may ask for."""
+        last = max(self.stats.values(), key=lambda s: s["version"], default={})
+        return {
+            "page_type": self.page_type, "ignored": self.page_type is None, "initialized": self.initialized, "pending": self.pending, "num_links": sum(s["num_links"] for s in self.stats.values()),
+            "num_with_dups": last.get("num_with_dups", 0), "total_dups": last.get("total_dups", 0), "last_batch_error": self.errors[max(self.errors)] if self.errors else None,
+        }
+
+    @property
+    def items(self) -> DataFrame:
+        """All known items with their primary of now; can be read until two batches later."""
+        return self._items(self.parts, self.former_at)
+
+    def _items(self, parts: list[str], former_at: str | None) -> DataFrame:
+        known = self.spark.read.schema(_ITEM).parquet(*parts) if parts else self.spark.createDataFrame([], _ITEM)
+        former = self._former(former_at).withColumnRenamed("was", "first_primary")
+        return join_facts(known, former, ["first_primary"], "left").select("idx", "url", "domain", "hash", F.coalesce("now", "first_primary").alias("primary_idx"))
+
+    def _former(self, at: str | None) -> DataFrame:
+        return self.spark.read.schema(_FORMER).parquet(at) if at else self.spark.createDataFrame([], _FORMER)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: one failed batch is noted and the stream goes on; a batch done before is not done again."""
-        if batch_id in self.stats:
+        """For foreachBatch: a batch done before is not done again."""
+        if batch_id in self.stats or self.page_type is None:
             return
+        self.pending += 1
         try:
             self.process(batch, batch_id)
+            self.errors.pop(batch_id, None)
         except Exception as failed:
             self.errors[batch_id] = str(failed)
+            if self.on_error == "raise":
+                raise
+        finally:
+            self.pending -= 1
 
     def process(self, batch: DataFrame, batch_id: int) -> dict:
-        seen = self.finder.prepared(batch)
-        scanned = batch.agg(F.min(F.struct("idx", "visible")).alias("x"), F.count("*").alias("n"), F.min("idx").alias("start")).first()
-        visible = seen.agg(F.min("idx").alias("m")).first()["m"]
-        known = self.items
-        if known is None:
-            known = self.spark.createDataFrame([], seen.schema).withColumn("primary_idx", F.lit(0).cast("bigint"))
-        slim = known.select("idx", "url", "domain", "hash")
-        new = seen.select("idx", "url", "domain", "hash")
-        links = self._links(slim, new).unionByName(known.where("idx <> primary_idx").join(self._touched(slim, new), "primary_idx", "left_semi").select(F.col("primary_idx").alias("a"), F.col("idx").alias("b")))
-        parts = connected_components(links, self.scratch).withColumnRenamed("id", "idx")
-        old = known.withColumnRenamed("primary_idx", "old_primary")
-        both = old.unionByName(seen.withColumn("old_primary", F.col("idx")))
-        after = both.join(parts, "idx", "left").withColumn("primary_idx", F.coalesce("component", "old_primary")).drop("component", "old_primary")
-        after = self.scratch.save(after, "state")
-        start = None if visible is None else scanned["start"]
-        told = collapse.batch_stats(known.select("idx", "primary_idx"), after.select("idx", "primary_idx"), start, scanned["n"]).first().asDict()
-        sizes = after.groupBy("primary_idx").agg((F.count("*") - 1).alias("dups"))
-        told |= sizes.agg(F.count_if(F.col("dups") > 0).alias("num_with_dups"), F.coalesce(F.sum("dups"), F.lit(0)).alias("total_dups")).first().asDict()
-        self.items = after
-        self.stats[batch_id] = {"batch_id": batch_id, "num_links": scanned["n"]} | told
-        return self.stats[batch_id]
-
-    def _keys(self, items: DataFrame) -> DataFrame:
-        return edges.hash_keys(items, self.config.partitionByDomain)
+        """Group a batch; gives its statistics. num_links counts invisible items too; an empty batch changes nothing."""
+        with released():
+            return self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> dict:
+        scratch = Scratch(self.spark)
+        seen = DuplicateFinder(self.config, scratch).prepared(batch)
+        scanned = batch.agg(F.count("*").alias("n"), F.min("idx").alias("start")).first()
+        new, known = seen.select("idx", "url", "domain", "hash"), self.items
+        links = scratch.save(self._links(known, new), "met")
+        parts = scratch.save(connected_components(links, scratch), "parts").withColumnsRenamed({"id": "idx", "component": "head"})
+        met = links.where("old").select(F.col("a").alias("primary_idx")).distinct()
+        touched = scratch.save(known.select("primary_idx").join(met, "primary_idx", "left_semi").groupBy("primary_idx").agg(F.count("*").alias("old_size")), "touched")
+        heads = new.select("idx", F.lit(1).cast("bigint").alias("old_size"), F.lit(True).alias("fresh")).unionByName(touched.select(F.col("primary_idx").alias("idx"), "old_size", F.lit(False).alias("fresh")))
+        heads = scratch.save(heads.join(parts, "idx", "left").withColumn("head", F.coalesce("head", "idx")), "heads")
+        visible = seen.count()
+        told = self._told(heads, scanned["start"] if visible else None, scanned["n"])
+        before = max(self.stats.values(), key=lambda s: s["version"], default={"num_with_dups": 0, "total_dups": 0})
+        self.version += 1
+        stats = {"batch_id": batch_id, "version": self.version, "num_links": scanned["n"], "n_items": visible, **{k: told[k] for k in ("batch_num_with_dups", "batch_total_dups")}, **{k: before[k] + told[k] for k in ("num_with_dups", "total_dups")}}
+        self._store(new.join(heads.where("fresh").select("idx", F.col("head").alias("first_primary")), "idx"), heads.where("not fresh and idx <> head").select(F.col("idx").alias("was"), F.col("head").alias("now")), stats)
+        return stats
 
     def _links(self, known: DataFrame, new: DataFrame) -> DataFrame:
-        """Links within the batch, and of its items to known ones with the same url or a fingerprint within the radius."""
-        inside = self.finder.links(new)
-        urls = known.where("url <> ''").groupBy("url").agg(F.min("idx").alias("a")).join(new.select("url", F.col("idx").alias("b")), "url").select("a", "b")
-        old, fresh = (self._keys(x).groupBy("part", "hash").agg(F.min("idx").alias("idx")) for x in (known, new))
-        same = old.select("part", "hash", F.col("idx").alias("a")).join(fresh.select("part", "hash", F.col("idx").alias("b")), ["part", "hash"]).select("a", "b")
-        out = inside.unionByName(urls).unionByName(same)
-        if self.config.maxHammingDistance:
-            marked = old.withColumn("part", F.concat(F.lit("o"), "part")).unionByName(fresh.withColumn("part", F.concat(F.lit("n"), "part")))
-            out = out.unionByName(self._near(marked))
-        return out
-
-    def _near(self, marked: DataFrame) -> DataFrame:
-        """Pairs of a known and a new fingerprint within the radius, by bands."""
-        old = marked.where("part like 'o%'").select("idx", F.substring("part", 2, 1 << 30).alias("part"), "hash")
-        new = marked.where("part like 'n%'").select("idx", F.substring("part", 2, 1 << 30).alias("part"), "hash")
-        cuts = edges.band_cuts(self.config.maxHammingDistance)
-        cut = F.array(*(F.shiftrightunsigned("hash", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in cuts))
-        one = old.select(F.col("idx").alias("a"), "part", F.col("hash").alias("ha"), F.posexplode(cut).alias("band", "value"))
-        two = new.select(F.col("idx").alias("b"), "part", F.col("hash").alias("hb"), F.posexplode(cut).alias("band", "value"))
-        near = one.join(two, ["part", "band", "value"]).where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= self.config.maxHammingDistance)
-        return near.select("a", "b").distinct()
-
-    def _touched(self, known: DataFrame, new: DataFrame) -> DataFrame:
-        """Primaries of groups that the batch links to."""
-        met = self._links(known, new).select(F.explode(F.array("a", "b")).alias("idx")).distinct()
-        state = self.items if self.items is not None else known.withColumn("primary_idx", F.col("idx"))
-        return state.join(met, "idx", "left_semi").select("primary_idx").distinct()
+        """Rows (a, b, old): links within the batch, and from primaries of known items with the same url or a fingerprint within the radius."""
+        inside = self.finder.links(new).withColumn("old", F.lit(False))
+        urls = new.where("url <> ''").select("url", F.col("idx").alias("b"))
+        by_url = known.join(urls.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("primary_idx").alias("a"))
+        out = join_facts(urls, by_url, ["url"]).select("a", "b")
+        radius, domains = self.config.maxHammingDistance, self.config.partitionByDomain
+        fresh = edges.hash_keys(new, domains).groupBy("part", "hash").agg(F.min("idx").alias("a")).withColumnRenamed("hash", "ha")
+        old = edges.hash_keys(known.drop("idx").withColumnRenamed("primary_idx", "idx"), domains).groupBy("part", "hash").agg(F.min("idx").alias("b")).withColumnRenamed("hash", "hb")
+        if radius:
+            near = edges.near_join(fresh, old, radius, edges.choose_blocks(radius, fresh.count(), self._n_items()))
+        else:
+            near = fresh.withColumnRenamed("ha", "hb").join(old, ["part", "hb"])
+        out = out.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return inside.unionByName(out.withColumn("old", F.lit(True)))
+
+    def _n_items(self) -> int:
+        return sum(s["n_items"] for s in self.stats.values())
+
+    def _told(self, heads: DataFrame, start: int | None, length: int) -> dict:
+        """What the batch changes. Its range is start .. start + length, both ends included; a head counts that got its first duplicates, or that lost its place."""
+        sizes = heads.groupBy("head").agg(F.sum("old_size").alias("size"), F.count_if(F.col("old_size") > 1).alias("had"), F.sum(F.col("old_size") - 1).alias("dups"))
+        inside = F.lit(False) if start is None else F.col("idx").between(start, start + length)
+        still = F.col("idx") == F.col("head")
+        batch = join_facts(heads, sizes, ["head"]).agg(F.count_if(inside & still & (F.col("old_size") == 1) & (F.col("size") > 1)).alias("batch_num_with_dups"), F.count_if(inside & ~still).alias("batch_total_dups"))
+        whole = sizes.agg(F.coalesce(F.sum((F.col("size") > 1).cast("int") - F.col("had")), F.lit(0)).alias("num_with_dups"), F.coalesce(F.sum(F.col("size") - 1 - F.col("dups")), F.lit(0)).alias("total_dups"))
+        return batch.first().asDict() | whole.first().asDict()
+
+    def _store(self, items: DataFrame, demoted: DataFrame, stats: dict) -> None:
+        """Write the batch's version, and delete what only the version before the last has used."""
+        v = self.version
+        led = demoted.select(F.col("was").alias("now"), F.col("now").alias("next"))
+        former = self._former(self.former_at).join(led, "now", "left").select("was", F.coalesce("next", "now").alias("now")).unionByName(demoted)
+        parts, former_at, unused = [*self.parts, f"{self.root}/items/{v}"], f"{self.root}/former/{v}", [self.former_at] if self.former_at else []
+        items.select(*(x.split()[0] for x in _ITEM.split(", "))).write.mode("overwrite").parquet(parts[-1])
+        former.write.mode("overwrite").parquet(former_at)
+        if len(parts) >= COMPACT_EVERY:
+            whole = f"{self.root}/items/{v}-whole"
+            self._items(parts, former_at).withColumnRenamed("primary_idx", "first_primary").write.mode("overwrite").parquet(whole)
+            unused += [*parts, former_at]
+            parts, former_at = [whole], None
+        row = json.dumps({"version": v, "parts": parts, "former": former_at, "stats": stats})
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/done/{v}")
+        self.parts, self.former_at, self.stats[stats["batch_id"]] = parts, former_at, stats
+        for path in self._unused:
+            self.scratch.delete(path)
+        self._unused = unused
