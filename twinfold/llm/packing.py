@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def best_fit(lengths: np.ndarray, cap: Capacities) -> tuple[np.ndarray, np.ndarr
 def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int | None = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids]). Only documents over max_len are cut; all pieces but the first have max_len tokens.
 
-    A null text counts as empty; without eos an empty one gives no piece. Null and repeated ids are kept as they are.
+    A null text counts as empty; without eos an empty one gives no piece, an empty table none either. Null and repeated ids are kept as they are, rows
+    of one id are documents of their own. A very long text is encoded whole, in one task. Other columns are ignored, whatever their names.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -102,32 +104,36 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int | None = 2, max_
 
 
 def pack(pieces: DataFrame, n_docs: int, cap: Capacities | None = None, id_col: str = "doc_id", group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Add sequence_id and offset to pieces, which need the columns id, piece, start and length; others come along.
+    """Add sequence_id and offset to pieces, which need the columns id, piece, start and length; others come along as they are, but those two names.
 
-    n_docs sizes the packing groups only. No pieces give no rows.
+    n_docs sizes the packing groups only. Null and repeated ids are kept; pieces of equal length are taken by id (null last), piece and start, and
+    rows that are equal in all of these by the other columns' place. No pieces give no rows. A piece longer than a sequence is an error.
     """
     cap = cap or Capacities()
-    cols = [f"p.{c}" for c in pieces.columns]
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(*(F.col(f"`{c}`") for c in names))
     schema = pieces.limit(0).select("*", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(rows: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        done = rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        yield from done.to_batches(max_chunksize=20000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, alone, short = TaskContext.get().partitionId() << 40, 1 << 39, []
-        for frame in frames:
-            full = frame["length"] == cap.tokens
-            short.append(frame[~full])
-            if full.any():
+        for batch in batches:
+            full = pc.equal(batch.column("length"), cap.tokens)
+            short.append(batch.filter(pc.invert(full)))
+            whole = pa.Table.from_batches([batch.filter(full)])
+            if whole.num_rows:
                 if cap.tokens**2 > cap.attention or cap.documents < 1:
                     raise ValueError("an item exceeds a sequence's capacities")
-                yield frame[full].assign(sequence_id=np.arange(full.sum(), dtype=np.int64) + (first + alone), offset=0)
-                alone += int(full.sum())
-        rows = pd.concat(short or [pd.DataFrame(columns=pieces_columns)])
-        if not len(rows):
-            return
-        rows = rows.sort_values(["length", id_col, "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        seq, offset = best_fit(rows["length"].to_numpy(np.int64), cap)
-        yield rows.assign(sequence_id=seq + first, offset=offset)
-
-    pieces_columns = list(pieces.columns)
+                yield from placed(whole, np.arange(whole.num_rows, dtype=np.int64) + (first + alone), np.zeros(whole.num_rows, np.int64))
+                alone += whole.num_rows
+        if sum(b.num_rows for b in short):
+            rows = pa.Table.from_batches(short).combine_chunks()
+            rows = rows.take(pc.sort_indices(rows.select(["length", id_col, "piece", "start"]), [("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("start", "ascending")]))
+            sequence, offset = best_fit(rows.column("length").to_numpy(), cap)
+            yield from placed(rows, sequence + first, offset)
+
     groups = max(1, math.ceil(n_docs / group_docs))
-    dealt = pieces.alias("p").repartition(groups, F.xxhash64(id_col, "piece", "start")).select(*cols)
-    return dealt.mapInPandas(run, schema)
+    return pieces.repartition(groups, F.xxhash64(id_col, "piece", "start")).mapInArrow(run, schema)
