@@ -3,7 +3,7 @@
 Archives are files of gzip members, one per record. The reader's tasks take byte ranges: each looks
 for the gzip magic from its start, takes a candidate for a member if its first bytes inflate to a
 WARC header, and owns every record that starts inside its range; a record may end beyond it.
-Damaged members are passed over by the same search.
+Damaged members, and responses whose payload doesn't have the digest that their header tells, are passed over by the same search.
 
 Files are opened with pyarrow's file systems by URI, so any store that they reach will do.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import BATCH_ROWS
-from twinfold.plans.storage import Scratch, row_keyed
+from twinfold.llm.common import BATCH_ROWS, small_batches
+from twinfold.plans.storage import Scratch, join_facts, row_keyed
 
 MAGIC = b"\x1f\x8b\x08"
 
-#: Bytes of an archive that a reading task owns.
+#: Bytes of an archive that a reading task owns, of a file that is so long.
 SPLIT_BYTES = 8 << 20
 
+#: Bytes of ranges that a task reads one after another, when there are more.
+TASK_BYTES = 64 << 20
+
 _MANIFEST = "path string, bytes bigint, records bigint"
 _FIELDS = "record_id string, record_type string, target_uri string, refers_to_id string, payload_bytes bigint, payload_digest string, payload binary, at bigint"
 
@@ -55,7 +59,8 @@ def member(data: bytes) -> bytes:
 
 
 def parsed(data: bytes) -> dict | None:
-    """A record's fields; None if it is no whole record."""
+    """A record's fields; None if it is no whole record, or a response with another payload than its digest tells. Length and digest of a response are those of the payload read;
+    a revisit has no payload, and tells them of the response it refers to."""
     head, found, rest = data.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/1."):
         return None
@@ -64,12 +69,18 @@ def parsed(data: bytes) -> dict | None:
         return None
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    told = [v.strip() for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
-    kind = fields.get("warc-type", "")
-    size = int(told[0]) if kind == "revisit" and told and told[0].isdigit() else len(payload)
+    kind, told = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    size, digest = len(payload), told
+    if kind == "revisit":
+        sizes = [v.strip() for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
+        size = int(sizes[0]) if sizes and sizes[0].isdigit() else len(payload)
+    else:
+        digest = sha1_base32(payload)
+        if told and told != digest:
+            return None
     return {
         "record_id": fields.get("warc-record-id", "").strip("<>"), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to_id": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
-        "payload_bytes": size, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "payload": None if kind == "revisit" else payload,
+        "payload_bytes": size, "payload_digest": digest, "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -126,34 +137,37 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 
 
 def write_archives(records: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Write rows (record_id, record_type, target_uri, payload, payload_digest, refers_to_id) to folder, a file for each partition; gives (path, bytes, records).
+    """Write rows (record_id, record_type, target_uri, payload, payload_digest, refers_to_id) to folder, a file for each partition that has rows; gives (path, bytes, records).
 
-    A file is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
+    Each attempt of a task writes a file of its own, and the table lists those of the attempts that count, so nothing is renamed or written over.
+    A null uri or payload counts as empty; columns are taken by name, others are ignored; an empty table gives no files. A record is held whole, one at a time.
     """
+    records = records.select("record_id", "record_type", "target_uri", "payload", "payload_digest", "refers_to_id")
+    small_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, size, out = TaskContext.get().partitionId(), 0, 0, None
+        name, n, size, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0, None
         store, base = pafs.FileSystem.from_uri(folder)
-        path = f"{base}/part-{part:06d}.warc.gz"
-        own = f"{path}.{uuid.uuid4().hex}.tmp"
         for batch in batches:
             for rid, kind, uri, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(own, compression=None)
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                 data = member(record(rid, kind, uri or "", payload or b"", digest, refers))
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out is not None:
             out.close()
-            store.move(own, path)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.gz"]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
 
     return scratch.save(records.mapInArrow(write, _MANIFEST), "manifest")
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the files (path, bytes): one row each, with the place where its member starts. Files of any size are split into ranges."""
+    """The records of the files (path, bytes): one row each, with the place where its member starts. Files of any size are split into ranges; no files give no rows.
+
+    Payloads are bytes as they are; a record without an id, uri or type has an empty or null one. A record is held whole, whatever its length.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FIELDS.split(", ")]
@@ -178,21 +192,26 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                     yield made(rows)
 
     ranges = files.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
-    n = max(1, ranges.count())
-    return ranges.repartition(min(n, 4096), "path", "start").mapInArrow(read, _FIELDS)
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    tasks = max(1, math.ceil(total["b"] / max(split_bytes, TASK_BYTES)), min(math.ceil(total["b"] / split_bytes) + total["n"], 256))
+    return ranges.repartition(tasks).mapInArrow(read, _FIELDS)
 
 
 def with_revisits(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", uri_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Records to write for pages: of equal payloads of at least min_bytes, the smallest id's is the response and the others revisit it.
+    """Records to write for pages: of equal payloads (by 256 bits of SHA-2) of at least min_bytes, the smallest id's is the response and the others revisit it.
 
-    A null payload counts as empty, a null uri too. Null ids rank last; rows with repeated ids are records of their own.
+    A null payload counts as empty, a null uri too. Null ids rank last; rows with repeated ids are records of their own, equal rows too. Other columns are ignored,
+    whatever their names; an empty table gives no records.
     A record's id is urn:x-page:<id>, URL-encoded if it is no integer, with :row:<number> after it if row numbers stand in for the table's ids; a null id's is urn:x-row:<number>.
     """
     own = row_keyed(pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("target_uri"), F.coalesce(F.col(text_col), F.lit("")).alias("html")), "id", scratch, nulls_last=True)
-    own = own.withColumns({"sha1": F.unhex(F.sha1(F.col("html").cast("binary"))), "n": F.octet_length("html")})
-    first = own.groupBy("sha1", "n").agg(F.min("row_key").alias("first"), F.min_by("id", "row_key").alias("first_id"))
-    linked = own.join(first, ["sha1", "n"])
+    facts = own.select("row_key", "id", F.octet_length("html").alias("n"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same"))
+    first = facts.groupBy("same").agg(F.min("row_key").alias("first"), F.min_by("id", "row_key").alias("first_id"))
     revisit = (F.col("first") != F.col("row_key")) & (F.col("n") >= min_bytes)
+    # only keys and digests meet by payload; the payloads then join by their own rows' keys, of which none is hot
+    told = join_facts(facts, first, ["same"]).select("row_key", revisit.alias("revisit"), "first", "first_id")
+    linked = own.join(told, "row_key").withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    revisit = F.col("revisit")
     whole = dict(own.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
 
     def urn(page: Column, row: Column) -> Column:
