@@ -101,7 +101,40 @@ a AS (SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed, c
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """
 
+# fixed values: the ladders of cutoffs, safest first, and what each is about
+_LADDERS = {
+    "n_symbols / n_words": [1.5, 1.2, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
+    "n_dup_lines / nullif(n_lines, 0)": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3],
+    "n_repeat_words / n_words": [0.5, 0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "n_capitals / nullif(word_chars, 0)": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
+}
+_STEPS = ", ".join(f"({f}, {k}, {c}::DOUBLE)" for f, ladder in enumerate(_LADDERS.values()) for k, c in enumerate(ladder))
+_VALUES = " UNION ALL ".join(f"SELECT doc_id, stratum, {f} AS f, ({value})::DOUBLE AS v FROM b WHERE NOT base_failed" for f, value in enumerate(_LADDERS))
+
+# good documents may be rejected at 0.04 in all, 0.01 by each of four features, with an error of 0.05 shared among features and strata
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+r AS (SELECT doc_id, count(DISTINCT i + s)::BIGINT AS n_repeat_words FROM (SELECT doc_id, i FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2)
+  QUALIFY count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1), range(3) z(s) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+c AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals FROM l LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+q AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT stratum, good, doc_id FROM b JOIN q USING (doc_id) WHERE NOT base_failed),
+n AS (SELECT stratum, count_if(good)::BIGINT AS n_good, count(*) OVER () AS n_strata FROM h GROUP BY stratum),
+v AS ({_VALUES}),
+s AS (SELECT * FROM (VALUES {_STEPS}) AS t(f, place, cut)),
+k AS (SELECT stratum, f, place, cut, count_if(good AND v > cut)::BIGINT AS rejected, count_if(NOT good AND v > cut)::BIGINT AS caught FROM v JOIN h USING (doc_id, stratum) JOIN s USING (f) GROUP BY ALL),
+p AS (SELECT k.*, n_good, n_strata, CASE WHEN n_good <= 0 OR rejected >= n_good THEN 1.0 ELSE
+  list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.01::DOUBLE) + (n_good - i) * ln(0.99::DOUBLE)))) END AS p FROM k JOIN n USING (stratum)),
+f AS (SELECT *, bool_and(rejected <= 0.01 * n_good AND p <= 0.05::DOUBLE / (4 * n_strata)) OVER (PARTITION BY stratum, f ORDER BY place) AS certified FROM p),
+x AS (SELECT stratum, f, arg_max(cut, caught * 100 - place) AS cut FROM f WHERE certified AND caught > 0 GROUP BY stratum, f),
+y AS (SELECT DISTINCT doc_id FROM v JOIN x USING (stratum, f) WHERE v > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND y.doc_id IS NULL AS kept FROM b LEFT JOIN y USING (doc_id)
+"""
+
 ORACLE = {
-    "op2_warc_round_trip": _WARC, "op4_exact_dedup": _EXACT, "op5_preference_formatting": _PREFERENCE, "op6_line_dedup": _LINES,
+    "op2_warc_round_trip": _WARC, "op3_quality_rules": _QUALITY, "op4_exact_dedup": _EXACT, "op5_preference_formatting": _PREFERENCE, "op6_line_dedup": _LINES,
     "op7_minhash_near_dedup": _NEAR, "op8_suffix_array_dedup": _SUFFIX, "op9_substring_dedup": _SUBSTRING,
 }
