@@ -49,8 +49,10 @@ def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever their names. Ties, nulls and empty tables as in exact_groups()."""
     key = "exact_dedup_key"
+    while key in docs.columns:
+        key += "_"
     keyed = row_keyed(docs, id_col, scratch, key, nulls_last=keep == "smallest")
     groups = exact_groups(keyed.select(F.col(key).alias("k"), F.col(text_col).alias("t")), scratch, "k", "t", keep)
     return keyed.join(groups.where("kept").select(F.col("k").alias(key)), key, "left_semi").drop(key)
