@@ -11,13 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.plans.storage import join_facts
+
 #: A rendered turn.
 BEFORE, BETWEEN, AFTER = "<|", "|>\n", "\n<|end|>\n"
 
 
 def star_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> DataFrame:
     """Rows (pair_id, chosen, rejected): among conversations with the same first turn, the one with most characters by
-    the learner (of equals the smallest id) is chosen against each other one. A group of n gives n - 1 pairs. Identical rows count once."""
+    the learner (of equals the smallest id) is chosen against each other one. A group of n gives n - 1 pairs.
+
+    A null role or text counts as empty; rows without a conversation or number are left out; identical rows count once, of different rows with the first number the one with the
+    smallest digest is the first turn. An empty table gives no pairs; very long turns are compared by a 256-bit digest. Other columns are ignored."""
     rows = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     chars = F.when(F.col(role) == learner, F.length(F.coalesce(text, F.lit("")))).otherwise(0)
     said = rows.select(F.col(conv).alias("c"), F.col(turn).alias("first"), chars.alias("chars"), F.sha2(F.concat_ws("\x00", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256).alias("head")).distinct()
@@ -25,13 +30,15 @@ def star_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     heads = said.groupBy("c", "first").agg(F.min("head").alias("head"))
     known = facts.join(heads, ["c", "first"]).select("c", "score", "head")
     best = known.groupBy("head").agg(F.max(F.struct("score", (-F.col("c")).alias("low"))).alias("m")).select("head", (-F.col("m.low")).alias("chosen"))
-    return known.join(best, "head").where("c <> chosen").select(F.col("c").alias("pair_id"), "chosen", F.col("c").alias("rejected"))
+    return join_facts(known, best, ["head"]).where("c <> chosen").select(F.col("c").alias("pair_id"), "chosen", F.col("c").alias("rejected"))
 
 
 def stale_replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(pairs, turns) for conversations without a partner: each, up to the learner's last turn, is chosen against itself with
     that turn's text replaced by that of the learner's turn before (empty if there is none). The rejected one's id is -1 - id.
-    Turns are numbered anew in the order of (turn, role, text), identical rows once, so those of one number stay apart."""
+    Turns are numbered anew in the order of (turn, role, text), identical rows once, so those of one number stay apart.
+
+    Nulls as in star_pairs(); a conversation in which the learner says nothing gives no pair, an empty table none. Other columns are ignored."""
     rows = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint"))
     said = rows.where(F.col("role") == learner)
