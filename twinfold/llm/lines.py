@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.bloom import Filter, repeated_filter
-from twinfold.llm.common import WHITE, map_rows
+from twinfold.llm.bloom import Filter, bits_for, repeated_filter
+from twinfold.llm.common import WHITE, map_rows, small_batches
 from twinfold.plans.storage import Scratch, row_keyed
 
 
@@ -36,12 +36,13 @@ def kept_text(text: bytes, drop: set[bytes], min_chars: int) -> tuple[bytes, int
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40, keep: str = "largest", bloom_bits: int = 1 << 26, with_text: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40, keep: str = "largest", bloom_bits: int | None = None, with_text: bool = False) -> DataFrame:
     """Rows (id, n_lines, n_dropped, kept_sha256[, kept_text]), one per input row.
 
     Keys of min_chars code points or more in at least min_docs documents lose all their lines but those
     of the document with the largest (or smallest) id; there all stay. A null or empty text is one empty line.
-    Null ids rank lowest; rows with a repeated id are documents of their own. Other columns are ignored.
+    Null ids rank lowest; rows with a repeated id are documents of their own, equal rows too. Other columns are ignored, whatever their names; an empty table
+    gives no rows. A very long text is one row of one task. bloom_bits: the filters' size; by default it follows the table's.
     """
     if min_docs < 2 or keep not in ("largest", "smallest"):
         raise ValueError("min_docs: 2 or more; keep: largest or smallest")
@@ -54,7 +55,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     def hashes(text: bytes) -> set[int]:
         return {xxhash.xxh3_64_intdigest(k) for k in keys(text)}
 
-    seen = docs.sparkSession.sparkContext.broadcast(repeated_filter(own.select("text"), hashes, bloom_bits).twice)
+    small_batches(docs.sparkSession)
+    seen = docs.sparkSession.sparkContext.broadcast(repeated_filter(own.select("text"), hashes, bloom_bits or bits_for(own.select("text"), 32)).twice)
     extra = ", kept_text string" if with_text else ""
     result = f"n_lines bigint, n_dropped bigint, kept_sha256 string{extra}"
 
