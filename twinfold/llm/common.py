@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; texts may be long, so fewer than Spark's own 10,000.
-BATCH_ROWS = 256
+#: Rows and bytes handed to Python at once; texts may be long, so fewer than Spark's own 10,000. Rows turned into Python objects at once.
+BATCH_ROWS, BATCH_BYTES, _SLICE = 256, 8 << 20, 32
 
 #: ASCII white space: the separators of words.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -26,10 +26,21 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows; only a few are Python objects at a time."""
+    for at in range(0, batch.num_rows, _SLICE):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, _SLICE).columns), strict=True)
+
+
 def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str, flush: int = 20000) -> DataFrame:
-    """Apply work(*row) to each row; it yields the rows of the result. Never holds more than `flush` results."""
+    """Apply work(*row) to each row; it yields the rows of the result. Holds `flush` results and one row's at most."""
     spark = frame.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     target = spark.createDataFrame([], schema).schema
     types = [_arrow_type(f.dataType.simpleString()) for f in target.fields]
     fields = pa.schema([pa.field(f.name, t) for f, t in zip(target.fields, types, strict=True)])
@@ -37,7 +48,7 @@ def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in _rows(batch):
                 out.extend(work(*row))
                 if len(out) >= flush:
                     yield _batch(out, fields)
@@ -51,7 +62,7 @@ def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str
 def map_columns(frame: DataFrame, work: Callable[..., tuple | None], schema: str, flush: int = 200_000) -> DataFrame:
     """As map_rows, for many small results: work(*row) gives a tuple of numpy arrays, one for each column, or None."""
     spark = frame.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     target = spark.createDataFrame([], schema).schema
     fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in target.fields])
 
@@ -61,7 +72,7 @@ def map_columns(frame: DataFrame, work: Callable[..., tuple | None], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in _rows(batch):
                 got = work(*row)
                 if got is None or not len(got[0]):
                     continue
