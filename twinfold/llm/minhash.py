@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from twinfold.llm.common import map_rows, signed
 from twinfold.operators.components import connected_components
-from twinfold.plans.storage import Scratch, row_keyed
+from twinfold.plans.storage import Scratch, join_facts, row_keyed
 
 BUCKETS, MANTISSA, BAND = 256, 10, 4
 #: The smallest percent at which a pair misses all bands with probability 5e-8; at 70 it would be 1.5e-4, at 50 13 %.
@@ -101,7 +101,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the
     smallest id reachable, and that document is kept. Texts without words (null, empty, white space) are linked with nothing.
-    Rows with null or repeated ids are documents of their own. Other columns are ignored. class_key: the first row with the same set.
+    Rows with null or repeated ids are documents of their own, equal rows copies of each other. Other columns are ignored, whatever their names; an empty table
+    gives no rows. A very long text is one row of one task, whose set of shingle hashes it holds. class_key: the first row with the same set.
     The bands are made for similarities from LEAST_PERCENT; a lower percent would lose pairs unseen and raises ValueError.
     """
     if percent < LEAST_PERCENT:
@@ -119,13 +120,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     nodes = scratch.save(sketches.join(classes.where("row_key = class_key").select("row_key"), "row_key", "left_semi").select(F.col("row_key").alias("node"), "n", "regs"), "nodes")
 
     bands = map_rows(nodes.select("node", "regs"), lambda node, regs: ((node, b, k) for b, k in band_keys(np.frombuffer(regs, np.uint16))), "node bigint, band int, key bigint")
+    bands = scratch.save(bands, "bands")
     several = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = scratch.save(bands.join(several, "key").select("key", "band", "node", "size"), "buckets")
+    buckets = scratch.save(join_facts(bands, several, ["key"]).select("key", "band", "node", "size"), "buckets")
+    scratch.drop(bands)
 
     # the member with most company leads its band
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     leads = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("key", (-F.col("m.col2")).alias("lead"))
-    led = buckets.join(leads, "key").where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    led = join_facts(buckets, leads, ["key"]).where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
     nearest = led.groupBy("node").agg(F.max(F.struct("shared", -F.col("lead"))).alias("m")).select("node", (-F.col("m.col2")).alias("lead"))
     stars = nearest.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = _linked(_likely(stars, nodes, percent / 100), own, scratch, width, percent)
@@ -134,7 +137,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     # members of one band in different components, block by block
     placed = buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q")
-    left = scratch.save(placed.join(mixed, "key").select("key", "band", "node", "part", "members"), "mixed")
+    left = scratch.save(join_facts(placed, mixed, ["key"]).select("key", "band", "node", "part", "members"), "mixed")
     across = _across(left, nodes, percent / 100)
     more = _linked(scratch.save(across, "across"), own, scratch, width, percent)
     found = scratch.save(connected_components(links.unionByName(more), scratch), "components")
