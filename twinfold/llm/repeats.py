@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from twinfold.llm.anchors import Plan, Sequence
 from twinfold.llm.common import map_rows
-from twinfold.plans.storage import Scratch
+from twinfold.plans.storage import Scratch, join_facts
 
 _UNITS = "row_key bigint, s int, lo int, hi int, core binary, ctx binary"
 
@@ -36,11 +36,11 @@ def _settled(units: DataFrame, scratch: Scratch, last: bool) -> tuple[DataFrame,
     """(intervals of repeats, intervals to cut)."""
     ctx = units.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min("row_key").alias("one"))
     if last:
-        again = ctx.where("n > 1")
-        return scratch.save(units.join(again, ["core", "ctx"]).select("row_key", "lo", "hi"), "repeats"), None
+        again = ctx.where("n > 1").select(F.concat("core", "ctx").alias("both"))
+        return scratch.save(join_facts(units.withColumn("both", F.concat("core", "ctx")), again, ["both"]).select("row_key", "lo", "hi"), "repeats"), None
     ctx = scratch.save(ctx, "contexts")
     core = ctx.groupBy("core").agg(F.sum("n").alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1")
-    told = scratch.save(units.join(ctx.join(core, "core"), ["core", "ctx"]).select("row_key", "s", "lo", "hi", (F.col("n") > 1).alias("again"), ((F.col("single") > 0) & ((F.col("n") == 1) | (F.col("row_key") == F.col("one")))).alias("cut")), "settled")
+    told = scratch.save(units.join(join_facts(ctx, core, ["core"]), ["core", "ctx"]).select("row_key", "s", "lo", "hi", (F.col("n") > 1).alias("again"), ((F.col("single") > 0) & ((F.col("n") == 1) | (F.col("row_key") == F.col("one")))).alias("cut")), "settled")
     scratch.drop(ctx)
     return told.where("again").select("row_key", "lo", "hi"), told.where("cut").select("row_key", "s", "lo", "hi")
 
