@@ -2,10 +2,13 @@ import base64
 import collections
 import gzip
 import hashlib
+import io
 import math
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +17,9 @@ from tokenizers import Tokenizer
 
 from twinfold.llm import bloom, bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
 from twinfold.llm.common import byte_tokenizer
+from twinfold.llm.oracle import ORACLE
 from twinfold.llm.queries import QUERIES
+from twinfold.plans.storage import row_keyed
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Nulls, empty and white-space texts, ties, repeated rows, and columns whose names the operators use themselves.
@@ -61,6 +66,21 @@ def test_tables_without_rows(spark, scratch):
     assert warc.read_archives(warc.write_archives(warc.with_revisits(pages, scratch), scratch.folder("a"), scratch)).collect() == []
 
 
+def test_one_id_for_all_rows_is_dealt_to_many_tasks(spark, scratch):
+    rows = spark.range(4000).select(F.lit(None).cast("bigint").alias("id"), F.when(F.col("id") < 3000, F.col("id").cast("string")).otherwise("same").alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    keyed = row_keyed(rows, "id", scratch)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert keyed.select("row_key").distinct().count() == 4000
+    per = [r["count"] for r in keyed.groupBy(F.shiftright("row_key", 33)).count().collect()]
+    assert len(per) == 4 and max(per) < 2000
+
+
+def test_exact_keeps_a_column_of_any_name(spark, scratch):
+    got = exact.exact_dedup(spark.createDataFrame([(1, "a", "x", "h"), (2, "a", "y", "h")], "doc_id bigint, text string, exact_dedup_key string, h string"), scratch).collect()
+    assert [tuple(r) for r in got] == [(1, "a", "x", "h")]
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact(docs, rows, scratch, keep, weak):
@@ -77,28 +97,42 @@ def test_exact(docs, rows, scratch, keep, weak):
     assert exact.exact_dedup(docs, scratch, keep=keep).count() == len(groups)
 
 
-def test_packing(docs, rows):
+def whole_pieces(texts, got):
+    """Pieces, as counted, are those of the texts' ids; sequences have no gaps and keep their length."""
     t = Tokenizer.from_file(PATH)
-    got = packing.pack(packing.token_pieces(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), PATH), 100).collect()
-    at, per = collections.defaultdict(list), collections.defaultdict(list)
+    at, want = collections.defaultdict(list), collections.Counter()
     for r in got:
         at[r.sequence_id].append((r.offset, r.length))
-        per[r.doc_id].append(r)
     for spans in at.values():
         end = 0
         for offset, length in sorted(spans):
             assert offset == end
             end += length
         assert end <= 1024
-    texts = {i: x or "" for i, x in rows if i is not None}
-    assert set(per) == set(texts)
-    for i, pieces in per.items():
-        ids = np.array(t.encode(texts[i], add_special_tokens=False).ids + [2], "<u4")
-        pieces.sort(key=lambda r: r.piece)
-        assert [r.piece for r in pieces] == list(range(len(pieces))) and sum(r.length for r in pieces) == len(ids)
-        assert all(r.length == 1024 for r in pieces[1:])
-        for r in pieces:
-            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for i, x in texts:
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
+        start, end, piece = 0, len(ids) % 1024 or 1024, 0
+        while start < len(ids):
+            want[i, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())] += 1
+            start, end, piece = end, end + 1024, piece + 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_packing(docs, rows):
+    whole_pieces(rows, packing.pack(packing.token_pieces(docs, PATH), 100).collect())
+
+
+def test_packing_keeps_large_ids_beside_null(spark):
+    big = 1 << 60
+    rows = [(None, "a b c"), (None, None), (big + 1, "d e"), (big + 2, "d e"), (big + 2, "d e"), (-big - 3, "x " * 3000), (7, "")]
+    pieces = packing.token_pieces(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), PATH)
+    whole_pieces(rows, packing.pack(pieces, 3, group_docs=1).collect())
+    whole_pieces(rows, packing.pack(pieces, len(rows)).collect())
+    clash = pieces.withColumns({"offset": F.lit("x"), "sequence_id": F.lit("y"), "row_key": F.lit(1.5)})
+    got = packing.pack(clash, len(rows))
+    assert dict(got.dtypes)["offset"] == "bigint" and {r.row_key for r in got.collect()} == {1.5}
+    named = packing.token_pieces(spark.createDataFrame([("z", "a"), (None, "b")], "doc_id string, text string"), PATH)
+    assert {r.doc_id for r in packing.pack(named, 2).collect()} == {"z", None}
 
 
 @pytest.mark.parametrize("score", ["norm", "dot"])
@@ -143,7 +177,9 @@ def test_warc(spark, scratch):
             assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
             assert r.record_type == ("response" if first[h or ""] == k else "revisit")
             assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == data
-    path = files.first()["path"].removeprefix("file://")
+    paths = [r.path.removeprefix("file://") for r in files.collect()]
+    path = max(paths, key=lambda x: len(open(x, "rb").read()))
+    assert len(set(paths)) == len(paths)
     assert gzip.open(path).read().startswith(b"WARC/1.1")
     data = bytearray(open(path, "rb").read())
     whole = len(list(warc.records_in(open(path, "rb"), len(data), 0, len(data))))
@@ -153,6 +189,23 @@ def test_warc(spark, scratch):
     assert len(list(warc.records_in(open(broken, "rb"), len(data), 0, len(data)))) == whole
 
 
+def test_warc_passes_over_what_its_digest_denies():
+    good = warc.record("urn:x-page:1", "response", "u", b"payload", warc.sha1_base32(b"payload"))
+    bad = warc.record("urn:x-page:2", "response", "u", b"payloaD", warc.sha1_base32(b"payload"))
+    data = warc.member(bad) + warc.member(good) + warc.member(bad)
+    assert [f["record_id"] for _, f in warc.records_in(io.BytesIO(data), len(data), 0, len(data))] == ["urn:x-page:1"]
+    assert warc.parsed(good)["payload_bytes"] == 7 and warc.parsed(good[:-20]) is None
+
+
+def test_warc_clashing_columns_and_equal_digests_of_other_lengths(spark, scratch):
+    names = "page_id bigint, url string, html string, id string, first string, n string, same string, row_key string, revisit string, payload string"
+    pages = spark.createDataFrame([(k, None, h, *["c"] * 7) for k, h in ((3, "x"), (1, "x"), (2, None), (4, ""), (5, "y" * 200_000))], names)
+    records = warc.with_revisits(pages, scratch, min_bytes=1).withColumn("extra", F.lit("e"))
+    got = {r.record_id: r for r in warc.read_archives(warc.write_archives(records, scratch.folder("c"), scratch), 100).collect()}
+    assert {k: (r.record_type, r.refers_to_id) for k, r in got.items()} == {"urn:x-page:1": ("response", None), "urn:x-page:2": ("response", None), "urn:x-page:3": ("revisit", "urn:x-page:1"), "urn:x-page:4": ("response", None), "urn:x-page:5": ("response", None)}
+    assert got["urn:x-page:5"].payload_bytes == 200_000
+
+
 def test_warc_gives_back_null_and_repeated_ids(spark, scratch, tmp_path):
     pages = [(50, "same"), (7, "a"), (7, "same"), (None, "same"), (9, None), (None, "own"), (None, "own"), (-3, ""), (100, "b"), (7, "a")]
     spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in pages], "page_id bigint, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
@@ -192,6 +245,36 @@ def test_quality(spark, docs, rows, scratch):
     assert sorted(r.id for r in quality.verdicts(table, labels, scratch).where("kept").collect()) == list(range(3000))
 
 
+def test_quality_cutoffs_of_several_strata(spark, tmp_path):
+    """Against the SQL: strata with many labels, few, and none; features that tell the good from the bad, and one that doesn't."""
+    rnd = random.Random(13)
+    docs, labels = [], []
+    for k in range(9000):
+        lang = ("aa", "bb", "cc", None)[min(3, rnd.randint(0, 9) // 2)]
+        bad = rnd.random() < 0.3
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(55, 70))]
+        if lang == "aa" and rnd.random() < (0.9 if bad else 0.004):
+            words = [w + "#" for w in words]
+        if lang == "bb" and bad:
+            words = ["WXYZ" + w for w in words]
+        if lang is None and rnd.random() < (0.9 if bad else 0.1):
+            words = [w + "$" for w in words]
+        docs.append((k, " ".join(words), lang))
+        if lang != "cc" or k % 40 == 0:
+            labels.append((k, int(not bad), 0))
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = db.execute(ORACLE["op3_quality_rules"])
+    names = [d[0] for d in found.description]
+    got = QUERIES["op3_quality_rules"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(found.fetchall())
+    lost = collections.Counter(docs[r.doc_id][2] for r in got if not r.kept)
+    assert set(lost) == {"aa", "bb"} and lost["aa"] > 300 and lost["bb"] > 300
+
+
 def test_binomial_tail():
     assert quality.tail_p(10, 0, 0.5) == pytest.approx(2**-10)
     assert quality.tail_p(10, 4, 0.3) == pytest.approx(sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(5)))
@@ -208,6 +291,39 @@ def test_lines(spark, scratch):
     assert got[0].kept_text == f"own 0\n{rare}" and got[6].kept_text == table[6][1]
 
 
+def brute_lines(rows, min_docs, min_chars):
+    keys = [[x.decode() for x in ((y.strip(b" \t\n\x0b\x0c\r").lower()) for y in (t or "").encode().split(b"\n"))] for _, t in rows]
+    holders = collections.defaultdict(set)
+    for k, ks in enumerate(keys):
+        for x in ks:
+            if len(x) >= min_chars:
+                holders[x].add(k)
+    rank = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    keeper = {x: max(h, key=rank) for x, h in holders.items() if len(h) >= min_docs}
+    out = collections.Counter()
+    for k, (i, t) in enumerate(rows):
+        kept = [y for y, x in zip((t or "").split("\n"), keys[k], strict=True) if x not in keeper or rank(keeper[x]) == rank(k)]
+        out[i, len(keys[k]), len(keys[k]) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("bits", [None, 8])
+def test_lines_of_odd_rows(docs, rows, scratch, bits):
+    """Nulls, empty, repeated and very long texts, clashing names; also with filters so full that all is suspected."""
+    got = lines.dedup_lines(docs, scratch, bloom_bits=bits).collect()
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == brute_lines(rows, 5, 40)
+    assert sum(r.n_dropped for r in got) > 5
+
+
+def test_filter_sizes(spark):
+    small = spark.createDataFrame([("x",)], "text string")
+    assert bloom.bits_for(small, 64) == bloom.bits_for(small, 32) // 2 == 1 << 28
+    assert bloom.bits_for(spark.range(10), 64) == bloom.MIN_BITS
+    assert bloom.bits_for(spark.range(1 << 40), 64) == bloom.MAX_BITS
+    with pytest.raises(ValueError, match="bits"):
+        bloom.repeated_filter(small, lambda t: {1}, 3 << 20)
+
+
 def test_filter_misses_nothing(spark):
     sets = [[(k * 7919 + j * j) % 5000 for j in range(40)] for k in range(60)]
     frame = spark.createDataFrame([(s,) for s in sets], "s array<bigint>").repartition(5)
@@ -267,6 +383,25 @@ def test_suffix(docs, rows, scratch):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [20, 50])
+def test_suffix_on_words(docs, rows, scratch, size):
+    texts = [(t or "").encode() for _, t in rows]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    window = lambda t, at, p: tuple(t[a:b] for a, b in at[p : p + size])
+    many = collections.Counter(window(t, at, p) for t, at in zip(texts, places, strict=True) for p in range(len(at) - size + 1))
+    want = collections.Counter()
+    for (i, _), t, at in zip(rows, texts, places, strict=True):
+        gone = {k for p in range(len(at) - size + 1) if many[window(t, at, p)] > 1 for k in range(p, p + size)}
+        starts = [a for a, _ in at] + [len(t)]
+        left = t[: starts[0]] + b"".join(t[starts[k] : starts[k + 1]] for k in range(len(at)) if k not in gone)
+        want[i, len(t), len(t) - len(left), sum(k - 1 not in gone for k in gone), hashlib.sha256(left).hexdigest()] += 1
+    got = suffix.remove_repeats(docs, scratch, min_words=size, with_text=True).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got) and sum(r.n_removed for r in got) > 1000
+    with pytest.raises(ValueError, match="min_words"):
+        suffix.remove_repeats(docs, scratch, min_words=19)
+
+
 def test_substring(docs, rows, scratch):
     texts = [(t or "").encode().split() for _, t in rows]
     many = collections.Counter(tuple(t[p : p + 35]) for t in texts for p in range(len(t) - 34))
@@ -314,6 +449,23 @@ def test_preference(spark):
     assert {(x.chosen, x.rejected_text) for x in preference.preference_rows(pairs, both).collect()} == {(1, "<|assistant|>\n\n<|end|>\n"), (2, "<|assistant|>\n\n<|end|>\n")}
 
 
+def test_preference_of_odd_tables(spark):
+    names = "conv_id bigint, turn bigint, role string, text string, head string, chosen string, pair_id string, score string"
+    none = spark.createDataFrame([], names)
+    assert preference.star_pairs(none).collect() == [] and preference.preference_rows(preference.star_pairs(none), none).collect() == []
+    assert preference.preference_rows(*preference.stale_replies(none)).collect() == []
+    long = "語" * 300_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", "x")]
+    table = spark.createDataFrame([(*t, *["c"] * 4) for t in turns * 3], names)
+    pairs = preference.star_pairs(table)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 1, 2)]
+    r, = preference.preference_rows(pairs, table).collect()
+    assert r.n_prompt_turns == 1 and r.chosen_text == f"<|assistant|>\n{long}\n<|end|>\n" and r.chosen_mask == [[14, 14 + 300_000 + 9]]
+    same = spark.createDataFrame([(c, 0, "user", "q", *["c"] * 4) for c in (5, 4, 6)], names)
+    assert sorted(tuple(r) for r in preference.star_pairs(same).collect()) == [(5, 4, 5), (6, 4, 6)]
+    assert all((r.chosen_text, r.rejected_text, r.chosen_mask) == ("", "", []) for r in preference.preference_rows(preference.star_pairs(same), same).collect())
+
+
 def test_preference_keeps_turns_of_one_number(spark):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "two"), (1, 1, "assistant", "one"), (1, 1, "assistant", "two"), (2, 0, "user", "q"), (2, 1, "assistant", "8 of 8 .")]
     table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")

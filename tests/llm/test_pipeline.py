@@ -1,4 +1,5 @@
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -33,19 +34,17 @@ def near_representatives(docs):
     return {i: docs[i] for i in docs if label[i] == i}
 
 
-def without_repeats(docs, size=400):
-    data = {i: t.encode() for i, t in docs.items()}
-    many = collections.Counter(t[p : p + size] for t in data.values() for p in range(len(t) - size + 1))
+def without_repeats(docs, size=50):
+    places = {i: [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", t)] for i, t in docs.items()}
+    windows = lambda i, p: tuple(docs[i][a:b] for a, b in places[i][p : p + size])
+    many = collections.Counter(windows(i, p) for i in docs for p in range(len(places[i]) - size + 1))
     out, n_cut = {}, 0
-    for i, t in data.items():
-        gone = bytearray(len(t))
-        for p in range(len(t) - size + 1):
-            if many[t[p : p + size]] > 1:
-                gone[p : p + size] = b"\1" * size
-        edges = [0, *(k for k in range(1, len(t)) if gone[k] != gone[k - 1]), len(t)]
-        left = "".join(t[a:b].decode("utf-8", "ignore") for a, b in zip(edges, edges[1:], strict=False) if a < b and not gone[a])
-        n_cut += any(gone)
-        if left.strip(" ") or not any(gone):
+    for i, t in docs.items():
+        gone = {k for p in range(len(places[i]) - size + 1) if many[windows(i, p)] > 1 for k in range(p, p + size)}
+        starts = [a for a, _ in places[i]] + [len(t)]
+        left = t[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(places[i])) if k not in gone)
+        n_cut += bool(gone)
+        if left.split() or not gone:
             out[i] = left
     return out, n_cut
 

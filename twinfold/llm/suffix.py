@@ -13,6 +13,7 @@ step of repeats.py then finds the repeats to the byte.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -27,11 +28,15 @@ from twinfold.plans.storage import Scratch, row_keyed
 #: Strings that the first ranks cover, and doublings after them at most.
 _BASE, _LEVELS = 2, 3
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
-def plan_for(min_bytes: int) -> Plan:
-    """Anchors so dense that every window holds at least two strings after its anchor, four as a rule."""
-    span = max(8, min_bytes // 5 // 8 * 8)
-    return Plan("bytes", min_bytes, 16, span, (span, 8, 1) if span > 8 else (span, 1))
+
+def plan_for(window: int, unit: str = "bytes") -> Plan:
+    """Anchors so dense that every window holds at least two strings after its anchor, of bytes four as a rule."""
+    gram, cell = (16, 8) if unit == "bytes" else (8, 4)
+    share = window // 5 if unit == "bytes" else (window - gram + 1) // 3
+    span = max(cell, share // cell * cell)
+    return Plan(unit, window, gram, span, (span, cell, 1) if span > cell else (span, 1))
 
 
 def first_ranks(key: int, text: bytes, plan: Plan):
@@ -39,6 +44,8 @@ def first_ranks(key: int, text: bytes, plan: Plan):
     if len(text) < plan.window:
         return None
     seq = Sequence(text, plan)
+    if seq.n < plan.window:
+        return None
     s = seq.anchors()[0]
     whole = len(seq.windows()[0])
     reach = plan.window - 2 * plan.span - plan.gram + 2
@@ -48,7 +55,7 @@ def first_ranks(key: int, text: bytes, plan: Plan):
         if len(s) > step:
             top[:-step] += ((s[step:] - s[:-step] <= reach) & (top[:-step] == level - 1)).astype(np.int8)
     ends = (s[_BASE:] + plan.gram).tolist()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(seq.view[a:b]) for a, b in zip(s.tolist(), ends, strict=False)), np.uint64, len(ends)).view(np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(seq.part(a, b)) for a, b in zip(s.tolist(), ends, strict=False)), np.uint64, len(ends)).view(np.int64)
     i = np.arange(len(ends), dtype=np.int32)
     return np.full(len(ends), key), i, h, top[: len(ends)], i < whole
 
@@ -86,16 +93,26 @@ def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     return found
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, with_text: bool = False) -> DataFrame:
+def byte_runs(text: bytes, runs: list[tuple[int, int]], unit: str) -> list[tuple[int, int]]:
+    """Runs of symbols as runs of bytes; a run of words goes up to the next word, so that no two spaces meet."""
+    if unit == "bytes" or not runs:
+        return runs
+    at = [m.start() for m in _WORD.finditer(text)]
+    return [(at[a], at[b] if b < len(at) else len(text)) for a, b in runs]
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, min_words: int | None = None, with_text: bool = False) -> DataFrame:
     """Rows (id, row_key, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept_text]), one per input row.
 
-    Removes each byte covered by a string of min_bytes that starts anywhere else too, first occurrences included.
-    A null text counts as empty; texts shorter than min_bytes stay whole. Rows with null or repeated ids are texts of their own. Other
-    columns are ignored. kept_text leaves out characters of which a byte went.
+    Removes each byte covered by a string of min_bytes that starts anywhere else too, first occurrences included. With
+    min_words the strings are of so many words instead, whatever white space is between them, and a run goes with the white space behind it.
+    A null text counts as empty; shorter texts stay whole, and a very long one is read in blocks. Rows with null or repeated ids are texts
+    of their own, so equal rows remove each other's strings. Other columns are ignored, whatever their names; an empty table gives no rows.
+    kept_text leaves out characters of which a byte went.
     """
-    if min_bytes < 80:
-        raise ValueError("min_bytes: 80 or more")
-    plan = plan_for(min_bytes)
+    if min_bytes < 80 or min_words is not None and min_words < 20:
+        raise ValueError("min_bytes: 80 or more; min_words: 20 or more")
+    plan = plan_for(min_words, "words") if min_words else plan_for(min_bytes)
     own = row_keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", scratch)
     kind = dict(own.dtypes)["id"]
     texts = own.select("row_key", "text")
@@ -103,7 +120,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     extra = ", spans array<array<bigint>>, kept_text string" if with_text else ""
 
     def work(key, doc, text: bytes, lo, hi):
-        runs = merged(lo, hi, min_bytes)
+        runs = byte_runs(text, merged(lo, hi, plan.window), plan.unit)
         at, kept = 0, []
         for a, b in runs:
             kept.append(text[at:a])
