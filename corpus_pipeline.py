@@ -20,6 +20,9 @@ from twinfold.plans.storage import Scratch, row_keyed
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _KEY = "stage_key"
 
+#: Words of a repeated string in the fourth stage. A word and its space have about six bytes, so a passage of 50 words is well below 400 bytes.
+REPEAT_WORDS = 50
+
 
 def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of documents and a key that no two rows share, in the order of the ids, null ones last."""
@@ -48,12 +51,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each byte covered by a 400-byte string that also starts elsewhere goes; a text of which nothing is left goes with it."""
+    """Each word covered by a string of REPEAT_WORDS words that also starts elsewhere goes; a text of which no word is left goes with it."""
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
-    left = suffix.remove_repeats(keyed, scratch, id_col=_KEY, min_bytes=400, with_text=True).select(_KEY, "kept_text", "n_removed")
+    left = suffix.remove_repeats(keyed, scratch, id_col=_KEY, min_words=REPEAT_WORDS, with_text=True).select(_KEY, "kept_text", "n_removed")
     joined = keyed.drop("text", "n_chars").join(left, _KEY)
-    gone = (F.col("n_removed") > 0) & (F.trim(F.col("kept_text")) == "")
+    gone = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
     return joined.where(~gone).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
