@@ -206,7 +206,7 @@ def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterat
         xs = start + np.flatnonzero(own[b] == i[start])
         ys = start + np.flatnonzero(own[b] == j[start])
         for x in xs.tolist():
-            others = ys[(part[ys] != part[x]) & ((i[start] != j[start]) | (node[ys] > node[x]))]
+            others = ys[(part[ys] != part[x]) & ((i[start] != j[start]) | (node[ys] > node[x])) & (np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]))]
             if k and len(others):
                 others = others[~((folded[others, :k] == folded[x, :k]).all(axis=2) & full[x, :k]).any(axis=1)]
             if len(others):
