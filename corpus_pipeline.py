@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinfold.llm import exact, minhash, packing, quality, suffix
 from twinfold.llm.common import table
 from twinfold.llm.queries import TOKENIZER
-from twinfold.plans.storage import Scratch, row_keyed
+from twinfold.plans.storage import Scratch, released, row_keyed
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _KEY = "stage_key"
@@ -78,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's tables go when its result is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
