@@ -449,6 +449,20 @@ def test_preference(spark):
     assert {(x.chosen, x.rejected_text) for x in preference.preference_rows(pairs, both).collect()} == {(1, "<|assistant|>\n\n<|end|>\n"), (2, "<|assistant|>\n\n<|end|>\n")}
 
 
+def test_preference_against_sql(spark, tmp_path):
+    """Turns with one number, repeated rows, nulls, hot first turns and equal conversations."""
+    rnd = random.Random(17)
+    turns = [(c, k // 2 if c % 4 == 0 else k, rnd.choice(["user", "assistant", None]), rnd.choice(["a", "bb", "", None, "ccc"])) for c in range(60) for k in range(rnd.randint(1, 7))]
+    turns += rnd.sample(turns, 30) + [(None, 0, "user", "a"), (3, None, "user", "a")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = db.execute(ORACLE["op5_preference_formatting"])
+    names = [d[0] for d in found.description]
+    got = QUERIES["op5_preference_formatting"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(found.fetchall()) and len(got) > 90
+
+
 def test_preference_of_odd_tables(spark):
     names = "conv_id bigint, turn bigint, role string, text string, head string, chosen string, pair_id string, score string"
     none = spark.createDataFrame([], names)

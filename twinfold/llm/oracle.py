@@ -20,15 +20,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 _PREFERENCE = """
-WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-u AS (SELECT conv_id, turn, min({'role': role, 'text': text}) AS said FROM s GROUP BY ALL),
+WITH s AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS turn, {'role': role, 'text': text} AS said FROM s),
 z AS (SELECT conv_id, arg_max(turn, turn) AS fin, arg_max(stale, turn) AS stale FROM
-  (SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS stale FROM s WHERE role = 'assistant') GROUP BY conv_id),
+  (SELECT conv_id, turn, coalesce(lag(said.text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS stale FROM u WHERE said.role = 'assistant') GROUP BY conv_id),
 v AS (SELECT -1 - conv_id AS conv_id, turn, {'role': said.role, 'text': CASE WHEN turn = fin AND said.role = 'assistant' THEN stale ELSE said.text END} AS said FROM u JOIN z USING (conv_id) WHERE turn <= fin),
 c AS (SELECT 0 AS kind, conv_id, list(said ORDER BY turn) AS turns FROM u GROUP BY conv_id
   UNION ALL SELECT 1, conv_id, list(said ORDER BY turn) FROM v GROUP BY conv_id
   UNION ALL SELECT 1, conv_id, list(said ORDER BY turn) FROM u JOIN z USING (conv_id) WHERE turn <= fin GROUP BY conv_id),
-k AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS score, min_by(role || chr(0) || text, turn) AS head FROM s GROUP BY conv_id),
+o1 AS (SELECT conv_id, sha256(role || chr(0) || text) AS sha FROM s QUALIFY turn = min(turn) OVER (PARTITION BY conv_id)),
+k AS (SELECT conv_id, score, head FROM (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS score FROM s GROUP BY conv_id) JOIN (SELECT conv_id, min(sha) AS head FROM o1 GROUP BY conv_id) USING (conv_id)),
 b AS (SELECT head, arg_max(conv_id, score * 1000000000 - conv_id) AS chosen FROM k GROUP BY head),
 p AS (SELECT 0 AS kind, k.conv_id AS pair_id, b.chosen, k.conv_id AS rejected FROM k JOIN b USING (head) WHERE k.conv_id <> b.chosen
   UNION ALL SELECT 1, -1 - conv_id, conv_id, -1 - conv_id FROM z),
