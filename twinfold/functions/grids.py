@@ -78,15 +78,21 @@ def gray_image(image: pd.DataFrame) -> pd.Series:
 
 
 def block_means(grid: Column, size: int = 32, blocks: int = 8) -> Column:
-    """Means of the square blocks of a row-major grid, row-major."""
+    """Means of the square blocks of a row-major grid, row-major. The grid's expression is evaluated once a row."""
     side = size // blocks
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
 
-    def mean(b: Column) -> Column:
-        top, left = F.floor(b / blocks) * side, F.pmod(b, F.lit(blocks)) * side
-        rows = [F.slice(grid, (top + k) * size + left + 1, side) for k in range(side)]
-        return F.aggregate(F.concat(*rows), F.lit(0.0), lambda a, v: a + v) / (side * side)
+    def means(g: Column) -> Column:
+        # sums of runs of `side` cells, then of the runs below one another
+        runs = F.transform(F.sequence(F.lit(0), F.lit(size * blocks - 1)), lambda r: total(F.slice(g, r * side + 1, F.lit(side))))
+        return F.transform(F.array(runs), lambda t: F.transform(F.sequence(F.lit(0), F.lit(blocks * blocks - 1)), lambda b: block(t, b)))[0]
 
-    return F.transform(F.sequence(F.lit(0), F.lit(blocks * blocks - 1)), mean)
+    def block(runs: Column, b: Column) -> Column:
+        first = F.floor(b / blocks).cast("int") * (side * blocks) + F.pmod(b, F.lit(blocks))
+        parts = [F.get(runs, first + k * blocks) for k in range(side)]
+        return sum(parts[1:], parts[0]) / (side * side)
+
+    return F.get(F.transform(F.array(grid), means), F.lit(0))
 
 
 def gray_levels(values: Column) -> Column:

@@ -20,10 +20,15 @@ from twinfold.functions.grids import CURVE, block_means
 HASH_FUNCTIONS = ("dctHash", "diffHash", "waveletHash")
 
 
+def _once(grid: Column, work) -> Column:
+    """work(grid), with the grid's expression evaluated once a row however often work names it."""
+    return F.get(F.transform(F.array(grid), work), F.lit(0))
+
+
 def diff_hash(grid8: Column) -> Column:
     """Bit k: whether the value rises from the cell before to cell k, along the closed curve."""
-    at = lambda k: F.get(grid8, F.lit(k))
-    return pack_bits(F.array(*(at(a) < at(b) for a, b in zip([CURVE[-1], *CURVE[:-1]], CURVE, strict=True))))
+    steps = list(zip([CURVE[-1], *CURVE[:-1]], CURVE, strict=True))
+    return _once(grid8, lambda g: pack_bits(F.array(*(F.get(g, F.lit(a)) < F.get(g, F.lit(b)) for a, b in steps))))
 
 
 def haar_parts(values: list) -> list:
@@ -46,7 +51,7 @@ def haar_parts(values: list) -> list:
 
 def wavelet_hash(grid8: Column) -> Column:
     """Signs of the Haar coefficients of an 8 x 8 grid, row-major; zero counts as positive. Exact for grids of whole numbers."""
-    return pack_bits(F.array(*(c >= 0 for c in haar_parts([F.get(grid8, F.lit(k)) for k in range(64)]))))
+    return _once(grid8, lambda g: pack_bits(F.array(*(c >= 0 for c in haar_parts([F.get(g, F.lit(k)) for k in range(64)])))))
 
 
 def fast_dct(x: np.ndarray) -> np.ndarray:
