@@ -2,12 +2,12 @@
 
 Each round is an aggregation with map-side combine and an equi-join, so a node with very many
 links is pre-aggregated and its join partition can be split. Every round is written out, which
-keeps the plan short; the same job counts what it writes, and rounds end when nothing changes.
+keeps the plan short. Rounds end when every link leads to the smallest node of its component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.plans.storage import Scratch, join_facts
@@ -26,11 +26,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("low").alias("b")))
 
 
-def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
-    """The links as a table, and what tells two states apart."""
-    seen = Observation()
-    out = scratch.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("mark")), "links")
-    return out, (seen.get["n"], seen.get["mark"])
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that lead to two others, or lead and are led to: none if all links go from a node to its component's smallest one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b") -> DataFrame:
@@ -39,12 +38,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
     Loops and repeated links are harmless; links with a null end are ignored; no links give no rows.
     """
     now = edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b"))
-    now, state = _saved(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
-    while state[0]:
-        new, after = _saved(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), scratch)
+    now = scratch.save(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _unsettled(now).isEmpty():
+        new = scratch.save(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), "links")
         scratch.drop(now)
-        now, before, state = new, state, after
-        if state == before:
-            break
+        now = new
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
