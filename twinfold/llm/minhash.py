@@ -132,15 +132,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     nearest = led.groupBy("node").agg(F.max(F.struct("shared", -F.col("lead"))).alias("m")).select("node", (-F.col("m.col2")).alias("lead"))
     stars = nearest.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = _linked(_likely(stars, nodes, percent / 100), own, scratch, width, percent)
-    parts = scratch.save(connected_components(links, scratch), "parts")
+    parts = connected_components(links, scratch)
 
     # members of one band in different components, block by block
     placed = buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q")
     left = scratch.save(join_facts(placed, mixed, ["key"]).select("key", "band", "node", "part", "members"), "mixed")
     across = _across(left, nodes, percent / 100)
-    more = _linked(scratch.save(across, "across"), own, scratch, width, percent)
-    found = scratch.save(connected_components(links.unionByName(more), scratch), "components")
+    more = _linked(across, own, scratch, width, percent)
+    found = connected_components(links.unionByName(more), scratch)
 
     out = sketches.select("row_key", "id", "n").join(classes, "row_key", "left").join(found.withColumnRenamed("id", "class_key"), "class_key", "left")
     out = out.withColumn("component_key", F.coalesce("component", "class_key", "row_key"))
