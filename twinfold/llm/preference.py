@@ -66,7 +66,7 @@ def preference_rows(pairs: DataFrame, turns: DataFrame, conv: str = "conv_id", t
     said = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("no"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     whole = said.distinct().groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("no", F.struct("role", "text").alias("said")))).alias("s"))
     whole = whole.select("conv", F.transform("s", lambda x: x["said"]).alias("turns"))
-    wide = pairs.join(whole.select(F.col("conv").alias("chosen"), F.col("turns").alias("a")), "chosen").join(whole.select(F.col("conv").alias("rejected"), F.col("turns").alias("b")), "rejected")
+    wide = join_facts(pairs, whole.select(F.col("conv").alias("chosen"), F.col("turns").alias("a")), ["chosen"]).join(whole.select(F.col("conv").alias("rejected"), F.col("turns").alias("b")), "rejected")
     least = F.least(F.size("a"), F.size("b"))
     wide = wide.withColumn("differ", F.array_position(F.transform(F.arrays_zip("a", "b"), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))), False).cast("int"))
     wide = wide.withColumn("k", F.when(F.col("differ") > 0, F.col("differ") - 1).otherwise(least))
