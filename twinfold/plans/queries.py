@@ -89,6 +89,13 @@ def domain_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", domains.sort_key(domains.host(F.col("url"))).alias("sort_key"))
 
 
+def domain_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as a user may type them, with white space around, capitals and a last dot."""
+    host = domains.host(F.col("url"))
+    typed = F.concat(F.lit("\t \u00a0"), F.upper(host), F.lit(".\r\n"))
+    return _table(spark, sf_dir, "pages").select("page_id", domains.normalize_domain(typed).alias("domain"), domains.sort_key(F.concat(host, F.lit("."))).alias("sort_key"), domains.is_valid_domain(typed).alias("typed_valid"))
+
+
 def suffix_rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(RULES, "pos int, domain string, value boolean")
     pages = _table(spark, sf_dir, "pages").select("page_id", domains.host(F.col("url")).alias("domain"))
@@ -101,7 +108,7 @@ def allowlist_https(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [[], ["single-page"], ["listing-page"], ["search-page", "combined-search-page"], ["search-page"], ["wiki-page"]]
+    kinds = [[], ["single-page"], ["listing-page"], ["search-page", "combined-search-page"], ["search-page"], ["wiki-page"], ["listing-page", "search-page", "combined-search-page"]]
     names = F.array(*(F.array(*map(F.lit, k)).cast("array<string>") for k in kinds))
     route = sources.page_route(F.get(names, F.pmod("page_id", F.lit(len(kinds))).cast("int")))
     return _table(spark, sf_dir, "pages").select("page_id", route.alias("r")).select("page_id", "r.page_type", "r.container", "r.reason")
@@ -404,7 +411,7 @@ def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    exact_key_star_edges, exact_key_groups, exact_key_stats, dup_labels, group_members, null_key_semantics, host_extract, domain_normalize, domain_sort_key, suffix_rule_lookup,
+    exact_key_star_edges, exact_key_groups, exact_key_stats, dup_labels, group_members, null_key_semantics, host_extract, domain_normalize, domain_sort_key, domain_typed, suffix_rule_lookup,
     allowlist_https, page_routing, item_ordinals, diff_hash_hex, wavelet_hash_hex, dct_hash_hex, text_diff_hash_hex, hash_bits, hash_codec, hash_bitmap, blank_filter, hamming_pairs, hamming_pairs_partitioned,
     near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, compare_all_to_one, hash_hex_diff, grid_block_mean, text_block_mean, gray_normalize, hash_visuals, batch_stats, finder_groups, shown_hashes,
     incremental_groups, incremental_stats, monitor_status, item_projection, rule_list, settings_round_trip, image_replies, image_files_hashed, transforms_restored, sql_functions, shown_sizes,
