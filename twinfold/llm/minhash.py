@@ -9,11 +9,12 @@ threshold, where the error is that of the registers the pair fills. What is left
 
 Groups grow without all their pairs: equal sets are one node from the start; each band's members are first tried
 against one other, among those that lead a band the one sharing most bands; only members of one band that are still
-in different components are then compared, by registers, in blocks.
+in different components, and whose sizes are near enough, are then compared, by registers, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,10 +120,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     classes = scratch.save(sketches.where("n > 0").select("row_key", "same").join(same, "same").select("row_key", "class_key"), "classes")
     nodes = scratch.save(sketches.join(classes.where("row_key = class_key").select("row_key"), "row_key", "left_semi").select(F.col("row_key").alias("node"), "n", "regs"), "nodes")
 
-    bands = map_rows(nodes.select("node", "regs"), lambda node, regs: ((node, b, k) for b, k in band_keys(np.frombuffer(regs, np.uint16))), "node bigint, band int, key bigint")
+    # a smaller set is similar enough to none but itself
+    able = nodes.where(f"100 * n >= {percent} * (n + 1)").select("node", "n", "regs")
+    bands = map_rows(able, lambda node, n, regs: ((node, n, b, k) for b, k in band_keys(np.frombuffer(regs, np.uint16))), "node bigint, n bigint, band int, key bigint")
     bands = scratch.save(bands, "bands")
     several = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = scratch.save(join_facts(bands, several, ["key"]).select("key", "band", "node", "size"), "buckets")
+    buckets = scratch.save(join_facts(bands, several, ["key"]).select("key", "band", "node", "n", "size"), "buckets")
     scratch.drop(bands)
 
     # the member with most company leads its band
@@ -134,10 +137,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     links = _linked(_likely(stars, nodes, percent / 100), own, scratch, width, percent)
     parts = connected_components(links, scratch)
 
-    # members of one band in different components, block by block
+    # members of one band, of similar size, in different components, block by block: a size class meets itself and the one below
     placed = buckets.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q")
-    left = scratch.save(join_facts(placed, mixed, ["key"]).select("key", "band", "node", "part", "members"), "mixed")
+    placed = placed.withColumn("own_class", F.floor(F.log("n") / math.log(1.0001 * 100 / percent)).cast("int")).withColumn("class", F.explode(F.array("own_class", F.col("own_class") + 1)))
+    placed = placed.select("key", "class", "band", "node", "part", (F.col("class") == F.col("own_class")).alias("mine"))
+    mixed = placed.groupBy("key", "class").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members"), F.bool_or("mine").alias("any")).where("p <> q and any")
+    left = scratch.save(join_facts(placed, mixed, ["key", "class"]).select("key", "class", "band", "node", "part", "mine", "members"), "mixed")
     across = _across(left, nodes, percent / 100)
     more = _linked(across, own, scratch, width, percent)
     found = connected_components(links.unionByName(more), scratch)
@@ -175,7 +180,8 @@ def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     rows = left.withColumn("blocks", F.ceil(F.col("members") / _BLOCK).cast("int")).withColumn("own", block)
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(nodes, "node")
-    rows = rows.select("key", "i", "j", "band", "node", "part", "own", "n", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    place = ("key", "class", "i", "j")
+    rows = rows.select(*place, "band", "node", "part", "own", F.col("mine").cast("int").alias("mine"), "n", "regs").repartition(*place).sortWithinPartitions(*place)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups lie one after another; the last one of a batch waits for the next batch."""
@@ -183,9 +189,9 @@ def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)] + [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, BUCKETS)]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)] + [np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint16).reshape(-1, BUCKETS)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:4]], axis=0)) + 1
             if len(ends):
                 yield from _pairs([x[: ends[-1]] for x in held], ends, threshold)
                 held = [x[ends[-1] :] for x in held]
@@ -196,7 +202,7 @@ def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    _, i, j, band, node, part, own, n, regs = rows
+    _, _, i, j, band, node, part, own, mine, n, regs = rows
     folded = _folded(regs).reshape(-1, _BANDS, BAND)
     full = (folded != _EMPTY).any(axis=2)
     out: list[tuple[int, int]] = []
@@ -206,7 +212,7 @@ def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterat
         xs = start + np.flatnonzero(own[b] == i[start])
         ys = start + np.flatnonzero(own[b] == j[start])
         for x in xs.tolist():
-            others = ys[(part[ys] != part[x]) & ((i[start] != j[start]) | (node[ys] > node[x])) & (np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]))]
+            others = ys[(part[ys] != part[x]) & ((mine[ys] | mine[x]) == 1) & ((i[start] != j[start]) | (node[ys] > node[x])) & (np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]))]
             if k and len(others):
                 others = others[~((folded[others, :k] == folded[x, :k]).all(axis=2) & full[x, :k]).any(axis=1)]
             if len(others):
