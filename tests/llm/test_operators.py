@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinfold.llm import bloom, bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
+from twinfold.llm import anchors, bloom, bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
 from twinfold.llm.common import byte_tokenizer
 from twinfold.llm.oracle import ORACLE
 from twinfold.llm.queries import QUERIES
@@ -359,6 +359,24 @@ def test_near(docs, rows, scratch):
     assert sum(r.kept for r in got) == len(groups)
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_near_of_small_sets(spark, scratch, percent, monkeypatch):
+    """Few words from a small stock, so that very many bands are shared, and blocks of few members."""
+    monkeypatch.setattr(minhash, "_BLOCK", 8)
+    rnd = random.Random(percent)
+    stock = [[f"w{rnd.randint(0, 40)}" for _ in range(40)] for _ in range(6)]
+    rows = [(k, " ".join(rnd.choice(stock)[(a := rnd.randint(0, 12)) : a + rnd.randint(1, 28)])) for k in range(300)]
+    sets = brute_sets(rows, 3)
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, width=3, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_near_refuses_what_its_bands_would_lose(docs, scratch):
     miss = lambda percent: (1 - (percent / 100) ** minhash.BAND) ** (minhash.BUCKETS // 2 // minhash.BAND)
     assert miss(minhash.LEAST_PERCENT) <= 5e-8 < miss(minhash.LEAST_PERCENT - 1)
@@ -383,6 +401,23 @@ def test_suffix(docs, rows, scratch):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_hashes_of_strings(monkeypatch):
+    rnd = random.Random(8)
+    for plan, make in ((suffix.plan_for(400), lambda n: bytes(rnd.choice(b"abc ") for _ in range(n))), (suffix.plan_for(50, "words"), lambda n: " ".join(rnd.choice("ab cd é".split()) for _ in range(n)).encode())):
+        seq = anchors.Sequence(make(3000), plan)
+        a = np.array(sorted(rnd.randint(0, seq.n - 60) for _ in range(400)))
+        b = a + rnd.randint(5, 50)
+        whole = seq.hashes(a, b)
+        told = collections.defaultdict(set)
+        for x, y, h in zip(a.tolist(), b.tolist(), whole.tolist(), strict=True):
+            told[bytes(seq.part(x, y))].add(h)
+        assert all(len(h) == 1 for h in told.values()) and len({next(iter(h)) for h in told.values()}) == len(told)
+        monkeypatch.setattr(anchors, "_HASHED", 64)
+        assert seq.hashes(a, b).tolist() == whole.tolist()
+        monkeypatch.undo()
+        assert len(seq.hashes(a[:0], b[:0])) == 0
+
+
 @pytest.mark.parametrize("size", [20, 50])
 def test_suffix_on_words(docs, rows, scratch, size):
     texts = [(t or "").encode() for _, t in rows]

@@ -8,12 +8,14 @@ windows with one anchor are neighbours: an anchor stands for an interval of wind
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
 
-_BLOCK = 1 << 20
+_BLOCK, _HASHED = 1 << 20, 1 << 18
 _MUL = 0x9E3779B97F4A7C15
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) >> np.uint64(29))
 
@@ -29,7 +31,7 @@ class Plan:
     sizes: tuple[int, ...]
 
     def __post_init__(self):
-        if self.unit not in ("bytes", "words") or self.span + self.gram - 1 > self.window or self.sizes[0] != self.span or self.sizes[-1] != 1 or any(a % b for a, b in zip(self.sizes, self.sizes[1:], strict=False)):
+        if self.unit not in ("bytes", "words") or self.span + self.gram - 1 > self.window or self.span >= 1 << 15 or self.sizes[0] != self.span or self.sizes[-1] != 1 or any(a % b for a, b in zip(self.sizes, self.sizes[1:], strict=False)):
             raise ValueError(f"{self}")
 
 
@@ -52,6 +54,27 @@ def _smallest(packed: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(packed[: len(packed) - rest], packed[rest:]) if rest else packed
 
 
+def packed_place(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An anchor's position and its first and last window start as one number: all columns of a shuffled row take eight bytes."""
+    return (s << 32) | ((s - a) << 16) | (b - a)
+
+
+def place_of(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(s, a, b) again."""
+    s = packed >> 32
+    a = s - ((packed >> 16) & 0xFFFF)
+    return s, a, a + (packed & 0xFFFF)
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    up = np.full(size, _MUL, np.uint64)
+    down = np.full(size, pow(_MUL, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 class Sequence:
     """One text as symbols."""
 
@@ -64,18 +87,45 @@ class Sequence:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, self.n) + 1)
             self.ends = (ends - 1).tolist()
             self.starts = [0, *ends.tolist()]
-            self.symbols = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+            self._words = words
         else:
             self.data, self.n = text, len(text)
-            self.symbols = np.frombuffer(text, np.uint8)
         self.view = memoryview(self.data)
 
-    def part(self, a: int, b: int) -> memoryview:
-        """Symbols a .. b - 1 as bytes; equal symbols give equal bytes."""
-        return self.view[a:b] if self.plan.unit == "bytes" else self.view[self.starts[a] : self.ends[b - 1]]
+    @functools.cached_property
+    def symbols(self) -> np.ndarray:
+        """A number for each symbol."""
+        return np.frombuffer(self.data, np.uint8) if self.plan.unit == "bytes" else np.fromiter(map(xxhash.xxh3_64_intdigest, self._words), np.uint64, self.n)
 
-    def digest(self, a: int, b: int, seed: int = 0) -> bytes:
-        return xxhash.xxh3_128_digest(self.part(a, b), seed)
+    @property
+    def bounds(self) -> Callable[[int, int], tuple[int, int]]:
+        """Of symbols a .. b - 1, their first and last byte in view; equal symbols have equal bytes."""
+        if self.plan.unit == "bytes":
+            return lambda a, b: (a, b)
+        starts, ends = self.starts, self.ends
+        return lambda a, b: (starts[a], ends[b - 1])
+
+    def part(self, a: int, b: int) -> memoryview:
+        x, y = self.bounds(a, b)
+        return self.view[x:y]
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the symbols a .. b - 1 for each a and b, both ascending: equal strings have equal ones, wherever they are; others seldom. Block by block, so a long text needs no more memory."""
+        out = np.empty(len(a), np.uint64)
+        for k in range(0, int(a[-1]) + 1 if len(a) else 0, _HASHED):
+            some = slice(*np.searchsorted(a, (k, k + _HASHED)))
+            if some.start == some.stop:
+                continue
+            x, y = a[some] - k, b[some] - k
+            part = self.symbols[k : k + int(y.max())]
+            h = _BYTE[part] if self.plan.unit == "bytes" else part
+            up, down = _powers(1 << max(12, len(h).bit_length()))
+            sums = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum((h ^ (h >> np.uint64(29))) * down[: len(h)], out=sums[1:])
+            h = (sums[y] - sums[x]) * up[x] + (y - x).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[some] = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+        return out
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, first place, last place), over all places with a whole span."""
@@ -105,3 +155,7 @@ class Sequence:
         last = self.n - self.plan.window
         keep = a <= last
         return s[keep], a[keep], np.minimum(b[keep], last)
+
+    def places(self) -> np.ndarray:
+        """windows() as one number each, see packed_place()."""
+        return packed_place(*self.windows())

@@ -31,14 +31,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _cells(column: pa.Array) -> list:
+    """A column's values; lists of whole numbers as numpy arrays."""
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.values.null_count:
+        ends, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
+        return [values[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+    return column.to_pylist()
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """A batch's rows; only a few are Python objects at a time."""
     for at in range(0, batch.num_rows, _SLICE):
-        yield from zip(*(c.to_pylist() for c in batch.slice(at, _SLICE).columns), strict=True)
+        yield from zip(*map(_cells, batch.slice(at, _SLICE).columns), strict=True)
 
 
 def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str, flush: int = 20000) -> DataFrame:
-    """Apply work(*row) to each row; it yields the rows of the result. Holds `flush` results and one row's at most."""
+    """Apply work(*row) to each row, in which lists of whole numbers are numpy arrays; it yields the rows of the result. Holds `flush` results and one row's at most."""
     spark = frame.sparkSession
     small_batches(spark)
     target = spark.createDataFrame([], schema).schema
@@ -60,7 +68,7 @@ def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str
 
 
 def map_columns(frame: DataFrame, work: Callable[..., tuple | None], schema: str, flush: int = 200_000) -> DataFrame:
-    """As map_rows, for many small results: work(*row) gives a tuple of numpy arrays, one for each column, or None."""
+    """As map_rows, for many small results: work(*row) gives numpy arrays, one for each column, or None. Holds `flush` results and one row's at most."""
     spark = frame.sparkSession
     small_batches(spark)
     target = spark.createDataFrame([], schema).schema

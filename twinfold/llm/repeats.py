@@ -13,80 +13,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.anchors import Plan, Sequence
-from twinfold.llm.common import map_rows
-from twinfold.plans.storage import Scratch, join_facts
-
-_UNITS = "row_key bigint, s int, lo int, hi int, core binary, ctx binary"
-
-
-def _cut(text: Sequence, key: int, s: int, lo: int, hi: int, size: int):
-    """Windows lo .. hi of an anchor in pieces of `size` places, counted from the anchor."""
-    window = text.plan.window
-    for q in range((s - hi) // size, (s - lo) // size + 1):
-        a, b = max(lo, s - (q + 1) * size + 1), min(hi, s - q * size)
-        core = text.digest(s - q * size, s - (q + 1) * size + 1 + window, q)
-        yield (key, s, a, b, core, text.digest(a, b + window, (s - a) << 32 | (b - a)))
+from twinfold.llm.anchors import Plan, Sequence, place_of
+from twinfold.llm.common import map_columns
+from twinfold.plans.storage import Scratch
+
+#: Digests of core and context as two numbers each.
+_CORE, _CONTEXT = ["core1", "core2"], ["ctx1", "ctx2"]
+_UNITS = "row_key bigint, place bigint, core1 bigint, core2 bigint, ctx1 bigint, ctx2 bigint"
+
+
+def units_of(text: Sequence, key: int, places: np.ndarray, size: int) -> tuple | None:
+    """Columns of _UNITS: the windows of each place in pieces of `size` places, counted from its anchor."""
+    window, view, digest = text.plan.window, text.view, xxhash.xxh3_128_digest
+    bounds = text.bounds
+    out, digests = [], []
+    for s, lo, hi in zip(*(x.tolist() for x in place_of(places)), strict=True):
+        for q in range((s - hi) // size, (s - lo) // size + 1):
+            a, b = max(lo, s - (q + 1) * size + 1), min(hi, s - q * size)
+            x, y = bounds(s - q * size, s - (q + 1) * size + 1 + window)
+            digests.append(digest(view[x:y], q))
+            x, y = bounds(a, b + window)
+            digests.append(digest(view[x:y], (s - a) << 32 | (b - a)))
+            out.append(s << 32 | (s - a) << 16 | (b - a))
+    if not out:
+        return None
+    numbers = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 4)
+    return np.full(len(out), key), np.array(out, np.int64), *numbers.T
 
 
 def _settled(units: DataFrame, scratch: Scratch, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(intervals of repeats, intervals to cut)."""
-    ctx = units.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min("row_key").alias("one"))
+    """(places of repeats, places to cut)."""
+    both = [*_CORE, *_CONTEXT]
+    ctx = units.groupBy(*both).agg(F.count("*").alias("n"), F.min("row_key").alias("one"))
     if last:
-        again = ctx.where("n > 1").select(F.concat("core", "ctx").alias("both"))
-        return scratch.save(join_facts(units.withColumn("both", F.concat("core", "ctx")), again, ["both"]).select("row_key", "lo", "hi"), "repeats"), None
+        again = scratch.save(ctx.where("n > 1").select(*both), "again")
+        return scratch.save(units.join(again, both).select("row_key", "place"), "repeats"), None
     ctx = scratch.save(ctx, "contexts")
-    core = ctx.groupBy("core").agg(F.sum("n").alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1")
-    told = scratch.save(units.join(join_facts(ctx, core, ["core"]), ["core", "ctx"]).select("row_key", "s", "lo", "hi", (F.col("n") > 1).alias("again"), ((F.col("single") > 0) & ((F.col("n") == 1) | (F.col("row_key") == F.col("one")))).alias("cut")), "settled")
-    scratch.drop(ctx)
-    return told.where("again").select("row_key", "lo", "hi"), told.where("cut").select("row_key", "s", "lo", "hi")
+    core = ctx.groupBy(*_CORE).agg(F.sum("n").alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1")
+    core = scratch.save(core, "cores")
+    told = scratch.save(units.join(ctx.join(core, _CORE), both).select("row_key", "place", (F.col("n") > 1).alias("again"), ((F.col("single") > 0) & ((F.col("n") == 1) | (F.col("row_key") == F.col("one")))).alias("cut")), "settled")
+    scratch.drop(ctx, core)
+    return told.where("again").select("row_key", "place"), told.where("cut").select("row_key", "place")
 
 
 def repeated_windows(texts: DataFrame, seeds: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, spans array of (lo, hi)): intervals of starts of windows that occur more than once.
+    """Rows (row_key, spans array of places): windows that occur more than once.
 
-    texts: (row_key, text binary); seeds: (row_key, i), the numbers of the anchors that may stand for such windows.
+    texts: (row_key, text binary); seeds: (row_key, place), the anchors that may stand for such windows, and the windows they stand for.
     A text's seeds are gathered with it, never those of several texts.
     """
 
-    def first(key: int, text: bytes, wanted: list[int]):
-        seq = Sequence(text, plan)
-        for s, a, b in zip(*(x[wanted].tolist() for x in seq.windows()), strict=True):
-            yield from _cut(seq, key, s, a, b, plan.span)
-
-    def later(size: int) -> Callable:
-        def work(key: int, text: bytes, at: list[int], lo: list[int], hi: list[int]):
-            seq = Sequence(text, plan)
-            for s, a, b in zip(at, lo, hi, strict=True):
-                yield from _cut(seq, key, s, a, b, size)
-
-        return work
-
-    wanted = seeds.groupBy("row_key").agg(F.collect_list("i").alias("wanted"))
-    units = scratch.save(map_rows(texts.join(wanted, "row_key").select("row_key", "text", "wanted"), first, _UNITS), "units")
-    done = []
-    for k, size in enumerate(plan.sizes):
-        if k:
-            lists = cut.groupBy("row_key").agg(F.collect_list(F.struct("s", "lo", "hi")).alias("u"))
-            units = scratch.save(map_rows(texts.join(lists, "row_key").select("row_key", "text", "u.s", "u.lo", "u.hi"), later(size), _UNITS), "units")
+    def pieces(size: int) -> Callable:
+        return lambda key, text, places: units_of(Sequence(text, plan), key, places, size)
+
+    cut, done = seeds, []
+    for size in plan.sizes:
+        lists = cut.groupBy("row_key").agg(F.collect_list("place").alias("places"))
+        units = scratch.save(map_columns(texts.join(lists, "row_key").select("row_key", "text", "places"), pieces(size), _UNITS), "units")
         again, cut = _settled(units, scratch, size == 1)
         scratch.drop(units)
         done.append(again)
     all_spans = done[0]
     for more in done[1:]:
         all_spans = all_spans.unionByName(more)
-    return all_spans.groupBy("row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return all_spans.groupBy("row_key").agg(F.collect_list("place").alias("spans"))
 
 
-def merged(lo: list[int] | None, hi: list[int] | None, window: int) -> list[tuple[int, int]]:
+def merged(places: np.ndarray | None, window: int) -> list[tuple[int, int]]:
     """Maximal runs [a, b) of symbols covered by the windows."""
-    runs: list[tuple[int, int]] = []
-    for a, b in sorted(zip(lo or (), hi or (), strict=True)):
-        if runs and a <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], b + window))
-        else:
-            runs.append((a, b + window))
-    return runs
+    if places is None or not len(places):
+        return []
+    _, lo, hi = place_of(places)
+    order = np.argsort(lo, kind="stable")
+    start, end = lo[order], np.maximum.accumulate(hi[order] + window)
+    new = np.flatnonzero(start[1:] > end[:-1]) + 1
+    return list(zip(start[np.concatenate([[0], new])].tolist(), end[np.concatenate([new, [len(end)]]) - 1].tolist(), strict=True))

@@ -30,16 +30,18 @@ def plan_for(min_words: int) -> Plan:
 
 
 def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, i): by number, the anchors whose gram occurs at another anchor too."""
+    """Rows (row_key, place): the anchors whose gram occurs at another anchor too, and their windows."""
 
     def work(key: int, text: bytes):
         seq = Sequence(text, plan)
-        s = seq.windows()[0]
-        return (np.full(len(s), key), np.arange(len(s), dtype=np.int32), grams(seq.symbols, plan.gram)[s].view(np.int64)) if len(s) else None
+        if seq.n < plan.window:
+            return None
+        places = seq.places()
+        return np.full(len(places), key), grams(seq.symbols, plan.gram)[places >> 32].view(np.int64), places
 
-    rows = scratch.save(map_columns(texts, work, "row_key bigint, i int, h bigint"), "anchors")
+    rows = scratch.save(map_columns(texts, work, "row_key bigint, h bigint, place bigint"), "anchors")
     again = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    out = scratch.save(rows.join(again.hint("shuffle_hash"), "h").select("row_key", "i"), "seeds")
+    out = scratch.save(rows.join(again.hint("shuffle_hash"), "h").select("row_key", "place"), "seeds")
     scratch.drop(rows)
     return out
 
@@ -60,8 +62,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     spans = repeated_windows(texts, seeds(texts, plan, scratch), plan, scratch)
     extra = ", spans array<array<bigint>>, kept_text string" if with_text else ""
 
-    def work(doc, text: bytes, lo, hi):
-        words, runs = text.split(), merged(lo, hi, min_words)
+    def work(doc, text: bytes, spans):
+        words, runs = text.split(), merged(spans, min_words)
         at, kept = 0, []
         for a, b in runs:
             kept += words[at:a]
@@ -71,5 +73,5 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         more = ([list(r) for r in runs], left.decode("utf-8", "replace")) if with_text else ()
         yield (doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), *more)
 
-    whole = own.select("row_key", "id", "text").join(spans, "row_key", "left").select("id", "text", "spans.lo", "spans.hi")
+    whole = own.select("row_key", "id", "text").join(spans, "row_key", "left").select("id", "text", "spans")
     return map_rows(whole, work, f"{id_col} {kind}, n_words bigint, n_removed bigint, kept_sha256 string{extra}", flush=1000 if with_text else 20000)

@@ -16,7 +16,6 @@ import hashlib
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,32 +31,33 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def plan_for(window: int, unit: str = "bytes") -> Plan:
-    """Anchors so dense that every window holds at least two strings after its anchor, of bytes four as a rule."""
+    """Anchors so dense that every window holds at least two strings after its anchor, of bytes four as often as not."""
     gram, cell = (16, 8) if unit == "bytes" else (8, 4)
-    share = window // 5 if unit == "bytes" else (window - gram + 1) // 3
+    share = window // 4 if unit == "bytes" else (window - gram + 1) // 3
     span = max(cell, share // cell * cell)
     return Plan(unit, window, gram, span, (span, cell, 1) if span > cell else (span, 1))
 
 
 def first_ranks(key: int, text: bytes, plan: Plan):
-    """Columns (row_key, i, h, top, whole): the anchors' strings, how often their length may double, and whether a whole window has this anchor; others only serve as second halves."""
+    """Columns (row_key, at, h, place). h: the anchors' strings. at: an anchor's number, how often its string's length may double, and whether a whole window has it; others only serve as second halves. place: its windows."""
     if len(text) < plan.window:
         return None
     seq = Sequence(text, plan)
     if seq.n < plan.window:
         return None
     s = seq.anchors()[0]
-    whole = len(seq.windows()[0])
+    places = seq.places()
+    whole = len(places)
     reach = plan.window - 2 * plan.span - plan.gram + 2
     top = np.zeros(len(s), np.int8)
     for level in range(1, _LEVELS + 1):
         step = _BASE << level
         if len(s) > step:
             top[:-step] += ((s[step:] - s[:-step] <= reach) & (top[:-step] == level - 1)).astype(np.int8)
-    ends = (s[_BASE:] + plan.gram).tolist()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(seq.part(a, b)) for a, b in zip(s.tolist(), ends, strict=False)), np.uint64, len(ends)).view(np.int64)
-    i = np.arange(len(ends), dtype=np.int32)
-    return np.full(len(ends), key), i, h, top[: len(ends)], i < whole
+    h = seq.hashes(s[:-_BASE], s[_BASE:] + plan.gram)
+    n = len(h)
+    i = np.arange(n, dtype=np.int64)
+    return np.full(n, key), i << 8 | top[:n].astype(np.int64) << 1 | (i < whole), h.view(np.int64), np.concatenate([places[:n], np.zeros(max(0, n - whole), np.int64)])
 
 
 def _reranked(pairs: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
@@ -67,26 +67,27 @@ def _reranked(pairs: DataFrame, names: list[str], scratch: Scratch) -> DataFrame
 
 
 def seeds(texts: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """Rows (row_key, i): by number, the anchors of windows that may occur more than once."""
-    rows = map_columns(texts, lambda k, t: first_ranks(k, t, plan), "row_key bigint, i int, h bigint, top tinyint, whole boolean")
+    """Rows (row_key, place): the anchors of windows that may occur more than once, and these windows."""
+    number, top, whole = F.shiftright("at", 8), F.shiftright("at", 1).bitwiseAND(F.lit(127)), F.col("at").bitwiseAND(F.lit(1)) == 1
+    rows = map_columns(texts, lambda k, t: first_ranks(k, t, plan), "row_key bigint, at bigint, h bigint, place bigint")
     rows = scratch.save(rows, "strings")
     ranks = _reranked(rows, ["h"], scratch)
-    at = scratch.save(rows.join(ranks.hint("shuffle_hash"), "h").select("row_key", "i", F.col("new").alias("rank"), "top", "whole"), "ranked")
+    at = scratch.save(rows.join(ranks.hint("shuffle_hash"), "h").select("row_key", "at", F.col("new").alias("rank"), "place"), "ranked")
     scratch.drop(rows, ranks)
     out = []
     for level in range(_LEVELS):
-        out.append(at.where((F.col("top") == level) & F.col("whole")).select("row_key", "i"))
-        if at.where(F.col("top") > level).isEmpty():
+        out.append(at.where((top == level) & whole).select("row_key", "place"))
+        if at.where(top > level).isEmpty():
             break
         step = _BASE << level
         ahead = Window.partitionBy("row_key").orderBy("i").rangeBetween(step, step)
-        pairs = at.withColumn("next", F.max("rank").over(ahead)).where((F.col("top") > level) & F.col("next").isNotNull())
+        pairs = at.withColumn("i", number).withColumn("next", F.max("rank").over(ahead)).where((top > level) & F.col("next").isNotNull()).drop("i")
         pairs = scratch.save(pairs, "pairs")
         ranks = _reranked(pairs, ["rank", "next"], scratch)
-        at = scratch.save(pairs.join(ranks, ["rank", "next"]).select("row_key", "i", F.col("new").alias("rank"), "top", "whole"), "ranked")
+        at = scratch.save(pairs.join(ranks, ["rank", "next"]).select("row_key", "at", F.col("new").alias("rank"), "place"), "ranked")
         scratch.drop(pairs, ranks)
     else:
-        out.append(at.where("whole").select("row_key", "i"))
+        out.append(at.where(whole).select("row_key", "place"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -119,8 +120,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     spans = repeated_windows(texts, seeds(texts, plan, scratch), plan, scratch)
     extra = ", spans array<array<bigint>>, kept_text string" if with_text else ""
 
-    def work(key, doc, text: bytes, lo, hi):
-        runs = byte_runs(text, merged(lo, hi, plan.window), plan.unit)
+    def work(key, doc, text: bytes, spans):
+        runs = byte_runs(text, merged(spans, plan.window), plan.unit)
         at, kept = 0, []
         for a, b in runs:
             kept.append(text[at:a])
@@ -129,5 +130,5 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         more = ([list(r) for r in runs], b"".join(x.decode("utf-8", "ignore").encode() for x in [*kept, text[at:]]).decode()) if with_text else ()
         yield (doc, key, len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), *more)
 
-    whole = own.select("row_key", "id", "text").join(spans, "row_key", "left").select("row_key", "id", "text", "spans.lo", "spans.hi")
+    whole = own.select("row_key", "id", "text").join(spans, "row_key", "left").select("row_key", "id", "text", "spans")
     return map_rows(whole, work, f"{id_col} {kind}, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{extra}", flush=1000 if with_text else 20000)
