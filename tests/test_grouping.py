@@ -7,11 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from twinfold.functions import domains
-from twinfold.operators import collapse, edges, rules
+from twinfold.operators import collapse, edges, order, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
+from twinfold.operators.order import position, running_sums, with_ordinals
 from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
-from twinfold.sources.items import background_replies, page_route, project, with_ordinals
+from twinfold.sources.items import background_replies, page_route, project
 from twinfold.streaming import incremental
 from twinfold.streaming.incremental import IncrementalFinder
 
@@ -120,12 +121,32 @@ def test_components(spark, links):
     assert {r.id: r.component for r in got.collect()} == want
 
 
-def test_position_over_slices(spark, monkeypatch):
-    monkeypatch.setattr(collapse, "_SLICE", 3)
+def test_positions_and_ordinals(spark, scratch):
     frame = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(g, 40, g)], "g int, i bigint")
-    for r in collapse.position(frame, "g", "i").collect():
+    for r in position(frame, "g", "i", scratch).collect():
         assert r.pos == (r.i - r.g) // r.g
-    assert [r.idx for r in with_ordinals(frame.where("g = 2"), "i", 5, 3).orderBy("i").collect()] == list(range(5, 24))
+    assert [r.idx for r in with_ordinals(frame.where("g = 2"), "i", scratch, 5).orderBy("i").collect()] == list(range(5, 24))
+    assert with_ordinals(frame.where("g = 9"), "i", scratch).collect() == [] == position(frame.where("g = 9"), "g", "i", scratch).collect()
+
+
+@pytest.mark.parametrize("kind", ["sparse", "one value", "null"])
+def test_orders_without_large_windows(spark, scratch, kind):
+    """Sparse keys and equal keys lie in many partitions, and no more than a row of each partition is summed up in one place."""
+    key = {"sparse": F.col("id") * 1_000_003 * 1_000_003, "one value": F.lit(7).cast("bigint"), "null": F.lit(None).cast("bigint")}[kind]
+    frame = spark.range(0, 5000, 1, 4).select(key.alias("k"), (F.col("id") % 10 < 9).cast("int").alias("g"), F.lit(2).cast("bigint").alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in order.ordered(frame, ["k"], scratch, ties=True).groupBy("_part").count().collect()]
+        assert len(parts) == 4 and max(parts) < 2500
+        got = with_ordinals(frame, "k", scratch).collect()
+        assert sorted(r.idx for r in got) == list(range(5000)) and (kind != "sparse" or all(r.idx == r.id for r in got))
+        ranked = position(frame, "g", "k", scratch).collect()
+        assert sorted((r.g, r.pos) for r in ranked) == [(0, k) for k in range(500)] + [(1, k) for k in range(4500)]
+        sums = running_sums(frame, ["k", "id"], ["v"], scratch, "g").collect()
+        assert sorted((r.g, r.v) for r in sums) == [(0, 2 * k + 2) for k in range(500)] + [(1, 2 * k + 2) for k in range(4500)]
+        assert sorted(r.v for r in running_sums(frame, ["k", "id"], ["v"], scratch).collect()) == list(range(2, 10001, 2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 BATCHES = (

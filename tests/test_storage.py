@@ -1,9 +1,9 @@
+import threading
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinfold.plans import storage
 from twinfold.plans.storage import Scratch, join_facts, released, row_keyed
 
 
@@ -15,7 +15,7 @@ def test_tables_go_with_their_scratch(spark):
     with Scratch(spark) as scratch:
         saved = scratch.save(spark.range(10), "t")
         assert saved.count() == 10 and place(scratch).exists()
-    assert not place(scratch).exists() and scratch not in storage._open
+    assert not place(scratch).exists()
     outer = Scratch(spark)
     kept = outer.save(spark.range(3), "kept")
     with released():
@@ -28,6 +28,30 @@ def test_tables_go_with_their_scratch(spark):
     outer.clear()
 
 
+def test_tables_of_other_threads_stay(spark):
+    """A stream writes its tables while a pipeline's stage ends, and the other way round."""
+    opened, ended, left = threading.Event(), threading.Event(), []
+
+    def stream():
+        with released():
+            mine = Scratch(spark)
+            table = mine.save(spark.range(6), "mine")
+            opened.set()
+            ended.wait(60)
+            left.append(table.count())
+        left.append(place(mine).exists())
+
+    other = threading.Thread(target=stream)
+    with released():
+        inner = Scratch(spark)
+        kept = inner.save(spark.range(4), "t")
+        other.start()
+        assert opened.wait(60)
+    ended.set()
+    other.join()
+    assert left == [6, False] and not place(inner).exists() and kept is not None
+
+
 def test_settings_are_as_before_after_a_save(spark, scratch):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     for before in ("false", "true"):

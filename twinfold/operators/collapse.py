@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.plans.storage import join_facts
-
-_SLICE = 1 << 12
+from twinfold.operators.order import position
+from twinfold.plans.storage import Scratch, join_facts
 
 #: Columns that groups() adds; columns of the items with these names make way for them.
 ADDED = ("primary_idx", "is_primary", "pos", "dup_count", "hidden", "label")
 
 
-def position(frame: DataFrame, group: str, order: str, out: str = "pos") -> DataFrame:
-    """Rank of each row in its group from 0, by a unique bigint. A large group is ranked slice by slice, and only the slices' sizes are summed up in one place."""
-    sliced = frame.withColumn("_slice", F.floor(F.col(order) / _SLICE))
-    sizes = sliced.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order)) - 1
-    return sliced.withColumn("_own", own).join(starts, [group, "_slice"]).withColumn(out, (F.col("_own") + F.col("_start")).cast("bigint")).drop("_slice", "_own", "_start")
-
-
 def label(n: Column, shown: bool = False) -> Column:
     """What stands at a group's first item; null without duplicates."""
     plural = F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
     return F.when(n > 0, F.concat(F.lit("("), n.cast("string"), F.lit(" duplicate"), plural, F.lit(" — hide)" if shown else " — show)")))
 
 
-def groups(items: DataFrame, components: DataFrame, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:
+def groups(items: DataFrame, components: DataFrame, scratch: Scratch, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:
     """Add primary_idx, is_primary, pos, dup_count, hidden and label; items without a link are groups of one.
 
     show: whether duplicates are shown at first. toggled: rows (primary_idx) of groups that the user has switched to the other state;
@@ -44,7 +33,7 @@ def groups(items: DataFrame, components: DataFrame, show: bool = False, toggled:
     else:
         switched = toggled.where("primary_idx is not null").select("primary_idx", F.lit(not show).alias("_shown")).distinct()
         sizes = sizes.join(switched, "primary_idx", "left").withColumn("_shown", F.coalesce("_shown", F.lit(show)))
-    out = join_facts(position(placed, "primary_idx", "idx"), sizes, ["primary_idx"])
+    out = join_facts(position(placed, "primary_idx", "idx", scratch), sizes, ["primary_idx"])
     first, shown = F.col("primary_idx") == F.col("idx"), F.col("_shown")
     named = F.when(shown, label(F.col("dup_count"), True)).otherwise(label(F.col("dup_count")))
     out = out.withColumns({"is_primary": first, "hidden": ~first & ~shown, "label": F.when(first, named)})

@@ -40,7 +40,7 @@ class DuplicateFinder:
     def grouped(self, items: DataFrame, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:
         """The groups of all visible items, as collapse.groups() tells them. Fingerprints are shown, with their place in the listing, if the settings say so."""
         seen = self.prepared(items)
-        out = collapse.groups(seen, connected_components(self.links(seen), self.scratch), show, toggled)
+        out = collapse.groups(seen, connected_components(self.links(seen), self.scratch), self.scratch, show, toggled)
         if self.config.showHashValues:
             out = out.withColumn("hash_hex", F.when(F.col("hash").isNotNull(), F.concat(F.lit(" ["), hash_hex(F.col("hash")), F.lit("]"))))
         return out

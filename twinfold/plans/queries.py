@@ -16,6 +16,7 @@ from twinfold.functions import bits, domains, grids, hashes, inverse
 from twinfold.operators import collapse, edges, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
+from twinfold.operators.order import with_ordinals
 from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
 from twinfold.plans.storage import Scratch
 from twinfold.sources import items as sources
@@ -45,7 +46,8 @@ def _text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _text_items(spark, sf_dir)
-    return collapse.groups(rows, connected_components(edges.url_edges(rows), Scratch(spark)))
+    scratch = Scratch(spark)
+    return collapse.groups(rows, connected_components(edges.url_edges(rows), scratch), scratch)
 
 
 def exact_key_star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ordinals over all things; hidden ones use theirs up."""
-    rows = sources.with_ordinals(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    rows = with_ordinals(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", Scratch(spark))
     return rows.where("o_orderstatus <> 'F'").select("o_orderkey", "idx")
 
 
@@ -181,8 +183,8 @@ def hamming_pairs_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hashed(spark, sf_dir)
-    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False), Scratch(spark)))
+    rows, scratch = _hashed(spark, sf_dir), Scratch(spark)
+    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False), scratch), scratch)
 
 
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +200,8 @@ def combined_edges_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("idx"), _text_key("text").alias("url"), F.col("lang").alias("domain"), F.when(F.col("toxic") == 1, F.col("n_chars")).alias("hash"))
     links = edges.url_edges(rows).unionByName(edges.hash_edges(rows, 0, True))
-    return collapse.groups(rows, connected_components(links, Scratch(spark))).select("idx", "primary_idx", "dup_count")
+    scratch = Scratch(spark)
+    return collapse.groups(rows, connected_components(links, scratch), scratch).select("idx", "primary_idx", "dup_count")
 
 
 def compare_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:

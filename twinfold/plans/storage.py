@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_open: list[Scratch] = []
+
+#: What the innermost released() of this thread or context deletes at its end; None outside of any.
+_inside: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("inside", default=None)
+
+#: Rows and bytes that a written stage hands to Python at once; rows may hold long texts, so fewer than Spark's own 10,000.
+_WRITING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for what is run inside; the caller's own come back at the end."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(spark: SparkSession):
+    """As a context: stages run inside hand few rows to Python at once, and shuffle files that only their making needed go with their end."""
+    return session_settings(spark, _WRITING)
+
+
 class Scratch:
     """Tables of one operator run, below the shared folder. As a context manager it deletes them at its end; else they last until the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/twinfold-{uuid.uuid4().hex}"
-        _open.append(self)
+        if (inside := _inside.get()) is not None:
+            inside.append(self)
         atexit.register(self.clear)
 
     def __enter__(self) -> Scratch:
@@ -52,15 +77,8 @@ class Scratch:
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """Write a table and read it again. Shuffle files that only its making needed go with the end of the write."""
         path = self.folder(name)
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with written(self.spark):
             frame.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -77,8 +95,6 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete all tables."""
-        if self in _open:
-            _open.remove(self)
         atexit.unregister(self.clear)
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -89,12 +105,17 @@ class Scratch:
 
 @contextlib.contextmanager
 def released() -> Iterator[None]:
-    """Delete the tables of every Scratch made inside, at the end: what they were made for must be written by then."""
-    known = set(map(id, _open))
+    """Delete the tables of every Scratch that this thread makes inside, at the end: what they were made for must be written by then.
+
+    Tables that other threads write meanwhile, such as those of a stream, are theirs and stay.
+    """
+    made: list[Scratch] = []
+    token = _inside.set(made)
     try:
         yield
     finally:
-        for scratch in [x for x in _open if id(x) not in known]:
+        _inside.reset(token)
+        for scratch in made:
             scratch.clear()
 
 
