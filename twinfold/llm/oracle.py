@@ -135,7 +135,114 @@ y AS (SELECT DISTINCT doc_id FROM v JOIN x USING (stratum, f) WHERE v > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND y.doc_id IS NULL AS kept FROM b LEFT JOIN y USING (doc_id)
 """
 
+# fixed values: the primes of XXH64
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_SEED, _M = 42, (1 << 64) - 1
+
+
+def _u(x) -> str:
+    return f"{x}::UHUGEINT"
+
+
+def _low(x: str) -> str:
+    """64 bits of a sum or product."""
+    return f"(({x}) & {_u(_M)})"
+
+
+def _turned(x: str, n: int) -> str:
+    return f"(((({x}) << {n}) & {_u(_M)}) | (({x}) >> {64 - n}))"
+
+
+def _number(h: str, at: str, size: int) -> str:
+    """Little-endian bytes of a hex text, from byte `at`, as a number."""
+    return "('0x' || " + " || ".join(f"substr({h}, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _lane(k: int) -> str:
+    start = _SEED + (_P1 + _P2, _P2, 0, -_P1)[k]
+    return f"list_reduce(list_transform(range(n // 32), lambda i: {_low(_number('h', f'32 * i + {8 * k}', 8) + f' * {_u(_P2)}')}), lambda v, x: {_low(_turned(_low('v + x'), 31) + f' * {_u(_P1)}')}, {_u(start & _M)})"
+
+
+def _merged(acc: str, v: str) -> str:
+    return _low(f"xor({acc}, {_low(_turned(_low(f'{v} * {_u(_P2)}'), 31) + f' * {_u(_P1)}')}) * {_u(_P1)} + {_u(_P4)}")
+
+
+def _mixed(acc: str, shift: int, prime: int) -> str:
+    return _low(f"xor({acc}, ({acc}) >> {shift}) * {_u(prime)}")
+
+
+_STEP8 = _low(_turned("xor(a, x)", 27) + f" * {_u(_P1)} + {_u(_P4)}")
+_STEP1 = _low(_turned("xor(a, x)", 11) + f" * {_u(_P1)}")
+
+# XXH64 of distinct shingles, step by step, then the majority of each bit, links of all pairs of different fingerprints and their closure
+_SIMHASH = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, sh, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM d) GROUP BY ALL),
+x0 AS (SELECT DISTINCT sh, hex(encode(sh)) AS h, strlen(sh) AS n FROM s),
+x1 AS (SELECT *, {", ".join(f"CASE WHEN n >= 32 THEN {_lane(k)} END AS v{k}" for k in range(4))} FROM x0),
+x2 AS (SELECT *, {_low(" + ".join(_turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))} AS m FROM x1),
+x3 AS (SELECT *, {_merged("m", "v0")} AS m1 FROM x2), x4 AS (SELECT *, {_merged("m1", "v1")} AS m2 FROM x3), x5 AS (SELECT *, {_merged("m2", "v2")} AS m3 FROM x4),
+x6 AS (SELECT sh, h, n, {_low(f"CASE WHEN n >= 32 THEN {_merged('m3', 'v3')} ELSE {_u(_SEED + _P5)} END + n::UHUGEINT")} AS a0 FROM x5),
+x7 AS (SELECT sh, h, n, list_reduce(list_transform(range(n % 32 // 8), lambda i: {_low(_turned(_low(_number('h', 'n // 32 * 32 + 8 * i', 8) + f' * {_u(_P2)}'), 31) + f' * {_u(_P1)}')}), lambda a, x: {_STEP8}, a0) AS a FROM x6),
+x8 AS (SELECT sh, h, n, CASE WHEN n % 8 >= 4 THEN {_low(_turned(f"xor(a, {_low(_number('h', 'n // 8 * 8', 4) + f' * {_u(_P1)}')})", 23) + f" * {_u(_P2)} + {_u(_P3)}")} ELSE a END AS a0 FROM x7),
+x9 AS (SELECT sh, list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {_low(_number('h', 'i', 1) + f' * {_u(_P5)}')}), lambda a, x: {_STEP1}, a0) AS a FROM x8),
+y1 AS (SELECT sh, {_mixed("a", 33, _P2)} AS a FROM x9), y2 AS (SELECT sh, {_mixed("a", 29, _P3)} AS a FROM y1), y3 AS (SELECT sh, xor(a, a >> 32)::UBIGINT AS x FROM y2),
+b AS (SELECT doc_id, {" + ".join(f"((2 * sum(c * ((x >> {k}) & 1)::BIGINT) > sum(c))::UHUGEINT << {k})" for k in range(64))} AS fp FROM s JOIN y3 USING (sh) GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN b USING (doc_id)),
+n AS (SELECT fp, min(doc_id) AS node FROM f GROUP BY fp),
+v AS (SELECT p.node AS a, q.node AS b FROM n p JOIN n q ON p.fp <> q.fp AND bit_count(xor(p.fp, q.fp)::HUGEINT) <= 2),
+r AS (SELECT a AS id, b AS reach FROM v UNION SELECT r.id, v.b FROM r JOIN v ON r.reach = v.a),
+m AS (SELECT id, min(reach) AS low FROM r GROUP BY id)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, least(node, coalesce(low, node)) AS component_id FROM f JOIN n USING (fp) LEFT JOIN m ON m.id = node
+"""
+
+# fixed value: the reversed polynomial of CRC-32
+_CRC_TABLE = "t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END, i::UBIGINT) AS v FROM range(256) z(i)))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(4294967295::UBIGINT, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda z: ('0x' || z)::UBIGINT), lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT]), 4294967295::UBIGINT))"
+
+
+_SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{7,}}')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS c FROM a GROUP BY ALL),
+h AS (SELECT run, c, ({_crc("doc_id::VARCHAR || ':' || run")})::BIGINT AS h FROM c, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+k AS (SELECT word, n, i, word[1:i - 1] AS p, word[i + 1:] AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.i = y.i AND x.p = y.p AND x.s = y.s AND x.word <> y.word
+  UNION SELECT x.word, v.word, v.n FROM k x JOIN v ON v.word = x.p || x.s UNION SELECT v.word, x.word, x.n FROM k x JOIN v ON v.word = x.p || x.s),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM e GROUP BY word),
+f AS (SELECT word, min(near) AS near FROM e JOIN b USING (word, near_n) GROUP BY word),
+g AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word) LEFT JOIN f USING (word)),
+r AS (SELECT word, form AS root, 1 AS steps FROM g WHERE form IS NOT NULL UNION ALL SELECT r.word, g.form, steps + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN z USING (word)
+"""
+
+_TRIE = f"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+h AS (SELECT c, n, c - c % 100 AS base, ({_crc("c::VARCHAR")})::BIGINT % 6 AS h FROM n, t),
+l AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS lead FROM h LEFT JOIN n b ON b.c = base),
+s AS (SELECT l.c, lead + pos - h + 1 AS d, role, text FROM l JOIN o USING (c) WHERE pos >= h UNION ALL SELECT l.c, pos + 1, role, text FROM l JOIN o ON o.c = base WHERE pos < h),
+p AS (SELECT *, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ) OVER (PARTITION BY c ORDER BY d)) AS id, length(text) AS chars FROM s),
+m AS (SELECT c, d, id, chars, coalesce(lag(id) OVER (PARTITION BY c ORDER BY d), '') AS up FROM p UNION ALL SELECT c, 0, '', 0, NULL FROM n),
+q AS (SELECT d, id, min(up) AS up, min(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM m GROUP BY d, id),
+k AS (SELECT up AS id, count(*) AS n_children FROM q GROUP BY up),
+u AS (SELECT q.*, coalesce(n_children, 0) AS n_children FROM q LEFT JOIN k USING (id)),
+g AS (SELECT a.id, count_if(u.n_children = 0)::BIGINT AS n_leaves, sum((u.n_convs - 1) * u.chars)::BIGINT AS saved_tokens FROM u JOIN m a ON a.c = u.conv_id AND a.d <= u.d GROUP BY a.id),
+e AS (SELECT id, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, arg_max(id, d) AS id FROM m GROUP BY c) GROUP BY id)
+SELECT u.conv_id, u.d AS depth, a.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM u JOIN g USING (id) LEFT JOIN q a ON a.id = u.up LEFT JOIN e ON e.id = u.id
+"""
+
 ORACLE = {
     "op2_warc_round_trip": _WARC, "op3_quality_rules": _QUALITY, "op4_exact_dedup": _EXACT, "op5_preference_formatting": _PREFERENCE, "op6_line_dedup": _LINES,
-    "op7_minhash_near_dedup": _NEAR, "op8_suffix_array_dedup": _SUFFIX, "op9_substring_dedup": _SUBSTRING,
+    "op7_minhash_near_dedup": _NEAR, "op8_suffix_array_dedup": _SUFFIX, "op9_substring_dedup": _SUBSTRING, "op11_simhash_near_dedup": _SIMHASH, "op12_spelling_variants": _SPELLING, "op13_conversation_trie": _TRIE,
 }

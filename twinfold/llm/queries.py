@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
+from twinfold.llm import bpe, exact, lines, minhash, packing, preference, quality, simhash, spelling, substring, suffix, trie, warc
 from twinfold.llm.common import table
 from twinfold.plans.storage import Scratch
 
@@ -63,4 +63,20 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER, Scratch(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_round_trip, op3_quality_rules, op4_exact_dedup, op5_preference_formatting, op6_line_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_substring_dedup, op10_bpe_round_trip)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=3, radius=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), min_chars=7, min_n=2, slip=31)
+    return spelling.grouped(words, Scratch(spark), factor=10)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    rows = trie.turn_rows(table(spark, sf_dir, "conversations"), scratch)
+    return trie.prefix_trie(*trie.rebuilt(rows, scratch, every=100, shared=6), scratch)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_round_trip, op3_quality_rules, op4_exact_dedup, op5_preference_formatting, op6_line_dedup, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_substring_dedup, op10_bpe_round_trip, op11_simhash_near_dedup, op12_spelling_variants, op13_conversation_trie)}
