@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -7,13 +8,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from twinfold.functions import domains
-from twinfold.operators import collapse, edges, order, rules
+from twinfold.operators import collapse, components, edges, order, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
 from twinfold.operators.order import position, running_sums, with_ordinals
 from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
 from twinfold.sources.items import background_replies, page_route, project
-from twinfold.streaming import incremental
+from twinfold.streaming import state
 from twinfold.streaming.incremental import IncrementalFinder
 
 ITEM = "idx bigint, url string, domain string, hash bigint, visible boolean"
@@ -88,6 +89,58 @@ def test_radius_join_is_exact(spark, radius):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(8, None), (8, 3), (8, 9), (3, 4), (16, 5)])
+def test_forest_of_near_fingerprints(spark, scratch, radius, blocks):
+    """Groups are those of all pairs; a dense ball gives links in proportion to its members."""
+    import random
+
+    rnd = random.Random(radius)
+    middle = rnd.getrandbits(64)
+    flipped = lambda v, n: v ^ sum(1 << b for b in rnd.sample(range(64), n))
+    ball = {flipped(middle, rnd.randint(0, radius // 2)) for _ in range(600)} | {middle}
+    chain, value = [], rnd.getrandbits(64)
+    for _ in range(40):
+        chain.append(value := flipped(value, radius))
+    values = sorted(ball | set(chain) | {flipped(rnd.choice(chain), radius + 2) for _ in range(40)} | {rnd.getrandbits(64) for _ in range(60)})
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    frame = spark.createDataFrame(list(enumerate(signed)), "idx bigint, hash bigint").withColumn("part", F.lit(""))
+    links = {(r.a, r.b) for r in edges.near_forest(frame, radius, scratch, blocks).collect()}
+    assert all(a < b and (values[a] ^ values[b]).bit_count() <= radius for a, b in links)
+    pairs = [(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= radius]
+
+    def groups(found):
+        led = list(range(len(values)))
+
+        def root(x):
+            while led[x] != x:
+                led[x] = led[led[x]]
+                x = led[x]
+            return x
+
+        for a, b in found:
+            a, b = root(a), root(b)
+            led[max(a, b)] = min(a, b)
+        return [root(x) for x in range(len(values))]
+
+    assert groups(links) == groups(pairs)
+    assert len(pairs) < 2000 or len(links) < 6 * len(values) < len(pairs)
+
+
+@pytest.mark.parametrize("size", [16, 1 << 18])
+def test_chains_are_contracted_where_they_lie(spark, scratch, monkeypatch, size):
+    """The links of a chain of 3000 nodes that one task reads: rounds and links by how many it contracts at once."""
+    monkeypatch.setattr(components, "CONTRACTED", size)
+    written, save = [], scratch.save
+    monkeypatch.setattr(scratch, "save", lambda frame, name: written.append((out := save(frame, name)).count()) or out)
+    chain = spark.range(3000).coalesce(1).select((F.col("id") * 7 + 8).alias("a"), (F.col("id") * 7 + 1).alias("b"))
+    got = connected_components(chain, scratch)
+    assert got.where("component <> 1").isEmpty() and got.count() == 3001
+    assert written == [3000] if size > 3000 else 3000 >= written[0] and len(written) <= 7
+    a, b = components.local_roots(np.array([5, 9, 2, 7]), np.array([9, 2, 7, 11]))
+    assert a.tolist() == [5, 7, 9, 11] and set(b.tolist()) == {2}
+    assert [x.tolist() for x in components.local_roots(np.array([3]), np.array([3]))] == [[], []]
+
+
 def test_few_candidates_meet(spark):
     import random
 
@@ -171,7 +224,8 @@ def test_batches(spark):
 
 
 def test_batches_after_a_restart_and_compaction(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(incremental, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(state, "FAN", 2)
+    monkeypatch.setattr(state, "BUCKET_ROWS", 1)
     got = []
     for k, rows in enumerate(BATCHES):
         finder = IncrementalFinder(spark, DedupConfig(), f"file://{tmp_path}/state")
@@ -213,9 +267,10 @@ def test_a_failed_batch(spark):
     finder = IncrementalFinder(spark, DedupConfig())
     finder.on_batch(bad, 5)
     assert 5 in finder.errors and finder.status()["last_batch_error"] == finder.errors[5] and not finder.stats
+    assert finder.status()["num_links"] == 1  # it has arrived
     assert fed(finder, spark, 0, BATCHES[0]) == WANT[0]
     finder.on_batch(spark.createDataFrame([(7, "u1", "d", None, True)], ITEM), 5)
-    assert not finder.errors and told(finder.items) == [[0, 2, 7], [1]]
+    assert not finder.errors and told(finder.items) == [[0, 2, 7], [1]] and finder.status()["num_links"] == 4
     with pytest.raises(Exception, match="visible"):
         IncrementalFinder(spark, DedupConfig(), on_error="raise").on_batch(bad, 0)
     with pytest.raises(ValueError):
@@ -223,6 +278,41 @@ def test_a_failed_batch(spark):
     idle = IncrementalFinder(spark, DedupConfig(), page_type=None)
     idle.on_batch(bad, 0)
     assert idle.status()["ignored"] and not idle.errors
+    for page, lacks in (("single page", False), ("no body class", False), ("search page", True)):  # the reason stands as the page type
+        told_ = IncrementalFinder(spark, DedupConfig(), page_type=page, ignored=lacks).status()
+        assert told_["ignored"] and told_["page_type"] == page and told_["num_links"] == 0
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    """Files read grow with the batch, not with the state; a failed batch leaves nothing behind; records are pruned."""
+    monkeypatch.setattr(state, "BUCKET_ROWS", 8)
+    path = tmp_path / "state"
+    finder = IncrementalFinder(spark, DedupConfig(), f"file://{path}")
+    many = spark.range(256).select(F.col("id").alias("idx"), F.concat(F.lit("u"), F.col("id") % 200).alias("url"), F.concat(F.lit("d"), F.col("id") % 64).alias("domain"), (F.col("id") * 0x0123456789ABCD % (1 << 62)).alias("hash"), F.lit(True).alias("visible"))
+    finder.on_batch(many, 0)
+    total = {k: len(b) for k, b in finder.state.parts[0]["buckets"].items()}
+    assert total["url"] > 20 and total["print"] > 10 and total["size"] > 10
+    few = [(300, "u7", "d5", None, True), (301, "new", "d7", 12345, True)]
+    finder.on_batch(spark.createDataFrame(few, ITEM), 1)
+    assert not finder.errors and finder.state.files == {"url": 2, "print": 1, "former": 0, "size": 1}
+    assert {r.idx: r.primary_idx for r in finder.items.where("idx in (7, 207, 300, 301)").collect()} == {7: 7, 207: 7, 300: 7, 301: 301}
+    finder.on_batch(spark.createDataFrame([(9, "u1")], "idx bigint, url string"), 2)
+    assert finder.errors and sorted(p.name for p in (path / "parts").iterdir()) == ["1", "2"]
+    for k in range(3, 6):
+        finder.on_batch(spark.createDataFrame([], ITEM), k)
+    assert len([p for p in (path / "done").iterdir() if p.suffix == ".json"]) == 2 and finder.done == [[0, 1], [3, 5]]
+
+
+def test_a_primary_that_falls_again_and_again(spark, scratch):
+    """Each batch takes the place of the primary before it; ways of several steps are followed, and stored as one."""
+    finder, seen = IncrementalFinder(spark, DedupConfig(maxHammingDistance=0)), []
+    batches = [[(20, "a", "d", None, True), (21, "b", "d", None, True)], [(15, "a", "d", None, True)], [(12, "b", "d", None, True)], [(9, "a", "d", None, True)], [(5, "a", "d", None, True), (6, "b", "d", None, True)], [(3, "a", "d", None, True)], [(30, "b", "d", None, True)], [(1, "c", "d", 77, True), (2, "a", "d", 77, True)]]
+    for k, rows in enumerate(batches):
+        seen += rows
+        finder.on_batch(spark.createDataFrame(rows, ITEM), k)
+    whole = DuplicateFinder(DedupConfig(maxHammingDistance=0), scratch).grouped(spark.createDataFrame(seen, ITEM))
+    assert not finder.errors and told(finder.items) == told(whole) == [[1, 2, 3, 5, 9, 15, 20], [6, 12, 21, 30]]
+    assert finder.status()["total_dups"] == 9 and finder.status()["num_with_dups"] == 2
 
 
 def test_stream(spark, tmp_path):

@@ -34,7 +34,7 @@ class DuplicateFinder:
         return self.scratch.save(seen.drop("_process"), "items")
 
     def links(self, items: DataFrame) -> DataFrame:
-        by_hash = edges.hash_edges(items, self.config.maxHammingDistance, self.config.partitionByDomain)
+        by_hash = edges.hash_edges(items, self.config.maxHammingDistance, self.config.partitionByDomain, self.scratch)
         return edges.url_edges(items).unionByName(by_hash)
 
     def grouped(self, items: DataFrame, show: bool = False, toggled: DataFrame | None = None) -> DataFrame:

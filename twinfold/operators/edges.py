@@ -5,17 +5,22 @@ no pairs of a group are made. The radius join works on distinct fingerprints and
 within radius r agree in one of m blocks up to r / m bits (the first r mod m + 1 blocks), or one bit less (the others);
 so each fingerprint looks up, for each block, all values that near its own. Fewer blocks make longer keys, hence fewer false
 candidates, and more values to look up; the number of fingerprints decides.
+
+Where only components are wanted, no pairs of a ball of near fingerprints are made: each is first linked to the smallest one with the same
+value of a block, if that is near, then to one of the largest component found by that; only values at which different components meet are then looked up, and of two components that
+meet in a task one link is kept.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.bits import hamming, is_blank
-from twinfold.plans.storage import join_facts
+from twinfold.operators.components import connected_components
+from twinfold.plans.storage import Scratch, join_facts
 
 #: Lookups a fingerprint may make at most; a row looked up costs about as much as so many comparisons.
 MAX_PROBES, ROW_COST = 5000, 30
@@ -23,6 +28,9 @@ MAX_PROBES, ROW_COST = 5000, 30
 #: Fingerprints up to this number may be compared each with each, if that is cheaper; members of a block when they are.
 SMALL_JOIN, BLOCK = 20_000, 1024
 
+#: Fingerprints up to this number are linked by all their pairs, which are few then and take one job.
+FEW = 1000
+
 
 def star_edges(items: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Rows (a, b), a < b: each item and the first one with the same keys. Null keys match nothing."""
@@ -85,6 +93,26 @@ def _near_values(cuts: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
+def _value(h: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _values(h: str, cuts: list[tuple[int, int, int]]) -> Column:
+    return F.array(*(_value(F.col(h), low, width) for low, width, _ in cuts))
+
+
+def looking(rows: DataFrame, h: str, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each value that a fingerprint looks up: all those that near its own in a block."""
+    rows = rows.withColumn("_values", _values(h, cuts)).withColumn("_probe", F.explode(F.lit(_near_values(cuts))))
+    rows = rows.withColumn("_block", F.shiftright("_probe", 56).cast("int"))
+    return rows.withColumn("_value", F.get("_values", "_block").bitwiseXOR(F.col("_probe").bitwiseAND(F.lit((1 << 56) - 1)))).drop("_values", "_probe")
+
+
+def looked_up(rows: DataFrame, h: str, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each block, with the fingerprint's own value."""
+    return rows.select("*", F.posexplode(_values(h, cuts)).alias("_block", "_value"))
+
+
 def near_join(one: DataFrame, two: DataFrame, radius: int, blocks: int, ordered: bool = False) -> DataFrame:
     """Rows (a, b, distance) of (a, part, ha) and (b, part, hb) with equal parts within the radius, each pair once; ordered: only a < b.
 
@@ -98,15 +126,10 @@ def near_join(one: DataFrame, two: DataFrame, radius: int, blocks: int, ordered:
         two = two.withColumn("_block", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"))
         return one.join(two, ["part", "_block"]).where(keep).select("a", "b", distance.alias("distance"))
     cuts = probe_cuts(radius, blocks)
-    value = lambda h, low, width: F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1))
-    values = lambda h: F.array(*(value(F.col(h), low, width) for low, width, _ in cuts))
-    one = one.select("a", "part", "ha", values("ha").alias("_values"), F.explode(F.lit(_near_values(cuts))).alias("_probe"))
-    one = one.withColumn("_block", F.shiftright("_probe", 56).cast("int"))
-    one = one.select("a", "part", "ha", "_block", F.get("_values", "_block").bitwiseXOR(F.col("_probe").bitwiseAND(F.lit((1 << 56) - 1))).alias("_value"))
-    two = two.select("b", "part", "hb", F.posexplode(values("hb")).alias("_block", "_value"))
+    one, two = looking(one.select("a", "part", "ha"), "ha", cuts), looked_up(two.select("b", "part", "hb"), "hb", cuts)
     differ, met = F.col("ha").bitwiseXOR(F.col("hb")), F.lit(False)  # met: in an earlier block
     for k, (low, width, reach) in enumerate(cuts):
-        met = met | ((F.lit(k) < F.col("_block")) & (F.bit_count(value(differ, low, width)) <= reach))
+        met = met | ((F.lit(k) < F.col("_block")) & (F.bit_count(_value(differ, low, width)) <= reach))
     return one.join(two, ["part", "_block", "_value"]).where(keep & ~met).select("a", "b", distance.alias("distance"))
 
 
@@ -119,11 +142,49 @@ def hamming_pairs(hashes: DataFrame, radius: int, blocks: int | None = None) ->
     return near_join(one, two, radius, blocks, ordered=True)
 
 
-def hash_edges(items: DataFrame, radius: int, partition_by_domain: bool, blocks: int | None = None) -> DataFrame:
-    """Links by fingerprint: stars of equal ones, and pairs of the first items of those within the radius."""
+def near_forest(hashes: DataFrame, radius: int, scratch: Scratch, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct (idx, part, hash), whose components are those of all pairs within the radius. Their number grows with the fingerprints, not with the pairs."""
+    hashes = scratch.save(hashes.select("idx", "part", "hash"), "hashes")
+    if blocks is None:
+        blocks = choose_blocks(radius, hashes.count())
+    cuts, key = probe_cuts(radius, blocks or radius + 1), ["part", "_block", "_value"]
+    # those with one value of a block are linked to the smallest one, then to one of the largest component so far
+    stars, placed = None, hashes.withColumns({"component": F.col("idx"), "members": F.lit(1).cast("bigint")})
+    for _ in range(2):
+        own = looked_up(placed, "hash", cuts)
+        lead = own.groupBy(*key).agg(F.max(F.struct("members", (-F.col("idx")).alias("low"), "hash", "component")).alias("_lead"))
+        near = join_facts(own, lead, key).where((F.col("_lead.component") != F.col("component")) & (hamming(F.col("hash"), F.col("_lead.hash")) <= radius))
+        new = near.select(F.least("idx", -F.col("_lead.low")).alias("a"), F.greatest("idx", -F.col("_lead.low")).alias("b")).distinct()
+        stars = scratch.save(new if stars is None else stars.unionByName(new), "stars")
+        parts = connected_components(stars, scratch).withColumnRenamed("id", "idx")
+        sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
+        parts = join_facts(parts, sizes, ["component"])
+        placed = scratch.save(hashes.join(parts, "idx", "left").select("idx", "part", "hash", F.coalesce("component", "idx").alias("component"), F.coalesce("members", F.lit(1)).cast("bigint").alias("members")), "placed")
+
+    # values at which different components meet
+    if blocks:
+        one, two = looking(placed, "hash", cuts), looked_up(placed, "hash", cuts)
+    else:
+        n = max(1, math.ceil(placed.count() / BLOCK))
+        key = ["part", "_block"]
+        one = placed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        two = placed.withColumn("_block", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int"))
+    ends = one.select(*key, "component").unionByName(two.select(*key, "component"))
+    mixed = scratch.save(ends.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*key), "mixed")
+    sides = [join_facts(rows, mixed, key).select(*key, F.col("idx").alias(f"_{x}"), F.col("hash").alias(f"_h{x}"), F.col("component").alias(f"_c{x}")) for rows, x in ((one, "a"), (two, "b"))]
+    met = sides[0].join(sides[1], key).where((F.col("_ca") != F.col("_cb")) & (hamming(F.col("_ha"), F.col("_hb")) <= radius))
+    across = met.groupBy(F.least("_ca", "_cb").alias("_low"), F.greatest("_ca", "_cb").alias("_high")).agg(F.min(F.struct("_a", "_b")).alias("m"))
+    return stars.unionByName(across.select(F.least("m._a", "m._b").alias("a"), F.greatest("m._a", "m._b").alias("b")))
+
+
+def hash_edges(items: DataFrame, radius: int, partition_by_domain: bool, scratch: Scratch, blocks: int | None = None) -> DataFrame:
+    """Links by fingerprint: stars of equal ones, and a forest over the first items of those within the radius."""
     keys = hash_keys(items, partition_by_domain)
     same = star_edges(keys, ["part", "hash"])
     if not radius:
         return same
     distinct = keys.groupBy("part", "hash").agg(F.min("idx").alias("idx"))
-    return same.unionByName(hamming_pairs(distinct, radius, blocks).select("a", "b"))
+    distinct = scratch.save(distinct, "distinct")
+    if distinct.count() <= FEW:
+        return same.unionByName(hamming_pairs(distinct, radius, blocks).select("a", "b"))
+    return same.unionByName(near_forest(distinct, radius, scratch, blocks))

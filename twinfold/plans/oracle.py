@@ -180,7 +180,7 @@ e AS (SELECT min(idx) OVER (PARTITION BY url) AS a, idx AS b FROM i WHERE url IS
     "incremental_groups": f"{_FINDER} SELECT idx, primary_idx FROM g3",
     "incremental_stats": f"""WITH {_EVENTS} SELECT b AS batch_id, num_links, batch_num_with_dups, batch_total_dups, num_with_dups, total_dups,
   CASE WHEN batch_total_dups = 0 THEN 'No duplicates found' WHEN batch_total_dups = total_dups THEN 'Found ' || {_KNOWN} ELSE 'Found ' || {_counted('batch_total_dups', 'duplicate')} || ', total ' || {_KNOWN} END AS message FROM s""",
-    "monitor_status": f"WITH {_EVENTS} SELECT 'listing page' AS page_type, false AS ignored, true AS initialized, 0::BIGINT AS pending, (SELECT count(*) FROM events) AS num_links, num_with_dups, total_dups, true AS last_batch_error, 1::BIGINT AS failed_batches FROM s WHERE b = 3",
+    "monitor_status": f"WITH {_EVENTS} SELECT 'listing page' AS page_type, false AS ignored, true AS initialized, 0::BIGINT AS pending, 2 * (SELECT count(*) FROM events) AS num_links, num_with_dups, total_dups, true AS last_batch_error, 1::BIGINT AS failed_batches FROM s WHERE b = 3",
     "item_projection": r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 <> 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || '/r/' || page_id WHEN page_id % 9 <> 0 THEN 'https://Other.example/' || page_id END AS link FROM pages)
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'listing page' ELSE 'search page' END AS page_type, CASE WHEN page_id % 2 = 0 THEN url ELSE link END AS url,
   CASE WHEN page_id % 2 = 0 THEN 'Data' || page_id % 9 WHEN link IS NOT NULL THEN lower(regexp_extract(link, '^[a-z]+://([^/:?#]+)', 1)) END AS domain FROM p""",

@@ -76,7 +76,7 @@ def null_key_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null fingerprints match nothing, null domains match each other."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("idx"), F.when(F.col("lang") != "en", F.col("lang")).alias("domain"), (F.col("quality") * 7 + F.col("toxic") + 1).cast("bigint").alias("hash"))
-    return edges.hash_edges(rows, 0, True)
+    return edges.hash_edges(rows, 0, True, Scratch(spark))
 
 
 def host_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def hamming_pairs_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, scratch = _hashed(spark, sf_dir), Scratch(spark)
-    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False), scratch), scratch)
+    return collapse.groups(rows, connected_components(edges.hash_edges(rows, RADIUS, False, scratch), scratch), scratch)
 
 
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +199,8 @@ def combined_edges_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by text and by a fingerprint from labels, in parts by language."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("idx"), _text_key("text").alias("url"), F.col("lang").alias("domain"), F.when(F.col("toxic") == 1, F.col("n_chars")).alias("hash"))
-    links = edges.url_edges(rows).unionByName(edges.hash_edges(rows, 0, True))
     scratch = Scratch(spark)
+    links = edges.url_edges(rows).unionByName(edges.hash_edges(rows, 0, True, scratch))
     return collapse.groups(rows, connected_components(links, scratch), scratch).select("idx", "primary_idx", "dup_count")
 
 
@@ -286,7 +286,7 @@ def incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fed(spark: SparkSession, sf_dir: str) -> IncrementalFinder:
-    """Events in four batches by number, every tenth one hidden; a batch without the columns of items fails in between."""
+    """Events in four batches by number, every tenth one hidden; a batch of all of them without the columns of items has failed before, whose links count as arrived."""
     rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("bigint").alias("hash"), (F.col("event_id") % 10 != 0).alias("visible"))
     n = rows.count()
     finder = IncrementalFinder(spark, DedupConfig(maxHammingDistance=0))

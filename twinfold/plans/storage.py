@@ -37,6 +37,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a name in any store that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    store, target = _place(spark, path)
+    store.delete(target, True)
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    store, target = _place(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, seen whole or not at all: written under another name first. An older file of the name is replaced."""
+    store, target = _place(spark, path)
+    _, draft = _place(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = store.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if store.exists(target):
+        store.delete(target, False)
+    if not store.rename(draft, target):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    store, target = _place(spark, path)
+    data = store.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
+    finally:
+        data.close()
+
+
 @contextlib.contextmanager
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Settings that hold for what is run inside; the caller's own come back at the end."""
@@ -89,9 +132,7 @@ class Scratch:
             self.delete(frame._scratch_path)
 
     def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, path)
 
     def clear(self) -> None:
         """Delete all tables."""
