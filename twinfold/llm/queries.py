@@ -38,7 +38,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    rows = preference.preference_rows(preference.star_pairs(turns), turns).unionByName(preference.preference_rows(*preference.stale_replies(turns)))
+    rows = preference.preference_rows(preference.star_pairs(turns, with_counts=True), turns).unionByName(preference.preference_rows(*preference.stale_replies(turns)))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s[0], s[1])), ",")
     return rows.withColumns({"chosen_mask": spans(F.col("chosen_mask")), "rejected_mask": spans(F.col("rejected_mask"))})
 
