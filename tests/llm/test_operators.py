@@ -135,6 +135,36 @@ def test_packing_keeps_large_ids_beside_null(spark):
     assert {r.doc_id for r in packing.pack(named, 2).collect()} == {"z", None}
 
 
+def test_packing_deals_rows_of_one_id_to_all_groups(spark):
+    one = spark.range(0, 8000, 1, 4).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), (F.col("id") % 3 + 1).alias("length"))
+    per = collections.Counter(r.sequence_id >> 40 for r in packing.pack(one, 8000, group_docs=400).collect())
+    assert len(per) == 20 and max(per.values()) == 400
+    assert sum(per.values()) == 8000
+
+
+LONG = {"spaces": "x" + " " * 2_000_000 + "y", "lines": "\n" * 2_000_000, "letters": "a" * 2_000_000, "mixed": " \t" * 600_000 + "z"}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_very_long_runs_of_one_character(spark, scratch, kind):
+    rows = [(1, LONG[kind]), (2, "plain text"), (3, "p " * 300 + LONG[kind])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole_pieces(rows, packing.pack(packing.token_pieces(docs, PATH), 3).collect())
+    t = Tokenizer.from_file(PATH)
+    for r in bpe.encode_documents(docs, PATH, scratch).collect():
+        ids = t.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_settings_stay_as_they_were(spark, scratch):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id bigint, text string")
+    for frame in (bpe.encode_documents(docs, PATH, scratch), lines.dedup_lines(docs, scratch), packing.token_pieces(docs, PATH)):
+        frame.collect()
+    assert [spark.conf.get(n) for n in names] == before
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_capacities(score):
     rnd = random.Random(3)
@@ -484,6 +514,17 @@ def test_preference(spark):
     assert {(x.chosen, x.rejected_text) for x in preference.preference_rows(pairs, both).collect()} == {(1, "<|assistant|>\n\n<|end|>\n"), (2, "<|assistant|>\n\n<|end|>\n")}
 
 
+def test_a_very_common_chosen_conversation_is_dealt(spark, monkeypatch):
+    """One chosen conversation against 60 others: with 7 pairs in a place, the same rows, with and without known counts."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "hi" if t == 0 else "long answer " * 9 if c == 5 else f"a{c}") for c in range(61) for t in range(2)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    plain = sorted(map(tuple, preference.preference_rows(preference.star_pairs(table), table).collect()))
+    monkeypatch.setattr(preference, "PAIRS", 7)
+    for counts in (False, True):
+        assert sorted(map(tuple, preference.preference_rows(preference.star_pairs(table, with_counts=counts), table).collect())) == plain
+    assert len(plain) == 60 and {r[1] for r in plain} == {5}
+
+
 def test_preference_against_sql(spark, tmp_path):
     """Turns with one number, repeated rows, nulls, hot first turns and equal conversations."""
     rnd = random.Random(17)

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.plans.storage import written
+
 #: Bounds of a filter's bits: of two filters a task holds 128 MB at most, and 64 MB are broadcast.
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 _PROBES, _SEGMENT_BITS, _SHARES = 3, 1 << 22, 64
@@ -108,8 +110,9 @@ def repeated_filter(rows: DataFrame, hashes: Callable[..., Iterable[int]], bits:
     shares = rows.mapInArrow(fill, schema).repartition("k", "share").sortWithinPartitions("k", "share").mapInArrow(merge, schema)
     merged = shares.withColumn("share", F.lit(0)).repartition("k").sortWithinPartitions("k").mapInArrow(merge, schema)
     whole = Seen(np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8))
-    for k, once, twice in merged.select("k", "once", "twice").toLocalIterator():  # a row for each segment, bits / 4 bytes in all
-        part = slice(k * size, (k + 1) * size)
-        whole.once[part] = np.frombuffer(zlib.decompress(once), np.uint8)
-        whole.twice[part] = np.frombuffer(zlib.decompress(twice), np.uint8)
+    with written(rows.sparkSession):
+        for k, once, twice in merged.select("k", "once", "twice").toLocalIterator():  # a row for each segment, bits / 4 bytes in all
+            part = slice(k * size, (k + 1) * size)
+            whole.once[part] = np.frombuffer(zlib.decompress(once), np.uint8)
+            whole.twice[part] = np.frombuffer(zlib.decompress(twice), np.uint8)
     return whole

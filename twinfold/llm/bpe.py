@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.bloom import Filter, bits_for, repeated_filter
-from twinfold.llm.common import byte_tokenizer, map_rows, small_batches
+from twinfold.llm.common import byte_tokenizer, map_rows
 from twinfold.plans.storage import Scratch, row_keyed
 
 #: A chunk's mean length in bytes is 2 ** CHUNK_BITS; none is longer than MAX_CHUNK.
@@ -120,7 +120,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_
     """Rows (id, *finish(ids, decode)), one per input row; by default the ids' number, their digest and that of the decoded text.
 
     A null or empty text has no ids. Null and repeated ids give a row each; other columns are ignored, whatever their names; an empty table gives no rows.
-    A very long text is encoded chunk by chunk, and its ids are joined in one task. bloom_bits: the filter's size; by default it follows the table's.
+    A very long text is encoded chunk by chunk, and its ids are joined in one task, white space of any length included. bloom_bits: the filter's size; by default it follows the table's.
     """
     own = row_keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", scratch)
     kind = dict(own.dtypes)["id"]
@@ -129,7 +129,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_
     def hashes(text: bytes):
         return {xxhash.xxh3_64_intdigest(c) for c in _chunks(text)}
 
-    small_batches(docs.sparkSession)
     shared = repeated_filter(keyed.select("text"), hashes, bloom_bits or bits_for(keyed.select("text"), 256))
     several = docs.sparkSession.sparkContext.broadcast(shared.twice)
     fields = "row_key bigint, id " + kind

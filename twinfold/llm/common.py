@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes handed to Python at once; texts may be long, so fewer than Spark's own 10,000. Rows turned into Python objects at once.
-BATCH_ROWS, BATCH_BYTES, _SLICE = 256, 8 << 20, 32
+#: Rows turned into Python objects at once.
+_SLICE = 32
 
 #: ASCII white space: the separators of words.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -26,11 +26,6 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def _cells(column: pa.Array) -> list:
     """A column's values; lists of whole numbers as numpy arrays."""
     if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.values.null_count:
@@ -48,7 +43,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str, flush: int = 20000) -> DataFrame:
     """Apply work(*row) to each row, in which lists of whole numbers are numpy arrays; it yields the rows of the result. Holds `flush` results and one row's at most."""
     spark = frame.sparkSession
-    small_batches(spark)
     target = spark.createDataFrame([], schema).schema
     types = [_arrow_type(f.dataType.simpleString()) for f in target.fields]
     fields = pa.schema([pa.field(f.name, t) for f, t in zip(target.fields, types, strict=True)])
@@ -70,7 +64,6 @@ def map_rows(frame: DataFrame, work: Callable[..., Iterable[tuple]], schema: str
 def map_columns(frame: DataFrame, work: Callable[..., tuple | None], schema: str, flush: int = 200_000) -> DataFrame:
     """As map_rows, for many small results: work(*row) gives numpy arrays, one for each column, or None. Holds `flush` results and one row's at most."""
     spark = frame.sparkSession
-    small_batches(spark)
     target = spark.createDataFrame([], schema).schema
     fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in target.fields])
 
@@ -115,7 +108,8 @@ def byte_tokenizer(path: str):
     """(encode, decode) of a byte-level BPE file of the tokenizers library, for texts to uint32 arrays and back.
 
     The merges are run by tiktoken, which gives the same ids several times faster, if the file is plain
-    byte-level BPE whose ids follow its merges; else by the tokenizers library itself.
+    byte-level BPE whose ids follow its merges; else by the tokenizers library itself. The latter also encodes texts that tiktoken's
+    pattern can't cut: white space of a million characters and more exceeds its stack.
     """
     import json
 
@@ -136,10 +130,17 @@ def byte_tokenizer(path: str):
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> np.ndarray:
-            return fast.encode_to_numpy(text, allowed_special="all" if any(s in text for s in special) else set(), disallowed_special=())
+            try:
+                return fast.encode_to_numpy(text, allowed_special="all" if any(s in text for s in special) else set(), disallowed_special=())
+            except ValueError:  # the stack of its pattern
+                return _library_tokenizer(path)[0](text)
 
         return encode, lambda ids: fast.decode_bytes(ids).decode("utf-8", "replace")
+    return _library_tokenizer(path)
 
+
+@functools.cache
+def _library_tokenizer(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)

@@ -24,7 +24,7 @@ def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     keep: the "smallest" or "largest" id of equal texts stays. A null text counts as empty. A null id
     stays only if the group has no other; of rows with the same id and text, one stays. Other columns
-    are ignored, whatever their names. An empty table gives no rows.
+    are ignored, whatever their names. An empty table gives no rows. A very long text is a key like any other, held whole in one row.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")

@@ -6,8 +6,8 @@ scores best, by weighted dot product of demand and residual or by the residual's
 Lengths are far fewer than items: for each length the open sequences are scored at once, then a heap
 serves that length's items one by one, which gives the same choices as scoring anew for every item.
 
-Items are dealt by a hash of their id and place into groups, so no key, source or long document makes a hot
-task; a group packs alone and leaves at most a few sequences partly filled. A piece as long as a sequence
+Items are dealt evenly into groups, whatever their ids, so no key, source or long document makes a hot
+task, nor do null or repeated ids; a group packs alone and leaves at most a few sequences partly filled. A piece as long as a sequence
 gets its own at once and is never held, so a group holds a document's one shorter piece and no more.
 """
 
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int | None = 2, max_
     """Rows (id, piece, start, length, ids_crc32[, ids]). Only documents over max_len are cut; all pieces but the first have max_len tokens.
 
     A null text counts as empty; without eos an empty one gives no piece, an empty table none either. Null and repeated ids are kept as they are, rows
-    of one id are documents of their own. A very long text is encoded whole, in one task. Other columns are ignored, whatever their names.
+    of one id are documents of their own. A very long text is encoded whole, in one task, white space of any length included. Other columns are ignored, whatever their names.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -136,4 +136,4 @@ def pack(pieces: DataFrame, n_docs: int, cap: Capacities | None = None, id_col:
             yield from placed(rows, sequence + first, offset)
 
     groups = max(1, math.ceil(n_docs / group_docs))
-    return pieces.repartition(groups, F.xxhash64(id_col, "piece", "start")).mapInArrow(run, schema)
+    return pieces.repartition(groups).mapInArrow(run, schema)  # dealt in turn, in the order of the rows' hashes, so a task that is run again deals alike

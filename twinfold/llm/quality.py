@@ -124,7 +124,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
     """One row per input row: row_key, the id, stratum, the counts, base_failed and kept.
 
     A null text has no words and fails the base rules; null strata are one stratum; a null id has no label.
-    An empty table of labels leaves the base rules alone. key_col: a bigint column without nulls or repeats that is to be row_key.
+    An empty table of labels leaves the base rules alone; no documents give no rows, an empty text fails the base rules. Rows with a repeated id are documents of their own with the
+    label of that id. A very long text is one row of one task. Other columns are ignored, whatever their names. key_col: a bigint column without nulls or repeats that is to be row_key.
     """
     key = key_col or "quality_key"
     keyed = docs if key_col else row_keyed(docs, id_col, scratch, key)

@@ -51,7 +51,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     Removes each word covered by a window of min_words words whose words also start anywhere else, first
     occurrences included; kept words are joined by one space. A null text has no words; shorter texts stay whole. Rows with null or
-    repeated ids are texts of their own. Other columns are ignored.
+    repeated ids are texts of their own. Other columns are ignored; an empty table gives no rows. A very long text is one row of one task.
     """
     if min_words < 16:
         raise ValueError("min_words: 16 or more")

@@ -23,7 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import BATCH_ROWS, small_batches
 from twinfold.plans.storage import Scratch, join_facts, row_keyed
 
 MAGIC = b"\x1f\x8b\x08"
@@ -143,7 +142,6 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch) -> DataFra
     A null uri or payload counts as empty; columns are taken by name, others are ignored; an empty table gives no files. A record is held whole, one at a time.
     """
     records = records.select("record_id", "record_type", "target_uri", "payload", "payload_digest", "refers_to_id")
-    small_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, n, size, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0, None
@@ -185,7 +183,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                     for at, fields in records_in(file, size, start, min(size, start + split_bytes)):
                         rows.append(fields | {"at": at})
                         held += len(fields["payload"] or b"")
-                        if len(rows) >= BATCH_ROWS or held > 16 << 20:
+                        if len(rows) >= 256 or held > 16 << 20:
                             yield made(rows)
                             rows, held = [], 0
                 if rows:
