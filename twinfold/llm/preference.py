@@ -72,7 +72,7 @@ def preference_rows(pairs: DataFrame, turns: DataFrame, conv: str = "conv_id", t
     whole = whole.select("conv", F.transform("s", lambda x: x["said"]).alias("turns"))
     if "n_pairs" not in pairs.columns:
         pairs = join_facts(pairs, pairs.groupBy("chosen").agg(F.count("*").alias("n_pairs")), ["chosen"])
-    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("rejected"), F.ceil(F.col("n_pairs") / PAIRS)).cast("int"))
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("rejected"), F.greatest(F.lit(1), F.ceil(F.col("n_pairs") / PAIRS))).cast("int"))
     met = dealt.select("chosen", "share").distinct().join(whole.select(F.col("conv").alias("chosen"), F.col("turns").alias("a")), "chosen")
     wide = dealt.join(whole.select(F.col("conv").alias("rejected"), F.col("turns").alias("b")), "rejected").join(met, ["chosen", "share"])
     least = F.least(F.size("a"), F.size("b"))
