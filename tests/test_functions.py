@@ -1,9 +1,14 @@
+import struct
+import zlib
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import bits, domains, grids, hashes, inverse
 from twinfold.operators.edges import candidate_share, choose_blocks, probe_cuts, probes
+from twinfold.sources import requests
 
 
 def one(spark, column):
@@ -142,10 +147,70 @@ def test_links_are_completed(spark):
     assert one(spark, domains.resolved(F.lit("x"), F.lit("http://h.i"))) == "http://h.i/x"
 
 
-def test_images(spark, tmp_path):
-    import struct
-    import zlib
+DOTTED = {
+    "../x": "https://h.i/x", "./x": "https://h.i/d/x", "../../../x": "https://h.i/x", "a/../..": "https://h.i/", ".": "https://h.i/d/", "..": "https://h.i/", "a/./b/../c?q=../r#../s": "https://h.i/d/a/c?q=../r#../s",
+    "/a//../b": "https://h.i/a/b", "/a//b": "https://h.i/a//b", "https://a.b": "https://a.b/", "HTTP://a.b/c/%2E%2e/d": "HTTP://a.b/d", "/%2e%2E/%2E": "https://h.i/", "...": "https://h.i/d/...", "https://a.b?x": "https://a.b/?x", "ftp://a/b/../c": "ftp://a/b/../c",
+}
+
 
+def test_dot_segments(spark):
+    rows = spark.createDataFrame([(k,) for k in DOTTED], "u string").select("u", domains.resolved(F.col("u"), F.lit("https://h.i/d/e?f#g")).alias("r")).collect()
+    assert {r.u: r.r for r in rows} == DOTTED
+    assert one(spark, domains.resolved(F.lit(None).cast("string"), F.lit("https://h.i/"))) is None
+
+
+@pytest.mark.parametrize("work", [hashes.diff_hash, hashes.wavelet_hash])
+def test_grids_that_are_not_whole_have_no_fingerprint(spark, work):
+    good = [float(k * 37 % 64) for k in range(64)]
+    rows = [(0, good), (1, [float("nan")] * 64), (2, [*good[:5], float("nan"), *good[6:]]), (3, [*good[:-1], float("inf")]), (4, [*good[:-1], None]), (5, good[:63]), (6, None), (7, [])]
+    got = {r.k: r.h for r in spark.createDataFrame(rows, "k int, g array<double>").select("k", work(F.col("g")).alias("h")).collect()}
+    assert got.pop(0) is not None and set(got.values()) == {None}
+    whole = spark.createDataFrame([([k * 37 % 64 for k in range(64)],)], "g array<int>").select(work(F.col("g")).alias("h")).first().h
+    assert whole == spark.createDataFrame([(good,)], "g array<double>").select(work(F.col("g")).alias("h")).first().h
+
+
+def png_of(pixels, filters):
+    """A PNG file whose rows use the given filters in turn."""
+    height, width, channels = pixels.shape
+    raw, above = b"", np.zeros(width * channels, int)
+    for y in range(height):
+        row, kind = pixels[y].reshape(-1).astype(int), filters[y % len(filters)]
+        left = np.concatenate([np.zeros(channels, int), row[:-channels]])
+        corner = np.concatenate([np.zeros(channels, int), above[:-channels]])
+        far = [abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)]
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+        raw += bytes([kind]) + ((row - [0 * row, left, above, (left + above) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = zlib.compress(raw)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)) + chunk(b"IDAT", packed[:9]) + chunk(b"IDAT", packed[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_requests_for_images(spark, tmp_path, channels):
+    """Files of every row filter decode as Spark's image source decodes them; what fails is told for its row alone."""
+    pixels = np.random.default_rng(channels).integers(0, 256, (9, 7, channels))
+    data = png_of(pixels, [0, 1, 2, 3, 4])
+    root = f"file://{tmp_path}/store"
+    urls = {"https://a.b/c/d.png?x=1": data, "https://a.b/cut.png": data[:60], "https://a.b/text": b"hello", "https://a.b/missing": None, "https://a.b/empty": b""}
+    for url, content in urls.items():
+        if content is not None:
+            place = Path(requests.mirrored(root, url).removeprefix("file://"))
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.write_bytes(content)
+    spark.createDataFrame([(u,) for u in urls] + [(None,)], "fetch_url string").repartition(3).write.parquet(f"file://{tmp_path}/asked")
+    got = {r.fetch_url: r for r in requests.requested_images(spark, f"file://{tmp_path}/asked", root).collect()}
+    assert set(got) == set(urls) and [u for u in urls if got[u].error is None] == [next(iter(urls))]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "d.png").write_bytes(data)
+    same = spark.read.format("image").load(f"file://{tmp_path}/plain").select("image.*").first()
+    mine = got["https://a.b/c/d.png?x=1"]
+    assert (mine.height, mine.width, mine.nChannels, bytes(mine.data)) == (same.height, same.width, same.nChannels, bytes(same.data))
+    spark.createDataFrame([], "fetch_url string").write.parquet(f"file://{tmp_path}/none")
+    assert requests.requested_images(spark, f"file://{tmp_path}/none", root).collect() == []
+
+
+def test_images(spark, tmp_path):
     def png(pixel):
         chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
         raw = b"".join(b"\x00" + bytes(pixel(x, y) for x in range(64)) for y in range(64))

@@ -1,4 +1,5 @@
 import base64
+import os
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -12,6 +13,7 @@ from twinfold.operators import collapse, components, edges, order, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
 from twinfold.operators.order import position, running_sums, with_ordinals
+from twinfold.plans import config
 from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
 from twinfold.sources.items import background_replies, page_route, project
 from twinfold.streaming import state
@@ -389,6 +391,24 @@ def test_settings(spark, tmp_path):
         DedupConfig(hashFunction="md5")
 
 
+def test_a_save_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    path, first = f"file://{tmp_path}/s", DedupConfig(maxHammingDistance=4)
+    save_settings(spark, path, first)
+    with monkeypatch.context() as broken:
+        broken.setattr(config, "write_text", lambda *_: (_ for _ in ()).throw(OSError("no space")))
+        with pytest.raises(OSError, match="no space"):
+            save_settings(spark, path, DedupConfig(maxHammingDistance=9))
+    assert load_settings(spark, path) == first
+    for k in range(5, 8):
+        update_settings(spark, path, maxHammingDistance=k)
+    assert load_settings(spark, path).maxHammingDistance == 7 and len([x for x in os.listdir(tmp_path / "s") if x.endswith(".json")]) == 2
+    newest = max(x for x in os.listdir(tmp_path / "s") if x.endswith(".json"))
+    (tmp_path / "s" / f".{newest}.crc").unlink(missing_ok=True)
+    (tmp_path / "s" / newest).write_text('{"maxHamm')
+    with pytest.warns(UserWarning, match="damaged"):
+        assert load_settings(spark, path).maxHammingDistance == 6
+
+
 ROUTES = [
     ([], None, "no body class", None), (None, None, "no body class", None), (["single-page", "listing-page"], None, "single page", None), (["listing-page"], "listing page", None, "#siteTable"),
     (["listing-page", "search-page", "combined-search-page"], "listing page", None, "#siteTable"), (["search-page", "combined-search-page"], "search page", None, ".search-result-group:last"), (["search-page"], "listing page", None, "#siteTable"), (["x"], None, "other", None),

@@ -47,13 +47,32 @@ def suffixes(domain: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(key)), lambda n: F.array_join(F.slice(key, F.lit(1), n), "."))
 
 
+def without_dots(url: Column) -> Column:
+    """An http or https url without . and .. segments, also spelt %2e, in its path; as they are: empty segments, query and mark, other urls. An empty path is /.
+
+    The path's segments are folded from the left: .. takes the one before away, and a last . or .. leaves an empty one.
+    """
+    origin = F.regexp_extract(url, r"^((?i:https?)://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^(?i:https?)://[^?#]*(.*)$", 1)
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    here, up = r"^(?:\.|%2[eE])$", r"^(?:\.|%2[eE]){2}$"
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda done, s: F.when(s.rlike(up), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s.rlike(here), done).otherwise(F.array_append(done, s)),
+    )
+    last = F.element_at(segments, -1)
+    kept = F.when(last.rlike(up) | last.rlike(here), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(origin == "", url).when(path == "", F.concat(origin, F.lit("/"), rest)).otherwise(F.concat(origin, F.lit("/"), F.array_join(kept, "/"), rest))
+
+
 def resolved(link: Column, page: Column) -> Column:
-    """A link as an absolute url, from that of its page: absolute ones stay; //host, /path, ?query, #mark and relative paths are completed. Dots in paths are left as they are."""
+    """A link as an absolute url, from that of its page: //host, /path, ?query, #mark and relative paths are completed, and dot segments removed; absolute ones stay but for these."""
     scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)", 1)
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    return (
+    whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
@@ -62,6 +81,7 @@ def resolved(link: Column, page: Column) -> Column:
         .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
         .otherwise(F.concat(folder, link))
     )
+    return without_dots(whole)
 
 
 def fetchable(url: Column) -> Column:

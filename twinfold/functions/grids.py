@@ -18,7 +18,7 @@ def luminance(image: dict | None, size: int = 32) -> np.ndarray | None:
     """(size, size) plain means of the colours of a row of Spark's image source; fully transparent pixels are black; null for a broken image."""
     if image is None or image["data"] is None or image["width"] < 1 or image["height"] < 1 or image["nChannels"] not in (1, 3, 4):
         return None
-    h, w, c = image["height"], image["width"], image["nChannels"]
+    h, w, c = (int(image[x]) for x in ("height", "width", "nChannels"))
     pixels = np.frombuffer(bytes(image["data"]), np.uint8).reshape(h, w, c)[nearest(h, size)][:, nearest(w, size)].astype(np.float64)
     mean = pixels[..., : min(c, 3)].mean(axis=2)
     return np.where(pixels[..., 3] == 0, 0.0, mean) if c == 4 else mean

@@ -25,10 +25,16 @@ def _once(grid: Column, work) -> Column:
     return F.get(F.transform(F.array(grid), work), F.lit(0))
 
 
+def is_whole(grid: Column, cells: int) -> Column:
+    """Whether a grid has all its cells, and in each a number: neither null nor NaN nor infinite."""
+    odd = F.exists(grid, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    return grid.isNotNull() & (F.size(grid) == cells) & ~odd
+
+
 def diff_hash(grid8: Column) -> Column:
-    """Bit k: whether the value rises from the cell before to cell k, along the closed curve."""
+    """Bit k: whether the value rises from the cell before to cell k, along the closed curve. Null for a grid that isn't whole."""
     steps = list(zip([CURVE[-1], *CURVE[:-1]], CURVE, strict=True))
-    return _once(grid8, lambda g: pack_bits(F.array(*(F.get(g, F.lit(a)) < F.get(g, F.lit(b)) for a, b in steps))))
+    return _once(grid8, lambda g: F.when(is_whole(g, 64), pack_bits(F.array(*(F.get(g, F.lit(a)) < F.get(g, F.lit(b)) for a, b in steps)))))
 
 
 def haar_parts(values: list) -> list:
@@ -50,8 +56,8 @@ def haar_parts(values: list) -> list:
 
 
 def wavelet_hash(grid8: Column) -> Column:
-    """Signs of the Haar coefficients of an 8 x 8 grid, row-major; zero counts as positive. Exact for grids of whole numbers."""
-    return _once(grid8, lambda g: pack_bits(F.array(*(c >= 0 for c in haar_parts([F.get(g, F.lit(k)) for k in range(64)])))))
+    """Signs of the Haar coefficients of an 8 x 8 grid, row-major; zero counts as positive. Exact for grids of whole numbers; null for a grid that isn't whole."""
+    return _once(grid8, lambda g: F.when(is_whole(g, 64), pack_bits(F.array(*(c >= 0 for c in haar_parts([F.get(g, F.lit(k)) for k in range(64)]))))))
 
 
 def fast_dct(x: np.ndarray) -> np.ndarray:
@@ -155,8 +161,7 @@ def image_hash(grid: Column, function: str) -> Column:
     if function == "waveletHash":
         return wavelet_hash32(grid)
     if function == "diffHash":
-        odd = F.exists(grid, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        return F.when(grid.isNotNull() & (F.size(grid) == 1024) & ~odd, diff_hash(block_means(grid)))
+        return F.when(is_whole(grid, 1024), diff_hash(block_means(grid)))
     raise ValueError(f"unknown hash function: {function}")
 
 

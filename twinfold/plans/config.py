@@ -1,13 +1,19 @@
-"""Settings: six keys with defaults, kept as one JSON row."""
+"""Settings: six keys with defaults, kept in a folder as versions, of which the last whole one holds.
+
+A version is a file that is seen whole or not at all, under a number of its own; the one before is deleted only after it. So a save that
+breaks off leaves the settings as they were.
+"""
 
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import SparkSession
 
 from twinfold.functions.hashes import HASH_FUNCTIONS
+from twinfold.plans.storage import list_files, read_text, remove, write_text
 
 
 @dataclass(frozen=True)
@@ -29,8 +35,17 @@ class DedupConfig:
             raise ValueError("deduplicateThumbs: a default is needed")
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return [x for x in list_files(spark, path) if x.startswith("settings-") and x.endswith(".json")]
+
+
 def save_settings(spark: SparkSession, path: str, config: DedupConfig) -> None:
-    spark.createDataFrame([(json.dumps(asdict(config)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """Store as a new version; the last one and the one before are kept."""
+    old = _versions(spark, path)
+    number = int(old[-1][9:-5]) + 1 if old else 1
+    write_text(spark, f"{path}/settings-{number:012d}.json", json.dumps(asdict(config)))
+    for name in old[:-1]:
+        remove(spark, f"{path}/{name}")
 
 
 def update_settings(spark: SparkSession, path: str, **changes) -> DedupConfig:
@@ -46,13 +61,15 @@ def reset_settings(spark: SparkSession, path: str) -> None:
 
 
 def load_settings(spark: SparkSession, path: str) -> DedupConfig:
-    """What is stored over the defaults; the defaults where nothing can be read."""
-    try:
-        stored = json.loads(spark.read.text(path).first()["value"])
-    except Exception:
-        return DedupConfig()
-    known = {f.name for f in fields(DedupConfig)}
-    values = {k: v for k, v in stored.items() if k in known and v is not None}
-    if "domainSettings" in values:
-        values["domainSettings"] = tuple((d, v["deduplicateThumbs"] if isinstance(v, dict) else v) for d, v in values["domainSettings"])
-    return DedupConfig(**values)
+    """What is stored over the defaults; the defaults where nothing is. A damaged version is told in a warning, and the one before it holds, or the defaults."""
+    for name in reversed(_versions(spark, path)):
+        try:
+            stored = json.loads(read_text(spark, f"{path}/{name}"))
+            known = {f.name for f in fields(DedupConfig)}
+            values = {k: v for k, v in stored.items() if k in known and v is not None}
+            if "domainSettings" in values:
+                values["domainSettings"] = tuple((d, v["deduplicateThumbs"] if isinstance(v, dict) else v) for d, v in values["domainSettings"])
+            return DedupConfig(**values)
+        except (ValueError, AttributeError, TypeError, KeyError) as damaged:
+            warnings.warn(f"{path}/{name} is damaged: {damaged}", stacklevel=2)
+    return DedupConfig()

@@ -1,6 +1,6 @@
 """The same queries in DuckDB SQL. Nothing here is made by the code it checks."""
 
-from twinfold.plans.queries import RADIUS, RULES
+from twinfold.plans.queries import LINK_SHAPES, RADIUS, RULES
 
 # fixed values: cells of the closed curve through 8 x 8 cells, as x + 8 y
 _CURVE = [
@@ -24,6 +24,11 @@ def _haar_sign(row: int, col: int, y: int, x: int) -> int:
     return (-1 if row >= blocks and y % side < side // 2 else 1) * (-1 if col >= blocks and x % side < side // 2 else 1)
 
 
+def _haar_scale(row: int, col: int) -> str:
+    """Eight times the factor of a sum of 8 x 8 block means in an orthonormal coefficient of 32 x 32."""
+    return str(8 * 4 / {0: 8, 1: 8, 2: 4, 3: 4}.get(max(row, col), 2))
+
+
 _DIFF = _rises("embedding")
 _WAVE = " || ".join("((" + " ".join(f"{'+' if w > 0 else '-'} g[{k + 1}]" for k in range(64) if (w := _haar_sign(c // 8, c % 8, k // 8, k % 8))) + ") >= 0)::INT" for c in range(64))
 
@@ -123,6 +128,16 @@ def _shown(of: str) -> str:
     return f"SELECT idx, string_agg((CASE WHEN hi = lo THEN 0 ELSE floor((v - lo) * 255 / (hi - lo) + 0.5) END)::INT::VARCHAR, ',' ORDER BY p) AS a FROM (SELECT *, min(v) OVER (PARTITION BY idx) AS lo, max(v) OVER (PARTITION BY idx) AS hi FROM {of}) GROUP BY idx"
 
 
+# the base is the url without its last segment; a path's parts are folded from the left
+_LINKS = f"""WITH s AS (SELECT page_id, url, [{", ".join(f"'{x}'" for x in LINK_SHAPES)}][page_id % {len(LINK_SHAPES)} + 1] AS link FROM pages),
+b AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^?#]*') AS page, regexp_extract(url, '^[^#]*') AS whole FROM s),
+a AS (SELECT page_id, CASE WHEN link LIKE 'https:%' THEN link WHEN link LIKE '//%' THEN regexp_extract(url, '^[a-z]+:') || link WHEN link LIKE '/%' THEN origin || link WHEN link = '' THEN whole
+  WHEN link LIKE '?%' THEN page || link WHEN link LIKE '#%' THEN whole || link ELSE CASE WHEN page = origin THEN origin || '/' ELSE regexp_replace(page, '[^/]*$', '') END || link END AS u FROM b),
+p AS (SELECT page_id, regexp_extract(u, '^[a-z]+://[^/?#]*') AS origin, string_split(substr(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), 2), '/') AS parts, regexp_extract(u, '^[^?#]*(.*)$', 1) AS rest FROM a),
+f AS (SELECT *, list_transform(parts, lambda x: replace(lower(x), '%2e', '.')) AS plain FROM p),
+k AS (SELECT *, list_reduce(list_transform(range(len(parts)), lambda i: [i]), lambda done, x: CASE plain[x[1] + 1] WHEN '.' THEN done WHEN '..' THEN done[1:len(done) - 1] ELSE done || x END, []::BIGINT[]) AS kept FROM f)
+SELECT page_id, origin || '/' || array_to_string(list_transform(kept, lambda i: parts[i + 1]) || CASE WHEN plain[len(plain)] IN ('.', '..') THEN [''] ELSE [] END, '/') || rest AS link FROM k"""
+
 ORACLE = {
     "exact_key_star_edges": "SELECT a, doc_id AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a FROM documents WHERE text IS NOT NULL AND text <> '') WHERE a < doc_id",
     "exact_key_groups": f"WITH {_GROUPED} SELECT idx, primary_idx, idx = primary_idx AS is_primary, row_number() OVER (PARTITION BY primary_idx ORDER BY idx) - 1 AS pos, dup_count, idx <> primary_idx AS hidden FROM g",
@@ -202,5 +217,14 @@ b AS (SELECT idx, CASE WHEN idx % 5 > 1 THEN t.bits END AS d, CASE WHEN idx % 5
     "compare_all_to_one": f"""WITH {_GRID}, {_cosines('eg', 'idx')}, w AS (SELECT vec_id AS idx, list_transform(embedding, lambda v: floor(v::DOUBLE * 1000 + 0.5)) AS g FROM embeddings),
 t AS (SELECT idx, {_number(f'({_rises("g")})')} AS d, {_number(f'({_WAVE})')} AS w, {_number('db.bits')} AS c FROM w JOIN db USING (idx)), o AS (SELECT * FROM t ORDER BY idx LIMIT 1)
 SELECT t.idx, CASE WHEN t.idx <> o.idx THEN bit_count(xor(t.d, o.d)) END::INT AS diff_distance, CASE WHEN t.idx <> o.idx THEN bit_count(xor(t.w, o.w)) END::INT AS wavelet_distance, CASE WHEN t.idx <> o.idx THEN bit_count(xor(t.c, o.c)) END::INT AS dct_distance FROM t, o""",
+    "haar_coefficients": f"""WITH g AS (SELECT vec_id AS idx, list_transform(embedding, lambda v: floor(v::DOUBLE * 1000 + 0.5)) AS g FROM embeddings)
+SELECT idx, array_to_string([{", ".join("floor((" + " ".join(f"{'+' if w > 0 else '-'} g[{k + 1}]" for k in range(64) if (w := _haar_sign(c // 8, c % 8, k // 8, k % 8))) + f") * {_haar_scale(c // 8, c % 8)} + 0.5)::INT" for c in range(64))}], ',') AS corner,
+  array_to_string(list_transform(range(16), lambda b: list_sum(list_transform(range(4), lambda k: g[(b // 4 * 2 + k // 2) * 8 + b % 4 * 2 + k % 2 + 1]))::INT), ',') AS smooth FROM g""",
+    "image_samples": """WITH p AS (SELECT vec_id AS idx, unnest(range(1024)) AS s FROM embeddings WHERE vec_id % 4 <> 0), q AS (SELECT idx, s // 32 AS r, s % 32 AS c, (2 * (s // 32) + 1) * 43 // 64 AS y, (2 * (s % 32) + 1) * 51 // 64 AS x FROM p)
+SELECT idx, 51 AS width, 43 AS height, sum(((x * 5 + idx) % 256 + (y * 7 + idx * 3) % 256 + (x * y + idx) % 256) * (c + 1) * (2 * r + 1))::BIGINT AS samples FROM q GROUP BY idx""",
+    "link_resolution": _LINKS,
+    "listing_order": f"WITH {_GROUPED} SELECT idx, primary_idx, idx <> primary_idx AS hidden, row_number() OVER (ORDER BY primary_idx, idx) - 1 AS place FROM g",
+    "settings_applied": f"WITH p AS (SELECT page_id, {_HOST} AS domain FROM pages), r AS (SELECT domain, count(*) % 2 = 0 AS value FROM p GROUP BY domain) SELECT page_id, (SELECT arg_max(value, length(r.domain)) FROM r WHERE p.domain = r.domain OR ends_with(p.domain, '.' || r.domain)) AS process, 5 AS radius FROM p",
+    "streamed_groups": "SELECT event_id AS idx, min(event_id) OVER (PARTITION BY user_id, event_type) AS primary_idx FROM events WHERE event_id % 10 <> 0",
     "shown_sizes": "WITH d AS (SELECT doc_id, n_chars AS w, doc_id % 300 + 1 AS h FROM documents) SELECT doc_id, (CASE WHEN greatest(w, h) <= 128 THEN w ELSE floor(w * (128.0::DOUBLE / greatest(w, h))) END)::INT AS width, (CASE WHEN greatest(w, h) <= 128 THEN h ELSE floor(h * (128.0::DOUBLE / greatest(w, h))) END)::INT AS height FROM documents JOIN d USING (doc_id)",
 }

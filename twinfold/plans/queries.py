@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from twinfold.operators.order import with_ordinals
 from twinfold.plans.config import DedupConfig, load_settings, reset_settings, save_settings, update_settings
 from twinfold.plans.storage import Scratch
 from twinfold.sources import items as sources
+from twinfold.sources import requests
 from twinfold.streaming.incremental import IncrementalFinder
 
 #: Radius of the near-duplicate queries: the test vectors have no pairs within the default of 8.
@@ -28,6 +30,11 @@ RADIUS = 16
 #: Members of a group in one row of group_members.
 MEMBERS = 1000
 
+#: Rules that settings hold at most.
+MAX_RULES = 10_000
+
+LINK_SHAPES = ["../a/./b", "./", "..", "x/../../y", "/a//b/../c", "//other.example/q/../r", "?q=../x", "#m/..", "", "https://h.example/a/%2E%2e/b", "a/%2e", "../../../../z?k=/../", "https://h.example", "...", "/.", "b/..;c"]
+
 RULES = [(0, "com", True), (1, "example.com", False), (2, "example.net", True), (3, "org", None), (4, "example.net", False), (5, "www.example.com", True)]
 
 
@@ -341,20 +348,51 @@ def settings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for images, of allowed hosts and others, answered with a fingerprint; every fifth image can't be read."""
-    pages = _table(spark, sf_dir, "pages")
+    """Requests for images, of allowed hosts and others, answered with the fingerprint of the file that a store has under the url; a file that is missing or cut off is told for its row alone.
+
+    The files are pictures of 64 x 64 of which the sampled pixels alone show the page; those that no page with a number not divisible by five asks for are cut off, or missing for every second one.
+    """
+    scratch, pages = Scratch(spark), _table(spark, sf_dir, "pages")
+    root, picture = scratch.folder("store"), grids.text_picture("html")
     asked = pages.select("page_id", F.replace("url", F.lit(".example.com"), F.lit(domains.IMAGE_HOST_SUFFIX)).alias("url"), F.lit("https://asking/").alias("page_url"))
-    images = sources.background_requests(asked).join(pages.select("page_id", F.when(F.col("page_id") % 5 != 0, grids.text_picture("html")).alias("grid")), "page_id")
-    images = images.where("fetch_url is not null").groupBy("fetch_url").agg(F.min_by("grid", "page_id").alias("grid"))
+    wanted = sources.background_requests(asked).where("fetch_url is not null").select("page_id", "fetch_url")
+    shown = F.min(F.when(F.col("page_id") % 5 != 0, F.col("page_id")))
+    wanted = scratch.save(wanted.groupBy("fetch_url").agg(F.coalesce(shown, F.min("page_id")).alias("page_id"), shown.isNull().alias("broken")), "wanted")
+    rows = wanted.join(pages.select("page_id", picture.alias("grid")), "page_id").where("not broken or page_id % 2 = 0").select("fetch_url", "broken", "grid")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, broken, grid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pixels = np.full((64, 64), 255, np.uint8) - np.kron(np.array(grid, np.uint8).reshape(32, 32), np.ones((2, 2), np.uint8))
+                pixels[1::2, 1::2] = np.array(grid, np.uint8).reshape(32, 32)
+                data = _png(pixels)
+                _put(requests.mirrored(root, url), data[:40] if broken else data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    fetched = requests.requested_images(spark, wanted._scratch_path, root)
+    images = scratch.save(fetched.select("fetch_url", sources.grid_of(F.struct("height", "width", "nChannels", "data")).alias("grid")), "images")
     return sources.background_replies(asked, images, "diffHash").select("page_id", "reply", "error")
 
 
-def _png(levels: np.ndarray) -> bytes:
-    """A 64 x 64 colour picture of 8 x 8 levels, of which the three colours are made."""
-    rgb = np.kron(np.stack([levels, levels * 3 % 256, 255 - levels], axis=2), np.ones((8, 8, 1), int)).astype(np.uint8)
-    raw = b"".join(b"\0" + row.tobytes() for row in rgb)
+def _put(path: str, data: bytes) -> None:
+    store, place = pafs.FileSystem.from_uri(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as out:
+        out.write(data)
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """Gray levels, or three colours, as a PNG file."""
+    height, width = pixels.shape[:2]
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 64, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if pixels.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def _cells(levels: np.ndarray) -> np.ndarray:
+    """A 64 x 64 colour picture of 8 x 8 levels, of which the three colours are made."""
+    return np.kron(np.stack([levels, levels * 3 % 256, 255 - levels], axis=2), np.ones((8, 8, 1), int))
 
 
 def image_files_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +404,7 @@ def image_files_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for i, levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _png(np.array(levels).reshape(8, 8))
+                data = _png(_cells(np.array(levels).reshape(8, 8)))
                 with store.open_output_stream(f"{base}/{i}.png") as out:
                     out.write(data[:20] if i % 7 == 0 else data)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
@@ -388,6 +426,85 @@ def transforms_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("idx", cells("haar").alias("haar"), cells("cosine").alias("cosine"))
 
 
+def haar_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corner of each vector's Haar coefficients, as a 32 x 32 grid, and the grid that the largest scales alone give back, at 16 cells."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), grids.enlarged("embedding").alias("grid"))
+    rows = rows.select("idx", inverse.haar_corner("grid").alias("corner"), inverse.haar_smoothed("grid").alias("smooth"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.get("smooth", F.floor(k / 4).cast("int") * 256 + F.pmod(k, F.lit(4)) * 8 + 35))
+    return rows.select("idx", F.array_join("corner", ",").alias("corner"), F.array_join(cells, ",").alias("smooth"))
+
+
+def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as image files of 51 x 43 pixels of which no two neighbours are equal, written, chosen by type and read back: the luminance of each of 32 x 32 samples, summed up by rows with weights that tell places apart."""
+    folder = Scratch(spark).folder("images")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[0:43, 0:51]
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                pixels = np.stack([(x * 5 + k) % 256, (y * 7 + k * 3) % 256, (x * y + k) % 256], axis=2)
+                _put(f"{folder}/{k}.{'png' if k % 4 else 'txt'}", _png(pixels))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    _table(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    names = sources.image_files(spark, folder).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("idx"))
+    number = F.regexp_extract("origin", r"(-?\d+)\.\w+$", 1).cast("bigint")
+    sums = F.aggregate(F.sequence(F.lit(0), F.lit(1023)), F.lit(0).cast("bigint"), lambda acc, k: acc + F.floor(F.get("grid", k) * 3 + 0.5) * (F.pmod(k, F.lit(32)) + 1) * (F.floor(k / 32) * 2 + 1))
+    return sources.image_grids(spark, folder, drop_invalid=True).select(number.alias("idx"), "width", "height", sums.alias("samples")).join(names, "idx", "left_semi")
+
+
+def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of many shapes, completed by the url of the page that has them."""
+    return _table(spark, sf_dir, "pages").select("page_id", domains.resolved(F.get(F.array(*map(F.lit, LINK_SHAPES)), F.pmod("page_id", F.lit(len(LINK_SHAPES))).cast("int")), F.col("url")).alias("link"))
+
+
+def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the order of the listing: each group's first one, then its duplicates."""
+    scratch, grouped = Scratch(spark), _text_groups(spark, sf_dir)
+    return with_ordinals(grouped.select("idx", "primary_idx", "hidden"), ["primary_idx", "idx"], scratch, out="place")
+
+
+def settings_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for the hosts of pages, stored as settings, changed, read again and applied to all pages. Settings are typed in by hand: more than MAX_RULES are an error."""
+    path, hosts = Scratch(spark).folder("settings"), _table(spark, sf_dir, "pages").select("page_id", domains.host(F.col("url")).alias("domain"))
+    told = hosts.groupBy("domain").agg((F.count("*") % 2 == 0).alias("value")).orderBy("domain").limit(MAX_RULES + 1).collect()
+    if len(told) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    save_settings(spark, path, DedupConfig(domainSettings=tuple((r.domain, r.value) for r in told), deduplicateThumbs=False))
+    update_settings(spark, path, maxHammingDistance=5)
+    config = load_settings(spark, path)
+    table = spark.createDataFrame([(k, d, v) for k, (d, v) in enumerate(config.domainSettings)], "pos int, domain string, value boolean")
+    return rules.lookup(hosts, table, config.deduplicateThumbs).select("page_id", "process", F.lit(config.maxHammingDistance).alias("radius"))
+
+
+def streamed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of four batches that is broken off before the third one, and goes on with a new finder on the same state and checkpoint."""
+    scratch = Scratch(spark)
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("bigint").alias("hash"), (F.col("event_id") % 10 != 0).alias("visible"))
+    arriving = scratch.save(rows.repartition(4, F.col("idx") % 4), "arriving")
+    state, checkpoint = scratch.folder("state"), scratch.folder("checkpoint")
+
+    def run(stop: int | None) -> IncrementalFinder:
+        finder = IncrementalFinder(spark, DedupConfig(maxHammingDistance=0), state, on_error="raise")
+
+        def feed(batch: DataFrame, batch_id: int) -> None:
+            if batch_id == stop:
+                raise InterruptedError("the stream is broken off")
+            finder.on_batch(batch, batch_id)
+
+        read = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(arriving._scratch_path)
+        query = read.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if stop is None:
+                raise
+        return finder
+
+    run(2)
+    return run(None).items.select("idx", "primary_idx")
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered SQL functions; grids with a value that is no number, and missing ones, have no fingerprint."""
     hashes.register(spark)
@@ -418,5 +535,6 @@ _ALL = (
     allowlist_https, page_routing, item_ordinals, diff_hash_hex, wavelet_hash_hex, dct_hash_hex, text_diff_hash_hex, hash_bits, hash_codec, hash_bitmap, blank_filter, hamming_pairs, hamming_pairs_partitioned,
     near_dup_groups, near_dup_stats, combined_edges_groups, compare_to_one, compare_all_to_one, hash_hex_diff, grid_block_mean, text_block_mean, gray_normalize, hash_visuals, batch_stats, finder_groups, shown_hashes,
     incremental_groups, incremental_stats, monitor_status, item_projection, rule_list, settings_round_trip, image_replies, image_files_hashed, transforms_restored, sql_functions, shown_sizes,
+    haar_coefficients, image_samples, link_resolution, listing_order, settings_applied, streamed_groups,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -66,7 +66,8 @@ def background_replies(requests: DataFrame, images: DataFrame, function: str) ->
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _grid(image: pd.DataFrame) -> pd.Series:
+def grid_of(image: pd.DataFrame) -> pd.Series:
+    """32 x 32 luminance of images as Spark's image source has them; null for a broken one."""
     out = [luminance(row) for row in image.to_dict("records")]
     return pd.Series([None if g is None else g.ravel().tolist() for g in out], dtype=object)
 
@@ -74,7 +75,7 @@ def _grid(image: pd.DataFrame) -> pd.Series:
 def image_grids(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """Rows (origin, width, height, grid) of image files; an unreadable one has a null grid."""
     read = spark.read.format("image").option("dropInvalid", drop_invalid).load(path)
-    return read.select("image.origin", "image.width", "image.height", _grid(F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("grid"))
+    return read.select("image.origin", "image.width", "image.height", grid_of(F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("grid"))
 
 
 def image_hashes(spark: SparkSession, path: str, function: str) -> DataFrame:
