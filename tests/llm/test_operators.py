@@ -389,10 +389,35 @@ def test_near(docs, rows, scratch):
     assert sum(r.kept for r in got) == len(groups)
 
 
-@pytest.mark.parametrize("percent", [80, 90, 100])
-def test_near_of_small_sets(spark, scratch, percent, monkeypatch):
-    """Few words from a small stock, so that very many bands are shared, and blocks of few members."""
+@pytest.mark.parametrize("n", [60, 120])
+def test_near_with_a_boilerplate(spark, scratch, monkeypatch, n):
+    """Documents that share half of their words with all others: what is compared grows with their number, and copies among them are found."""
+    rnd = random.Random(n)
+    shared = [f"all{k}" for k in range(110)]
+    own = [[f"d{i}w{k}" for k in range(100)] for i in range(n)]
+    texts = {i: " ".join(shared + own[i]) for i in range(n)}
+    for i in range(0, n, 10):  # near copies, in which five words of their own are others
+        near = list(own[i])
+        for k in rnd.sample(range(100), 5):
+            near[k] = f"x{i}{k}"
+        texts[n + i] = " ".join(shared + near)
+    compared, across, refined, rarest = [], minhash._across, [], minhash._rarest
+    monkeypatch.setattr(minhash, "LARGE", 1)
+    monkeypatch.setattr(minhash, "_rarest", lambda *a: refined.append(1) or rarest(*a))
+    monkeypatch.setattr(minhash, "_across", lambda left, *rest: compared.append(left.groupBy("key", "class").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0) or across(left, *rest))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), scratch, width=3).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(3)), strict=False)) for i, t in texts.items()}
+    alike = {(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike == {(i, n + i) for i in range(0, n, 10)}
+    assert got == {i: i - n if i >= n else i for i in texts}
+    assert refined and compared[0] < 60 * n
+
+
+@pytest.mark.parametrize(("percent", "large"), [(80, 1024), (90, 1024), (100, 1024), (80, 1), (90, 1)])
+def test_near_of_small_sets(spark, scratch, percent, large, monkeypatch):
+    """Few words from a small stock, so that very many bands are shared, and blocks of few members; compared in their bands, or by their rarest shingles."""
     monkeypatch.setattr(minhash, "_BLOCK", 8)
+    monkeypatch.setattr(minhash, "LARGE", large)
     rnd = random.Random(percent)
     stock = [[f"w{rnd.randint(0, 40)}" for _ in range(40)] for _ in range(6)]
     rows = [(k, " ".join(rnd.choice(stock)[(a := rnd.randint(0, 12)) : a + rnd.randint(1, 28)])) for k in range(300)]

@@ -10,6 +10,10 @@ threshold, where the error is that of the registers the pair fills. What is left
 Groups grow without all their pairs: equal sets are one node from the start; each band's members are first tried
 against one other, among those that lead a band the one sharing most bands; only members of one band that are still
 in different components, and whose sizes are near enough, are then compared, by registers, in blocks.
+
+Where very many documents share a boilerplate, so many of them meet in a band by that alone. Bands of more than LARGE such members make
+no pairs; their members meet by their rarest shingles instead: counted among them all, and each set in the order from rare to common, two sets of
+the similarity have one of their first n - ceil(percent * n / 100) + 1 shingles in common. What all share comes last there and brings none together.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import map_rows, signed
+from twinfold.llm.common import map_columns, map_rows, signed
 from twinfold.operators.components import connected_components
 from twinfold.plans.storage import Scratch, join_facts, row_keyed
 
@@ -34,6 +38,8 @@ _EMPTY = 0xFFFF
 _BANDS = BUCKETS // 2 // BAND
 #: Members of a block; two blocks meet in a task.
 _BLOCK = 512
+#: Members of a band, of one size class and of different components, that are still compared with each other.
+LARGE = 1024
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -143,7 +149,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     placed = placed.select("key", "class", "band", "node", "part", (F.col("class") == F.col("own_class")).alias("mine"))
     mixed = placed.groupBy("key", "class").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members"), F.bool_or("mine").alias("any")).where("p <> q and any")
     left = scratch.save(join_facts(placed, mixed, ["key", "class"]).select("key", "class", "band", "node", "part", "mine", "members"), "mixed")
-    across = _across(left, nodes, percent / 100)
+    large = scratch.save(left.where(F.col("members") > LARGE).select("node", "part").distinct(), "large")
+    small = left if large.isEmpty() else left.where(F.col("members") <= LARGE).unionByName(_rarest(large, own, scratch, width, percent))
+    across = _across(small, nodes, percent / 100)
     more = _linked(across, own, scratch, width, percent)
     found = connected_components(links.unionByName(more), scratch)
 
@@ -174,6 +182,24 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return wide.mapInArrow(keep, "a bigint, b bigint")
 
 
+def _rarest(large: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """Rows as those of a band, with a shingle in place of the band's key, for (node, part): the rarest shingles of each document, as many as similar documents need to meet in one."""
+
+    def sets(node: int, text: bytes) -> tuple:
+        h = shingles(text, width).view(np.int64)
+        return np.full(len(h), node, np.int64), h, np.full(len(h), len(h), np.int64)
+
+    texts = own.select(F.col("row_key").alias("node"), "text").join(large.select("node"), "node", "left_semi")
+    rows = scratch.save(map_columns(texts, sets, "node bigint, key bigint, n bigint"), "sets")
+    told = join_facts(rows, rows.groupBy("key").agg(F.count("*").alias("times")), ["key"])
+    first = F.row_number().over(Window.partitionBy("node").orderBy("times", "key"))
+    told = told.withColumn("first", first).where((F.col("first") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("times") > 1)).select("node", "key")
+    told = scratch.save(join_facts(told, large, ["node"]), "rarest")
+    mixed = told.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q").select("key", "members")
+    fixed = [F.lit(0).alias("class"), F.lit(0).alias("band")]
+    return join_facts(told, mixed, ["key"]).select("key", *fixed, "node", "part", F.lit(True).alias("mine"), "members")
+
+
 def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs of one band and of different parts; a band's members are dealt in blocks, and each pair is taken in the first band that it shares."""
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / _BLOCK)).cast("int")
