@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -85,6 +86,34 @@ def test_every_stage_against_brute_force(spark):
     assert "pipeline" in __spark_entry__.queries()
 
 
+def planted(rnd, n_docs=300, n_passages=60):
+    """(texts, passages, where, clean): passages of 51 to 70 words, each in two or three documents of which the first is where it comes from."""
+    words = lambda n: " ".join("".join(rnd.choice("aeioustrnlmdk") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    texts = {i: words(rnd.randint(80, 400)) for i in range(n_docs)}
+    passages, where, base = [], [], dict(texts)
+    for _ in range(n_passages):
+        home, *others = rnd.sample(range(n_docs // 2), rnd.choice([2, 3]))
+        w, n = base[home].split(), rnd.randint(51, 70)
+        at = rnd.randrange(len(w) - n)
+        passage = " ".join(w[at : at + n])
+        for i in others:
+            texts[i] = f"{passage} {texts[i]}" if rnd.random() < 0.5 else f"{texts[i]} {passage}"  # never inside another one
+        passages.append(passage)
+        where.append([home, *others])
+    return texts, passages, where, range(n_docs // 2, n_docs)
+
+
+def test_planted_passages_are_caught_and_clean_documents_left_alone(spark, tmp_path):
+    texts, passages, where, clean = planted(random.Random(21))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, str(tmp_path)).collect()}
+    caught = [all(p not in got.get(i, "") for i in w) for p, w in zip(passages, where, strict=True)]
+    homes = {w[0] for w in where} - {i for w in where for i in w[1:]}
+    assert sum(caught) == len(passages) and all(got[i] == texts[i] for i in clean)
+    assert homes and all(len(got[i].split()) >= len(texts[i].split()) - sum(70 for w in where if w[0] == i) for i in homes if i in got)
+    print(f"caught {sum(caught) / len(caught):.2f}, clean left alone {sum(got.get(i) == texts[i] for i in clean) / len(clean):.2f}, of documents that a passage only comes from left alone {sum(got.get(i) == texts[i] for i in homes) / len(homes):.2f}")
+
+
 def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
     spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     text = lambda mark, n=120: " ".join(f"{mark}{k}é" for k in range(n))
