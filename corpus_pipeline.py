@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the
 last return the columns of documents, whatever others come in. Rows with null or repeated ids are documents
-of their own in every stage; a null text counts as empty.
+of their own in every stage; a null text counts as empty. A very long text is one row of one task in each stage, whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
