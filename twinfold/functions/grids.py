@@ -67,7 +67,12 @@ def text_picture(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def enlarged(grid8: pd.Series) -> pd.Series:
     """8 x 8 values, in whole thousandths, as 32 x 32 grids of 4 x 4 equal cells."""
-    return pd.Series([None if g is None else np.kron(np.floor(np.asarray(g, np.float64) * 1000 + 0.5).reshape(8, 8), np.ones((4, 4))).ravel() for g in grid8], dtype=object)
+    good = grid8.notna().to_numpy()
+    if not good.any():
+        return pd.Series([None] * len(grid8), dtype=object)
+    cells = np.floor(np.stack(grid8[good].to_numpy()).astype(np.float64) * 1000 + 0.5).reshape(-1, 8, 8)
+    large = iter(np.repeat(np.repeat(cells, 4, axis=1), 4, axis=2).reshape(len(cells), -1))
+    return pd.Series([next(large) if g else None for g in good], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
