@@ -40,6 +40,8 @@ _BANDS = BUCKETS // 2 // BAND
 _BLOCK = 512
 #: Members of a band, of one size class and of different components, that are still compared with each other.
 LARGE = 1024
+#: Rarest shingles of a document by which it is told whether two have met before.
+_FIRSTS = 64
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -150,6 +152,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     mixed = placed.groupBy("key", "class").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members"), F.bool_or("mine").alias("any")).where("p <> q and any")
     left = scratch.save(join_facts(placed, mixed, ["key", "class"]).select("key", "class", "band", "node", "part", "mine", "members"), "mixed")
     large = scratch.save(left.where(F.col("members") > LARGE).select("node", "part").distinct(), "large")
+    left = left.withColumn("firsts", F.lit(None).cast("array<bigint>"))
     small = left if large.isEmpty() else left.where(F.col("members") <= LARGE).unionByName(_rarest(large, own, scratch, width, percent))
     across = _across(small, nodes, percent / 100)
     more = _linked(across, own, scratch, width, percent)
@@ -183,7 +186,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rarest(large: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """Rows as those of a band, with a shingle in place of the band's key, for (node, part): the rarest shingles of each document, as many as similar documents need to meet in one."""
+    """Rows as those of a band, with a shingle in place of the band's key, for (node, part): the rarest shingles of each document, as many as similar documents need to meet in one. firsts: the node's first ones, from rare to common."""
 
     def sets(node: int, text: bytes) -> tuple:
         h = shingles(text, width).view(np.int64)
@@ -193,21 +196,30 @@ def _rarest(large: DataFrame, own: DataFrame, scratch: Scratch, width: int, perc
     rows = scratch.save(map_columns(texts, sets, "node bigint, key bigint, n bigint"), "sets")
     told = join_facts(rows, rows.groupBy("key").agg(F.count("*").alias("times")), ["key"])
     first = F.row_number().over(Window.partitionBy("node").orderBy("times", "key"))
-    told = told.withColumn("first", first).where((F.col("first") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("times") > 1)).select("node", "key")
-    told = scratch.save(join_facts(told, large, ["node"]), "rarest")
+    told = told.withColumn("first", first).where((F.col("first") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("times") > 1)).select("node", "first", "key")
+    told = scratch.save(told, "rarest")
+    firsts = told.groupBy("node").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]), 1, _FIRSTS).alias("firsts"))
+    told = scratch.save(join_facts(told.select("node", "key"), firsts.join(large, "node"), ["node"]), "rarest")
     mixed = told.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q").select("key", "members")
-    fixed = [F.lit(0).alias("class"), F.lit(0).alias("band")]
-    return join_facts(told, mixed, ["key"]).select("key", *fixed, "node", "part", F.lit(True).alias("mine"), "members")
+    fixed = [F.lit(0).alias("class"), F.lit(-1).alias("band")]
+    return join_facts(told, mixed, ["key"]).select("key", *fixed, "node", "part", F.lit(True).alias("mine"), "members", "firsts")
 
 
 def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of one band and of different parts; a band's members are dealt in blocks, and each pair is taken in the first band that it shares."""
+    """Likely pairs of one band and of different parts; a band's members are dealt in blocks, and each pair is taken in the first band, or the rarest of the first shingles, that it shares."""
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / _BLOCK)).cast("int")
     rows = left.withColumn("blocks", F.ceil(F.col("members") / _BLOCK).cast("int")).withColumn("own", block)
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(nodes, "node")
     place = ("key", "class", "i", "j")
-    rows = rows.select(*place, "band", "node", "part", "own", F.col("mine").cast("int").alias("mine"), "n", "regs").repartition(*place).sortWithinPartitions(*place)
+    rows = rows.select(*place, "band", "node", "part", "own", F.col("mine").cast("int").alias("mine"), "n", "regs", "firsts").repartition(*place).sortWithinPartitions(*place)
+
+    def padded(lists: pa.Array) -> np.ndarray:
+        out = np.zeros((len(lists), _FIRSTS), np.int64)
+        for k, keys in enumerate(lists.to_pylist()):
+            if keys:
+                out[k, : len(keys)] = keys
+        return out
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups lie one after another; the last one of a batch waits for the next batch."""
@@ -215,7 +227,7 @@ def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)] + [np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint16).reshape(-1, BUCKETS)]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)] + [np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint16).reshape(-1, BUCKETS), padded(batch.column(11))]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:4]], axis=0)) + 1
             if len(ends):
@@ -228,7 +240,7 @@ def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    _, _, i, j, band, node, part, own, mine, n, regs = rows
+    key, _, i, j, band, node, part, own, mine, n, regs, firsts = rows
     folded = _folded(regs).reshape(-1, _BANDS, BAND)
     full = (folded != _EMPTY).any(axis=2)
     out: list[tuple[int, int]] = []
@@ -239,10 +251,14 @@ def _pairs(rows: list[np.ndarray], ends: np.ndarray, threshold: float) -> Iterat
         ys = start + np.flatnonzero(own[b] == j[start])
         for x in xs.tolist():
             others = ys[(part[ys] != part[x]) & ((mine[ys] | mine[x]) == 1) & ((i[start] != j[start]) | (node[ys] > node[x])) & (np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]))]
-            if k and len(others):
+            if k > 0 and len(others):
                 others = others[~((folded[others, :k] == folded[x, :k]).all(axis=2) & full[x, :k]).any(axis=1)]
             if len(others):
                 others = others[likely(regs[x], regs[others], n[x], n[others], threshold)]
+            if k < 0 and len(others):
+                before = firsts[x][: np.flatnonzero(np.append(firsts[x], key[x]) == key[x])[0]]  # of those, any that another has comes before the key in its order too
+                others = others[~np.isin(firsts[others], before[before != 0]).any(axis=1)]
+            if len(others):
                 out += [(min(y, int(node[x])), max(y, int(node[x]))) for y in node[others].tolist()]
         start = end
     if out:
