@@ -90,16 +90,19 @@ def fast_dct(x: np.ndarray) -> np.ndarray:
 #: (horizontal, vertical) frequencies of the 64 bits: diagonals 1 to 10, without one cell of the last.
 DCT_ORDER = [(i - j, j) for i in range(1, 11) for j in range(i + 1) if (i, j) != (10, 5)]
 
+#: The least coefficient of each bit that is zero but for rounding: a millionth before the transform's scale.
+_DCT_LEAST = [-1e-6 * math.sqrt(1 / 32 if u == 0 else 2 / 32) * math.sqrt(1 / 32 if v == 0 else 2 / 32) for u, v in DCT_ORDER]
+
 
 def _signed(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
-def dct_hashes(grids: np.ndarray) -> np.ndarray:
-    """Fingerprints of (n, 32, 32) grids."""
+def dct_hashes(grids: np.ndarray, settled: bool = False) -> np.ndarray:
+    """Fingerprints of (n, 32, 32) grids. A coefficient that cancels may come out as a rounding error, whose sign is that of the reference's order of operations; settled: it counts as positive, as zero does."""
     rows = fast_dct(grids - 128.0)[..., :11]
     both = fast_dct(np.swapaxes(rows, 1, 2))[..., :11]
-    return _signed(np.stack([both[:, u, v] >= 0 for u, v in DCT_ORDER], axis=1))
+    return _signed(np.stack([both[:, u, v] >= (least if settled else 0) for (u, v), least in zip(DCT_ORDER, _DCT_LEAST, strict=True)], axis=1))
 
 
 def haar(grid: np.ndarray) -> np.ndarray:
@@ -146,6 +149,12 @@ def dct_hash(grid: pd.Series) -> pd.Series:
     return _batched(grid, dct_hashes)
 
 
+@F.pandas_udf(T.LongType())
+def dct_hash_settled(grid: pd.Series) -> pd.Series:
+    """As dct_hash, but what is zero but for rounding counts as positive."""
+    return _batched(grid, lambda g: dct_hashes(g, settled=True))
+
+
 @F.pandas_udf(T.LongType())
 def wavelet_hash32(grid: pd.Series) -> pd.Series:
     return _batched(grid, wavelet_hashes)
@@ -166,10 +175,11 @@ def image_hash(grid: Column, function: str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the fingerprints SQL functions: hamming and hash_hex are plain SQL, which the optimizer sees through; phash_dct, phash_diff and phash_wavelet take 32 x 32 grids."""
+    """Make the fingerprints SQL functions: hamming and hash_hex are plain SQL, which the optimizer sees through; phash_dct, phash_dct_settled, phash_diff and phash_wavelet take 32 x 32 grids."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hamming(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count(a ^ b)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hash_hex(h BIGINT) RETURNS STRING RETURN lower(lpad(hex(h), 16, '0'))")
     spark.udf.register("phash_dct", dct_hash)
+    spark.udf.register("phash_dct_settled", dct_hash_settled)
     spark.udf.register("phash_wavelet", wavelet_hash32)
     spark.udf.register("phash_diff", _diff_hash32)
 
