@@ -67,3 +67,11 @@ def test_text_pictures_read_every_byte():
             assert grid.ravel()[k] == data[a:b].astype(int).sum() // (b - a)
         assert n < 1024 or sum((k + 1) * n // 1024 - k * n // 1024 for k in range(1024)) == n
     assert not grids.text_grid(None).any() and not grids.text_grid("").any()
+
+
+def test_urls_that_differ_after_the_path_have_their_own_image(spark, tmp_path):
+    """Marks, empty queries and doubled slashes tell urls apart, and long ones are stored too."""
+    urls = ["p", "p#a", "p#b", "p?", "p?#a", "/p", "", "?", "#", "/", "//", "x" * 199 + "/y", "x" * 400, "x" * 200, "x" * 400 + "?y"]
+    rows = [(11 + k, f"https://h.example.com/{u}", f"<p>{'abcdefghij'[k % 10] * 300} {k} {u}</p>") for k, u in enumerate(urls)]
+    spark.createDataFrame([r for r in rows if r[0] % 5], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    same_rows(tables(tmp_path), ORACLE["image_replies"], QUERIES["image_replies"](spark, str(tmp_path)))

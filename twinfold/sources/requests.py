@@ -7,11 +7,12 @@ and decode. Rows (fetch_url, height, width, nChannels, data, error): colours as
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 _SCHEMA = "fetch_url string, height int, width int, nChannels int, data binary, error string"
 #: Images in a batch of rows.
 _BATCH = 64
+#: Characters of a file's or folder's name.
+_NAME = 200
 
 
 def mirrored(root: str, url: str) -> str:
-    """Where the image of a url lies: in a folder of its host, under its path and query, in which all but letters, digits and _.- are written as ~ and two hex digits a byte."""
-    parts = urlsplit(url)
+    """Where the image of a url lies: in a folder of its host, under all that follows the host, in which all but letters, digits and _.- are written as ~ and two hex digits a byte. No two urls of a scheme share a file.
+
+    One slash before the path is left out, where more follows that tells it from a url without it. Long names go on in a folder, after a +.
+    """
+    _, host, rest = re.fullmatch(r"([^/?#]*:)?//([^/?#]*)(.*)", url, re.DOTALL).groups()
     plain = lambda s: quote(s, safe="").replace("~", "%7E").replace("%", "~")
-    return f"{root.rstrip('/')}/{plain(parts.netloc)}/{plain(parts.path.lstrip('/') + (f'?{parts.query}' if parts.query else ''))}"
+    name = plain(rest[1:] if rest[:1] == "/" and rest[1:2] not in ("", "/", "?", "#") else rest) or "~"
+    name = name.replace(".", "~2E") if name in (".", "..") else name
+    return "/".join([root.rstrip("/"), plain(host), "+/".join(name[k : k + _NAME] for k in range(0, len(name), _NAME))])
 
 
 def decoded_png(data: bytes) -> tuple[int, int, int, bytes]:
