@@ -7,6 +7,7 @@ import pytest
 from twinfold.functions import grids
 from twinfold.plans.oracle import ORACLE
 from twinfold.plans.queries import QUERIES
+from twinfold.plans.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 TABLES = "orders events documents embeddings pages labels".split()
@@ -81,3 +82,13 @@ def test_urls_that_differ_after_the_path_have_their_own_image(spark, tmp_path):
 def test_pictures_are_made_a_few_rows_at_once(spark, name):
     """The last stage reads what was written with small batches and hands no grids to Python by the session's own."""
     assert "Python" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["image_files_hashed", "image_samples"])
+def test_a_task_reads_many_small_files(spark, name, monkeypatch):
+    """Files of a few hundred bytes aren't read by 32 a task, and the session's own settings are back after it."""
+    tasks, save, cost = [], Scratch.save, spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name: (tasks.append(frame.select("idx").rdd.getNumPartitions() if name == "found" else int(spark.conf.get("spark.sql.files.openCostInBytes"))), save(self, frame, name))[1])
+    QUERIES[name](spark, SF)
+    assert max(tasks) <= 16 << 10 and (name != "image_files_hashed" or tasks == [4])
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost

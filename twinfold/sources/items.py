@@ -83,6 +83,13 @@ def image_hashes(spark: SparkSession, path: str, function: str) -> DataFrame:
     return image_grids(spark, path).select("origin", image_hash(F.col("grid"), function).alias("hash"))
 
 
+def image_looks(spark: SparkSession, path: str, function: str) -> DataFrame:
+    """Rows (origin, hash, levels) of image files, as image_hashes() and gray_images() tell them, from one reading."""
+    image = F.struct("image.height", "image.width", "image.nChannels", "image.data")
+    read = spark.read.format("image").load(path).select("image.origin", grid_of(image).alias("grid"), gray_image(image).alias("levels"))
+    return read.select("origin", image_hash(F.col("grid"), function).alias("hash"), "levels")
+
+
 def gray_images(spark: SparkSession, path: str) -> DataFrame:
     """Rows (origin, levels): images as 32 x 32 whole gray levels."""
     read = spark.read.format("image").load(path)
