@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinfold.llm import anchors, bloom, bpe, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
+from twinfold.llm import anchors, bloom, bpe, counts, exact, lines, minhash, packing, preference, quality, substring, suffix, warc
 from twinfold.llm.common import byte_tokenizer
 from twinfold.llm.oracle import ORACLE
 from twinfold.llm.queries import QUERIES
@@ -413,6 +413,40 @@ def test_near_with_a_boilerplate(spark, scratch, monkeypatch, n):
     assert refined and compared[0] < 60 * n
 
 
+def test_near_makes_rows_of_rare_shingles_only(spark, scratch, monkeypatch):
+    """Where documents share a boilerplate, joins make rows of the first shingles of each set that others have too, not of all."""
+    monkeypatch.setattr(minhash, "LARGE", 1)
+    n, shared, made, rarest, join = 60, " ".join(f"all{k}" for k in range(110)), [], minhash._rarest, minhash.join_facts
+
+    def counted(rows, facts, keys, how="inner"):
+        made[-1].append((out := join(rows, facts, keys, how)).count())
+        return out
+
+    def watched(*args):
+        made.append([])
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "join_facts", counted)
+            return rarest(*args)
+
+    monkeypatch.setattr(minhash, "_rarest", watched)
+    rows = [(i, f"{shared} " + " ".join(f"d{i}w{k}" for k in range(100))) for i in range(n)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, width=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(n)}
+    assert made and all(sum(x) < 20 * n for x in made)  # a set has 208 shingles
+
+
+def test_ranks_of_hashes(spark):
+    rnd = np.random.default_rng(5)
+    hashes = rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    drawn = [rnd.choice(hashes[: k + 1], 300) for k in range(40)]
+    slots = counts.slots_for(2000)
+    got = counts.ranks(spark.createDataFrame([(h.tobytes(),) for h in [*drawn, drawn[0][:0]]], "h binary").repartition(7), slots)
+    times = np.zeros(slots, np.int64)
+    np.add.at(times, counts.slot(np.concatenate(drawn), slots), 1)
+    assert (got == np.minimum(255, np.floor(8 * np.log2(1 + times)))).all()
+    assert not counts.ranks(spark.createDataFrame([], "h binary"), 1 << 10).any()
+
+
 @pytest.mark.parametrize(("percent", "large"), [(80, 1024), (90, 1024), (100, 1024), (80, 1), (90, 1)])
 def test_near_of_small_sets(spark, scratch, percent, large, monkeypatch):
     """Few words from a small stock, so that very many bands are shared, and blocks of few members; compared in their bands, or by their rarest shingles."""

@@ -12,8 +12,9 @@ against one other, among those that lead a band the one sharing most bands; only
 in different components, and whose sizes are near enough, are then compared, by registers, in blocks.
 
 Where very many documents share a boilerplate, so many of them meet in a band by that alone. Bands of more than LARGE such members make
-no pairs; their members meet by their rarest shingles instead: counted among them all, and each set in the order from rare to common, two sets of
-the similarity have one of their first n - ceil(percent * n / 100) + 1 shingles in common. What all share comes last there and brings none together.
+no pairs; their members meet by their rarest shingles instead: counted among them all (counts.py), and each set in the order from rare to common, two sets of
+the similarity have one of their first n - ceil(percent * n / 100) + 1 shingles in common. What all share comes last there and brings none together. Any one order gives
+the same links, so counters that shingles share do; only the first shingles of a set become rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.llm import counts
 from twinfold.llm.common import map_columns, map_rows, signed
 from twinfold.operators.components import connected_components
 from twinfold.plans.storage import Scratch, join_facts, row_keyed
@@ -188,21 +190,24 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _rarest(large: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Rows as those of a band, with a shingle in place of the band's key, for (node, part): the rarest shingles of each document, as many as similar documents need to meet in one. firsts: the node's first ones, from rare to common."""
 
-    def sets(node: int, text: bytes) -> tuple:
-        h = shingles(text, width).view(np.int64)
-        return np.full(len(h), node, np.int64), h, np.full(len(h), len(h), np.int64)
-
-    texts = own.select(F.col("row_key").alias("node"), "text").join(large.select("node"), "node", "left_semi")
-    rows = scratch.save(map_columns(texts, sets, "node bigint, key bigint, n bigint"), "sets")
-    told = join_facts(rows, rows.groupBy("key").agg(F.count("*").alias("times")), ["key"])
-    first = F.row_number().over(Window.partitionBy("node").orderBy("times", "key"))
-    told = told.withColumn("first", first).where((F.col("first") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("times") > 1)).select("node", "first", "key")
-    told = scratch.save(told, "rarest")
-    firsts = told.groupBy("node").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]), 1, _FIRSTS).alias("firsts"))
-    told = scratch.save(join_facts(told.select("node", "key"), firsts.join(large, "node"), ["node"]), "rarest")
+    texts = own.select(F.col("row_key").alias("node"), "text").join(large, "node").select("node", "part", "text")
+    rows = scratch.save(map_rows(texts, lambda node, part, text: [(node, part, shingles(text, width).tobytes())], "node bigint, part bigint, hashes binary", flush=1000), "sets")
+    slots = counts.slots_for(rows.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8)
+    common = own.sparkSession.sparkContext.broadcast(counts.ranks(rows.select("hashes"), slots))
+
+    def prefix(node: int, part: int, hashes: bytes) -> tuple:
+        h = np.frombuffer(hashes, np.uint64)
+        m = len(h) - -(-len(h) * percent // 100) + 1
+        first = h[np.lexsort((h, common.value[counts.slot(h, slots)]))[:m]].view(np.int64)
+        return np.full(m, node, np.int64), np.full(m, part, np.int64), np.arange(m), first
+
+    told = scratch.save(map_columns(rows, prefix, "node bigint, part bigint, first bigint, key bigint"), "rarest")
+    scratch.drop(rows)
     mixed = told.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q").select("key", "members")
+    met = scratch.save(join_facts(told, mixed, ["key"]), "rarest")
+    firsts = met.groupBy("node").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]), 1, _FIRSTS).alias("firsts"))
     fixed = [F.lit(0).alias("class"), F.lit(-1).alias("band")]
-    return join_facts(told, mixed, ["key"]).select("key", *fixed, "node", "part", F.lit(True).alias("mine"), "members", "firsts")
+    return met.join(firsts, "node").select("key", *fixed, "node", "part", F.lit(True).alias("mine"), "members", "firsts")
 
 
 def _across(left: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
