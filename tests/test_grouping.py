@@ -421,3 +421,19 @@ def test_routing(spark):
     assert [(r.page_type, r.reason, r.container) for r in got] == [r[1:] for r in ROUTES]
     got = [r.r for r in rows.select("k", page_route(F.col("c"), F.array(F.lit("#siteTable"))).alias("r")).orderBy("k").collect()]
     assert [r.container for r in got] == [None if r[3] is None or r[1] == "search page" else r[3] for r in ROUTES] and got[5].reason == "no container"
+
+
+def test_batches_work_on_sets_of_items(spark, monkeypatch):
+    """Items of one url and fingerprint are one node: the links of a batch grow with its urls, not with its items."""
+    from twinfold.streaming import incremental
+
+    links, plain = [], incremental.connected_components
+    monkeypatch.setattr(incremental, "connected_components", lambda found, scratch: (links.append(found.count()), plain(found, scratch))[1])
+    finder = IncrementalFinder(spark, DedupConfig(maxHammingDistance=0), on_error="raise")
+    item = lambda a, b: spark.range(a, b).select(F.col("id").alias("idx"), F.concat(F.lit("u"), F.col("id") % 3).alias("url"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("bigint").alias("hash"), (F.col("id") % 10 != 0).alias("visible"))
+    finder.on_batch(item(300, 600), 0)
+    finder.on_batch(item(0, 300), 1)
+    assert max(links) <= 3
+    assert told(finder.items) == sorted([k for k in range(600) if k % 3 == m and k % 10] for m in range(3))
+    got = [tuple(finder.stats[k][x] for x in ("n_items", "batch_num_with_dups", "batch_total_dups", "num_with_dups", "total_dups")) for k in (0, 1)]
+    assert got == [(270, 3, 267, 3, 267), (270, 3, 267, 3, 537)]

@@ -3,6 +3,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinfold.functions import grids
 from twinfold.plans.oracle import ORACLE
@@ -92,3 +93,15 @@ def test_a_task_reads_many_small_files(spark, name, monkeypatch):
     QUERIES[name](spark, SF)
     assert max(tasks) <= 16 << 10 and (name != "image_files_hashed" or tasks == [4])
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_a_batch_of_the_stream_is_read_by_many_tasks(spark, monkeypatch):
+    """A batch lies in files of some rows each, however many rows it has; there are still four batches."""
+    from twinfold.plans import queries
+    from twinfold.streaming.incremental import IncrementalFinder
+
+    met, on_batch = {}, IncrementalFinder.on_batch
+    monkeypatch.setattr(queries, "STREAM_ROWS", 100, raising=False)
+    monkeypatch.setattr(IncrementalFinder, "on_batch", lambda self, batch, k: (met.update({k: len(batch.select(F.input_file_name()).distinct().collect())}), on_batch(self, batch, k))[1])
+    same_rows(tables(SF), ORACLE["streamed_groups"], QUERIES["streamed_groups"](spark, SF))
+    assert len(met) == 4 and all(n > 1 for n in met.values())

@@ -3,7 +3,8 @@
 State lies in a folder, in hash buckets of its keys (see state.py): which primary a url and a fingerprint had when they were first seen, to
 which one a former primary has lost its place, how large the group of each primary is, and the items of each batch with their primary of that time.
 A batch reads the buckets of its own urls, of the domains of its fingerprints (all of them if domains don't matter), and of the primaries it
-meets, and no others. Components are then found among heads only: the batch's items and the primaries they touch. All that a batch
+meets, and no others. Items of one url and fingerprint are first counted as one row, and components are found among heads only: the first items of these
+sets and the primaries they touch. Ids are unique. All that a batch
 adds is written in one job, and nothing is changed in place. Primaries are smallest ids, so the order in which batches arrive doesn't
 matter. A batch counts once its record is stored, which is the last thing it does; after a restart on the same folder,
 batches done are known, and half-done ones are done again.
@@ -16,6 +17,7 @@ import json
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.functions.bits import is_blank
 from twinfold.operators import edges
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
@@ -27,6 +29,9 @@ from twinfold.streaming.state import BucketedState, row
 #: Statistics of so many batches are kept; records of done batches before the last ones are deleted.
 STATS_KEPT, RECORDS_KEPT = 200, 2
 
+#: What tells the sets of a batch's items apart.
+_SET = ("set_key", "set_url", "set_part", "set_print", "set_item")
+
 _COUNTS = ("batch_num_with_dups", "batch_total_dups", "num_with_dups", "total_dups")
 
 
@@ -129,30 +134,34 @@ class IncrementalFinder:
             same = {k: 0 for k in ("n_items", "batch_num_with_dups", "batch_total_dups")} | {k: self.totals[k] for k in ("num_with_dups", "total_dups")}
             self._store(None, n, batch_id, version, {"batch_id": batch_id, "version": version, "num_links": n, **same})
             return self.stats[batch_id]
-        urls = scratch.save(new.where("url <> ''").groupBy("url").agg(F.min("idx").alias("b")), "urls")
-        prints = scratch.save(edges.hash_keys(new, self.config.partitionByDomain).groupBy("part", "hash").agg(F.min("idx").alias("a")), "prints")
+        sets = self._sets(new, start, n, scratch)
+        urls = scratch.save(sets.where("url <> ''").groupBy("url").agg(F.min("idx").alias("b")), "urls")
+        prints = scratch.save(edges.hash_keys(sets, self.config.partitionByDomain).groupBy("part", "hash").agg(F.min("idx").alias("a")), "prints")
         known_urls = scratch.save(self.state.read("url", urls.select("url")).select(F.col("text").alias("url"), "head").join(urls, "url"), "known")
         known_prints = self.state.read("print", prints.select("part").distinct()).select(F.col("text").alias("part"), "hash", F.col("head").alias("b"))
         met = self._primaries(scratch.save(known_urls.select("head", "b").unionByName(self._near(prints, known_prints)).distinct(), "met"), scratch)
 
-        links = DuplicateFinder(self.config, scratch).links(new).select("a", "b").unionByName(met.select(F.col("primary").alias("a"), "b"))
+        links = met.select(F.col("primary").alias("a"), "b")
+        if prints.count():  # else no two sets share a url
+            links = links.unionByName(DuplicateFinder(self.config, scratch).links(sets).select("a", "b"))
         parts = scratch.save(connected_components(links, scratch), "parts").withColumnsRenamed({"id": "idx", "component": "head"})
         touched = met.select(F.col("primary").alias("num")).distinct()
         sizes = self.state.read("size", touched).select("num", F.col("head").alias("known_size"))
-        heads = touched.join(sizes, "num", "left").select(F.col("num").alias("idx"), F.coalesce("known_size", F.lit(1)).cast("bigint").alias("old_size"), F.lit(False).alias("fresh"))
-        heads = new.select("idx", F.lit(1).cast("bigint").alias("old_size"), F.lit(True).alias("fresh")).unionByName(heads)
+        heads = touched.join(sizes, "num", "left").select(F.col("num").alias("idx"), F.coalesce("known_size", F.lit(1)).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("inside"), F.lit(False).alias("fresh"))
+        heads = sets.select("idx", "size", "inside", F.lit(True).alias("fresh")).unionByName(heads)
         heads = scratch.save(heads.join(parts, "idx", "left").withColumn("head", F.coalesce("head", "idx")), "heads")
         told, ranked = self._told(heads, start, n, scratch)
 
         led = heads.where("fresh").select("idx", "head")
+        keyed = scratch.save(sets.join(led, "idx").select(*_SET, "head"), "keyed")  # written, so that the join with the items is dealt for itself
         rows = [
-            join_facts(new, led, ["idx"]).select(*row("item", num=F.col("idx"), text=F.col("url"), domain=F.col("domain"), hash=F.col("hash"), head=F.col("head"))),
+            self._with_sets(new).join(keyed, list(_SET)).select(*row("item", num=F.col("idx"), text=F.col("url"), domain=F.col("domain"), hash=F.col("hash"), head=F.col("head"))),
             urls.join(known_urls.select("url"), "url", "left_anti").join(led, F.col("b") == F.col("idx")).select(*row("url", text=F.col("url"), head=F.col("head"))),
             prints.join(known_prints.select("part", "hash").distinct(), ["part", "hash"], "left_anti").join(led, F.col("a") == F.col("idx")).select(*row("print", text=F.col("part"), hash=F.col("hash"), head=F.col("head"))),
             heads.where("not fresh and idx <> head").select(*row("former", num=F.col("idx"), head=F.col("head"), version=F.lit(version))),
             # a way that took several steps is stored as one
             met.where("steps > 1").select("was", "primary").distinct().join(heads.select(F.col("idx").alias("primary"), "head"), "primary").select(*row("former", num=F.col("was"), head=F.col("head"), version=F.lit(version))),
-            ranked.where("idx = head and size > old_size").select(*row("size", num=F.col("idx"), head=F.col("size"), version=F.lit(version))),
+            ranked.where("idx = head and whole > 1 and (fresh or whole > size)").select(*row("size", num=F.col("idx"), head=F.col("whole"), version=F.lit(version))),
         ]
         whole = rows[0]
         for other in rows[1:]:
@@ -160,6 +169,21 @@ class IncrementalFinder:
         self._store(whole, n, batch_id, version, {"batch_id": batch_id, "version": version, "num_links": n, **told})
         return self.stats[batch_id]
 
+    def _with_sets(self, items: DataFrame) -> DataFrame:
+        """Items with the key of those that surely belong together: equal url, domain part and fingerprint. One without url and fingerprint is alone."""
+        part = F.coalesce("domain", F.lit("")) if self.config.partitionByDomain else F.lit("")
+        counts = F.coalesce(~is_blank(F.col("hash")), F.lit(False))
+        url, known = F.coalesce("url", F.lit("")), {"set_print": F.when(counts, F.col("hash")).otherwise(0), "set_part": F.when(counts, part).otherwise("")}
+        named = items.withColumns(known | {"set_url": url, "set_item": F.when((url == "") & ~counts, F.col("idx")).otherwise(0)})
+        return named.withColumn("set_key", F.xxhash64("set_url", "set_part", "set_print", "set_item"))
+
+    def _sets(self, new: DataFrame, start: int | None, length: int, scratch: Scratch) -> DataFrame:
+        """The batch's items of one key as one row, as the first of them with their number, and how many are in the batch's range; all that follows but the writing of the items works on these."""
+        inside = F.lit(False) if start is None else F.col("idx").between(start, start + length)
+        sets = self._with_sets(new).groupBy(*_SET).agg(F.min("idx").alias("idx"), F.count("*").alias("size"), F.count_if(inside).alias("inside"))
+        # the blank fingerprint 0 links nothing
+        return scratch.save(sets, "sets").withColumns({"url": F.col("set_url"), "domain": F.col("set_part"), "hash": F.col("set_print")})
+
     def _near(self, prints: DataFrame, known: DataFrame) -> DataFrame:
         """Rows (head, b): what known fingerprints within the radius led to, and the batch's item."""
         radius = self.config.maxHammingDistance
@@ -182,21 +206,24 @@ class IncrementalFinder:
                 return now
 
     def _told(self, heads: DataFrame, start: int | None, length: int, scratch: Scratch) -> tuple[dict, DataFrame]:
-        """(what the batch changes, heads with the sizes of their groups), gathered in the job that writes the latter.
+        """(what the batch changes, heads with the sizes of their groups as `whole`), gathered in the job that writes the latter.
 
         A batch's range is start .. start + length, both ends included; a head counts that got its first duplicates, or that lost its place.
         """
-        sizes = heads.groupBy("head").agg(F.sum("old_size").alias("size"), F.count_if(F.col("old_size") > 1).alias("had"), F.sum(F.col("old_size") - 1).alias("dups"))
+        old = ~F.col("fresh")
+        sizes = heads.groupBy("head").agg(F.sum("size").alias("whole"), F.count_if(old & (F.col("size") > 1)).alias("had"), F.sum(F.when(old, F.col("size") - 1).otherwise(0)).alias("dups"))
         inside = F.lit(False) if start is None else F.col("idx").between(start, start + length)
         still = F.col("idx") == F.col("head")
         told = Observation("batch")
+        # of a set all in the range fall but its first item, if that is the head
+        fallen = F.when(old, (inside & ~still).cast("bigint")).otherwise(F.col("inside") - (inside & still).cast("bigint"))
         ranked = join_facts(heads, sizes, ["head"]).observe(
             told,
-            F.count_if(inside & still & (F.col("old_size") == 1) & (F.col("size") > 1)).alias("batch_num_with_dups"),
-            F.count_if(inside & ~still).alias("batch_total_dups"),
-            F.coalesce(F.sum(F.when(still, (F.col("size") > 1).cast("bigint") - F.col("had"))), F.lit(0)).alias("more_with_dups"),
-            F.coalesce(F.sum(F.when(still, F.col("size") - 1 - F.col("dups"))), F.lit(0)).alias("more_dups"),
-            F.count_if(F.col("fresh")).alias("n_items"),
+            F.count_if(inside & still & (F.col("fresh") | (F.col("size") == 1)) & (F.col("whole") > 1)).alias("batch_num_with_dups"),
+            F.coalesce(F.sum(fallen), F.lit(0)).alias("batch_total_dups"),
+            F.coalesce(F.sum(F.when(still, (F.col("whole") > 1).cast("bigint") - F.col("had"))), F.lit(0)).alias("more_with_dups"),
+            F.coalesce(F.sum(F.when(still, F.col("whole") - 1 - F.col("dups"))), F.lit(0)).alias("more_dups"),
+            F.coalesce(F.sum(F.when(F.col("fresh"), F.col("size"))), F.lit(0)).alias("n_items"),
         )
         ranked = scratch.save(ranked, "ranked")
         got = told.get
