@@ -437,3 +437,15 @@ def test_batches_work_on_sets_of_items(spark, monkeypatch):
     assert told(finder.items) == sorted([k for k in range(600) if k % 3 == m and k % 10] for m in range(3))
     got = [tuple(finder.stats[k][x] for x in ("n_items", "batch_num_with_dups", "batch_total_dups", "num_with_dups", "total_dups")) for k in (0, 1)]
     assert got == [(270, 3, 267, 3, 267), (270, 3, 267, 3, 537)]
+
+
+def test_items_are_not_shuffled_for_few_domains(spark):
+    """Values of few domains are broadcast, and without rules nothing is looked up; the values are those of a join."""
+    items = spark.createDataFrame([(0, "a.de", "x"), (1, "b.fr", "y"), (2, None, "z")], "idx int, domain string, grid string")
+    table = spark.createDataFrame([(0, "de", False)], "pos int, domain string, value boolean")
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    found = rules.lookup(items, table, True)
+    assert {r.idx: r.process for r in found.collect()} == {0: False, 1: True, 2: True}
+    assert "SortMergeJoin" not in plan(found)
+    none = rules.lookup(items, table.limit(0), False)
+    assert [r.process for r in none.collect()] == [False] * 3 and "Join" not in plan(none)

@@ -10,6 +10,8 @@ from twinfold.plans.storage import join_facts
 
 #: Rules are typed in by hand; beyond this number they are not broadcast.
 _BROADCAST_RULES = 10_000
+#: Distinct domains up to this number have their values broadcast, so that the items aren't shuffled, whatever they carry.
+_BROADCAST_DOMAINS = 10_000
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -41,9 +43,15 @@ def lookup(items: DataFrame, rules: DataFrame, default: bool, domain: str = "dom
         raise ValueError("a default is needed")
     table = rule_table(rules)
     items = items.drop(out)
+    n_rules = rules.limit(_BROADCAST_RULES + 1).count()
+    if not n_rules:
+        return items.withColumn(out, F.lit(default))
     known = items.select(F.coalesce(domain, F.lit("")).alias("_rule_domain")).distinct()
     parts = known.select("_rule_domain", F.posexplode(suffixes(F.col("_rule_domain"))).alias("_depth", "suffix"))
-    small = rules.limit(_BROADCAST_RULES + 1).count() <= _BROADCAST_RULES
-    found = parts.join(F.broadcast(table) if small else table, "suffix").groupBy("_rule_domain").agg(F.max_by("value", "_depth").alias("_rule_value"))
+    found = parts.join(F.broadcast(table) if n_rules <= _BROADCAST_RULES else table, "suffix").groupBy("_rule_domain").agg(F.max_by("value", "_depth").alias("_rule_value"))
     wide = items.withColumn("_rule_domain", F.coalesce(domain, F.lit("")))
-    return join_facts(wide, found, ["_rule_domain"], "left").withColumn(out, F.coalesce("_rule_value", F.lit(default))).drop("_rule_domain", "_rule_value")
+    if known.limit(_BROADCAST_DOMAINS + 1).count() <= _BROADCAST_DOMAINS:
+        valued = wide.join(F.broadcast(found), "_rule_domain", "left")
+    else:
+        valued = join_facts(wide, found, ["_rule_domain"], "left")
+    return valued.withColumn(out, F.coalesce("_rule_value", F.lit(default))).drop("_rule_domain", "_rule_value")
