@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from twinfold.functions import domains
+from twinfold.functions import domains, hashes
 from twinfold.operators import collapse, components, edges, order, rules
 from twinfold.operators.components import connected_components
 from twinfold.operators.dedup import DuplicateFinder
@@ -439,6 +439,17 @@ def test_batches_work_on_sets_of_items(spark, monkeypatch):
     assert got == [(270, 3, 267, 3, 267), (270, 3, 267, 3, 537)]
 
 
+def test_difference_hashes_agree(spark):
+    """The form on whole batches gives the bits of the column form, with values that are rounded, and nothing for grids that aren't whole."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, [rnd.choice([1 / 3, 200 / 3, 0.1, 0.2, 0.3]) for _ in range(1024)]) for k in range(40)] + [(40, None), (41, [1.0] * 1023), (42, [1.0] * 1023 + [None]), (43, [float("nan")] + [1.0] * 1023), (44, [1.0] * 1024)]
+    grid = spark.createDataFrame(rows, "k int, grid array<double>")
+    got = grid.select("k", hashes.image_hash(F.col("grid"), "diffHash").alias("a"), hashes.diff_hash32("grid").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and [r.k for r in got if r.b is None] == [40, 41, 42, 43]
+
+
 def test_items_are_not_shuffled_for_few_domains(spark):
     """Values of few domains are broadcast, and without rules nothing is looked up; the values are those of a join."""
     items = spark.createDataFrame([(0, "a.de", "x"), (1, "b.fr", "y"), (2, None, "z")], "idx int, domain string, grid string")
@@ -449,3 +460,9 @@ def test_items_are_not_shuffled_for_few_domains(spark):
     assert "SortMergeJoin" not in plan(found)
     none = rules.lookup(items, table.limit(0), False)
     assert [r.process for r in none.collect()] == [False] * 3 and "Join" not in plan(none)
+
+
+def test_parts_make_fewer_pairs():
+    """Fingerprints of many parts meet in fewer pairs, so fewer values are looked up."""
+    one, many = (edges.probes(edges.probe_cuts(8, edges.choose_blocks(8, 2_500_000, pairs=p))) for p in (None, 2_500_000**2 / 40))
+    assert many < one
